@@ -72,7 +72,7 @@ class Scanner:
 
 def word_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Runs of words as code-point spans of the original text."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.lower())]
     starts = np.frombuffer(text, np.uint8) & 0xC0 != 0x80
     points = np.concatenate([[0], np.cumsum(starts)])
     return [{"start": int(points[at[a][0]]), "end": int(points[at[b - 1][1]])} for a, b in runs]
@@ -146,5 +146,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
     ).withColumn("hit_spans", _merged("hit_spans"))
-    inside = F.expr(r"aggregate(hit_spans, 0L, (n, s) -> n + regexp_count(substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int)), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))")
+    inside = F.expr(r"aggregate(hit_spans, 0L, (n, s) -> n + regexp_count(lower(substring(text, cast(s.start as int) + 1, cast(s.end - s.start as int))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))")
     return numbered.join(united, "_row").withColumn("n_hit", inside).drop("_row").select(*(c for c in docs.columns if c not in names), *names)

@@ -1,0 +1,75 @@
+import base64
+import hashlib
+import re
+import zlib
+from urllib.parse import quote
+
+from fixtures import TEXTS, awkward, empty, table
+
+from lumenary.llm import queries
+from lumenary.llm.secret_scan import scan, secret_scan
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def listed(spans):
+    return [(s.kind, s.start, s.end) for s in spans]
+
+
+def test_base_spans_of_awkward_rows(spark):
+    rows = secret_scan(awkward(spark)).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        assert listed(r.base_spans) == brute(r.text or "")
+        assert set(listed(r.base_spans)) <= set(listed(r.spans))
+        assert r.redacted == r.text if not r.spans else "[SECRET]" in r.redacted
+
+
+def test_nested_layers_map_to_the_original(spark):
+    by_id = {r.doc_id: r for r in secret_scan(awkward(spark)).where("doc_id in (12, 13)").collect()}
+    r = by_id[12]
+    assert [r.text[s.start : s.end] for s in r.spans] == [r.text[4:-4]] and r.redacted == "see [SECRET] end"
+    r = by_id[13]
+    assert [r.text[s.start : s.end] for s in r.spans] == ["%70assword%3D%22s3cretvalue", "\\u0074oken: abcdefghij"]
+
+
+def test_deep_nesting_and_cycles():
+    inner = b'api_key="abcdef123456"'
+    layered = inner
+    for _ in range(3):
+        layered = base64.b64encode(zlib.compress(quote(layered).encode()))
+    text = "é ".encode() + layered + b" end"
+    assert scan(text)[1] == [("assign", 3, 3 + len(layered))]
+    assert scan(b"%25" * 50 + b"%2525") == ([], [])
+
+
+def test_base64_offsets_are_of_the_letters_that_hold_the_secret():
+    plain = b"some words before it. password=abcdefgh some words behind it"
+    text = base64.b64encode(plain)
+    a, b = plain.index(b"password"), plain.index(b" some words behind")
+    assert scan(text)[1] == [("assign", a // 3 * 4, (b - 1) // 3 * 4 + 4)]
+
+
+def test_empty_table(spark):
+    assert secret_scan(empty(spark)).count() == 0
+
+
+def test_query_against_brute_force(spark, sf):
+    for r in queries.op6_secrets(spark, sf).collect():
+        found = brute(texts[r.doc_id] if (texts := _texts(sf)) else "")
+        string = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[0] == k for f in found) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(string.encode()).hexdigest()
+
+
+def _texts(sf, kept={}):  # noqa: B006
+    if not kept:
+        kept |= {r["doc_id"]: r["text"] for r in table(sf, "documents")}
+    return kept
