@@ -26,7 +26,7 @@ QUOTED = 0.3
 KNOWN_WORDS, STATES = 200_000, 50_000
 
 #: Signs written for letters, words that report speech, and quotation marks (fixed values).
-_FOLD = str.maketrans("0134578@$!", "oleastbasi")
+_FOLD = str.maketrans("0134578@$!", "oieastbasi")
 _REPORT = frozenset("said says wrote called quote quoted quotes quoting word words term terms phrase definition means meaning dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 _OPEN, _CLOSE = tuple("\"'«“„‘‹("), tuple("\"'»”“’›)")
 _EDGE = ".,;:!?\"'()[]{}«»“”„‘’‹›…*#&%|<>-_~`"
