@@ -20,6 +20,7 @@ from lumenary.llm.ppm import lm_scores
 from lumenary.llm.quality import quality_rules
 from lumenary.llm.secret_scan import secret_scan
 from lumenary.llm.simhash import near_duplicates
+from lumenary.llm.suffix_dedup import remove_repeats
 from lumenary.llm.toxicity import toxicity
 
 
@@ -44,6 +45,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -94,6 +99,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
     "op5_ppm": op5_ppm,
     "op6_secrets": op6_secrets,
