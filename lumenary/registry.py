@@ -2,45 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lumenary.plans.health import source_health
-from lumenary.session import read_table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its oracle if there is one."""
-
-    def add(run):
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return run
-
-    return add
-
-
-@query(
-    "source_health_last10",
-    """
-    WITH r AS (SELECT user_id AS source_id, CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'OK' END AS status,
-                      row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-         a AS (SELECT source_id, count(*) AS n_runs, count(*) FILTER (WHERE status = 'OK') AS n_ok FROM r WHERE rn <= 10 GROUP BY 1)
-    SELECT source_id, n_runs, n_ok, CAST(floor(n_ok * 100.0 / n_runs + 0.5) AS BIGINT) AS health,
-           n_runs >= 10 AND n_ok = 0 AS disabled FROM a
-    """,
-)
-def _source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = read_table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("source_id"),
-        F.col("event_id").alias("run_id"),
-        F.col("ts").alias("started_at"),
-        F.when(F.col("event_type") == "error", "FAIL").otherwise("OK").alias("status"),
-    )
-    return source_health(runs)
+from lumenary.queries import browse, classify, ingest, lifecycle, reports, runs, scoring, text  # noqa: F401
+from lumenary.queries.register import ORACLES, QUERIES  # noqa: F401
