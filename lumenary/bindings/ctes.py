@@ -16,7 +16,7 @@ def pick(words, at: str) -> str:
 NOW = f"TIMESTAMP '{R.AS_OF}'"
 
 _JOB = f"""
-SELECT d.doc_id AS job_id, d.source AS source_id, CAST(d.doc_id % 97 AS VARCHAR) AS source_job_id,
+SELECT d.doc_id AS job_id, d.source AS source_id, CAST(d.doc_id // 40 AS VARCHAR) AS source_job_id,
        {pick(R.LEVEL_WORDS, 'd.doc_id // 16')} || {pick(R.TITLE_ROLES, 'p_partkey')} || ' - ' || p_type AS title,
        s_name || {pick(R.SUFFIXES, 'd.doc_id')} AS company,
        CASE WHEN d.doc_id % 4 = 0 THEN 'Addis Ababa, Ethiopia' WHEN d.doc_id % 7 = 0 THEN 'Remote' ELSE n_name END AS location,

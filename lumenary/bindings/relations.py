@@ -61,7 +61,7 @@ def job(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = docs.join(part, "p_partkey").join(firm, "s_suppkey").select(
         i.alias("job_id"),
         F.col("source").alias("source_id"),
-        (i % 97).cast("string").alias("source_job_id"),
+        F.floor(i / 40).cast("string").alias("source_job_id"),
         F.concat(pick(LEVEL_WORDS, F.floor(i / 16)), pick(TITLE_ROLES, F.col("p_partkey")), F.lit(" - "), F.col("p_type")).alias("title"),
         F.concat(F.col("s_name"), pick(SUFFIXES, i)).alias("company"),
         F.when(i % 4 == 0, "Addis Ababa, Ethiopia").when(i % 7 == 0, "Remote").otherwise(F.col("n_name")).alias("location"),
