@@ -81,7 +81,7 @@ SELECT o_orderkey AS application_id, o_custkey AS user_id, o_orderkey * 7 % (SEL
 """,
     "transition": f"""
 SELECT event_id AS transition_id, user_id AS application_id,
-       CASE event_type {' '.join(f"WHEN '{e}' THEN '{s}'" for e, s in R.EVENT_STAGES)} END AS to_stage, ts AS at FROM events
+       CASE event_type {' '.join(f"WHEN '{e}' THEN '{s}'" for e, s in R.EVENT_STAGES)} END AS to_stage, ts AS moved_at FROM events
 """,
     "search_profile": f"""
 SELECT c_custkey AS user_id, {pick(R.KEYWORDS, 'c_custkey')} AS q, CASE WHEN c_custkey % 4 > 0 THEN {pick(R.PRIORITIES, 'c_custkey // 2')} END AS tier,

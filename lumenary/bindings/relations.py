@@ -166,7 +166,7 @@ def application(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.coalesce(*(F.when(F.col("event_type") == e, s) for e, s in EVENT_STAGES))
-    return read_table(spark, sf_dir, "events").select(F.col("event_id").alias("transition_id"), F.col("user_id").alias("application_id"), to.alias("to_stage"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    return read_table(spark, sf_dir, "events").select(F.col("event_id").alias("transition_id"), F.col("user_id").alias("application_id"), to.alias("to_stage"), F.col("ts").cast("timestamp_ntz").alias("moved_at"))
 
 
 def search_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
