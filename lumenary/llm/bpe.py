@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -23,7 +25,7 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Characters of text taken together, words known to a worker at most, token rows of one query at
 #: most (a word of n bytes makes up to n*n/2), and bytes beyond which a word goes to the heap instead.
-GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 6 << 20, 200_000, 1_000_000, 256
+GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 6 << 20, 800_000, 1_000_000, 1024
 
 _ENCODE = """
 WITH RECURSIVE s(it, w, pos, tok, after, next) AS (
@@ -63,13 +65,15 @@ class Coder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         self._table("merges", pair=left << 32 | right, rank=rank.astype(np.int32))
         self._table("vocabulary", id=np.fromiter(ranks.values(), np.int32), hex=[t.hex() for t in ranks])
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.bytes: dict[str, bytes] = {}
 
     def _table(self, table: str, **columns: np.ndarray | list) -> None:
         given = pa.table(columns)  # noqa: F841  DuckDB finds it by name
         self.db.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT * FROM given")
 
-    def _query(self, words: list[bytes]) -> list[list[int]]:
+    def _query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one behind the other, and how many each has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         pos = np.arange(len(flat), dtype=np.int32)
@@ -77,7 +81,9 @@ class Coder:
         after = np.append(tok[1:], np.int32(-1))
         after[np.cumsum(size) - 1] = -1
         self._table("words", w=np.repeat(np.arange(len(words), dtype=np.int32), size), pos=pos, tok=tok, after=after, next=pos + 1)
-        return self.db.sql(_ENCODE).to_arrow_table().column("ids").to_pylist()
+        ids = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        return ids.flatten().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy())
 
     def _heap(self, word: bytes) -> list[int]:
         """The same contraction for a very long word, whose token rows would grow with its square."""
@@ -103,58 +109,71 @@ class Coder:
             offer(before[i])
         return [t for t in tok if t is not None]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; words go to the recursive query in groups of bounded size."""
-        out: list[list[int] | None] = [self._heap(w) if len(w) > LONG_WORD else None for w in words]
-        group, rows = [], 0
-        for k, w in enumerate(words):
-            if out[k] is None:
-                group.append(k)
-                rows += len(w) * (len(w) + 1) // 2
-            if group and (rows >= QUERY_ROWS or k == len(words) - 1):
-                for at, ids in zip(group, self._query([words[i] for i in group]), strict=True):
-                    out[at] = ids
-                group, rows = [], 0
-        if group:
-            for at, ids in zip(group, self._query([words[i] for i in group]), strict=True):
-                out[at] = ids
-        return out
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each sequence of ids, by an ordered aggregation."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        if not size.sum():
-            return [b""] * len(ids)
-        flat = np.concatenate(ids).astype(np.int32)
-        self._table("tokens", w=np.repeat(np.arange(len(ids), dtype=np.int32), size), pos=np.arange(len(flat), dtype=np.int32), id=flat)
-        found = self.db.sql(_DECODE).to_arrow_table()
-        out = [b""] * len(ids)
-        for w, b in zip(found.column("w").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[w] = b
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one behind the other, and how many each has; they go to the recursive query in groups of bounded size."""
+        found, group, rows = [], [], 0
+
+        def flush() -> None:
+            nonlocal group, rows
+            if group:
+                found.append(self._query(group))
+            group, rows = [], 0
+
+        for w in words:
+            if len(w) > LONG_WORD:
+                flush()
+                ids = self._heap(w)
+                found.append((np.array(ids), np.array([len(ids)])))
+                continue
+            group.append(w)
+            rows += len(w) * (len(w) + 1) // 2
+            if rows >= QUERY_ROWS:
+                flush()
+        flush()
+        ids, sizes = zip(*found, strict=True) if found else ([np.zeros(0)], [np.zeros(0, np.int64)])
+        return np.concatenate(ids).astype("<u4"), np.concatenate(sizes).astype(np.int64)
+
+    def decode(self, flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Bytes of each sequence of ids, by an ordered aggregation; ``flat`` has the sequences one behind the other."""
+        out = [b""] * len(size)
+        if len(flat):
+            self._table("tokens", w=np.repeat(np.arange(len(size), dtype=np.int32), size), pos=np.arange(len(flat), dtype=np.int32), id=flat.astype(np.int32))
+            found = self.db.sql(_DECODE).to_arrow_table()
+            for w, b in zip(found.column("w").to_pylist(), found.column("bytes").to_pylist(), strict=True):
+                out[w] = b
         return out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet, and decode their ids."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = words
-        ids = [np.array(i, "<u4") for i in self.encode_words([w.encode() for w in new])] if new else []
-        for w, i, b in zip(new, ids, self.decode(ids) if new else [], strict=True):
-            self.known[w] = (i.tobytes(), b)
+        new = list(words.difference(self.ids))
+        if len(self.ids) + len(new) > KNOWN_WORDS:
+            self.ids, self.bytes = {}, {}
+            new = list(words)
+        if new:
+            flat, size = self.encode_words([w.encode() for w in new])
+            raw, ends = flat.tobytes(), np.cumsum(size) * 4
+            self.ids.update(zip(new, (raw[a:b] for a, b in zip((ends - size * 4).tolist(), ends.tolist(), strict=True)), strict=True))
+            self.bytes.update(zip(new, self.decode(flat, size), strict=True))
 
     def code(self, group: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the bytes that they decode to, of each text."""
-        number: dict[str, int] = {}
-        units = [np.fromiter((number.setdefault(u, len(number)) for u in _UNITS.findall(t)), np.int32) for t in group]
-        words = [self.pattern.findall(u) for u in number]
-        self.learn(list(dict.fromkeys(w for ws in words for w in ws)))
-        known = self.known
-        ids = [b"".join([known[w][0] for w in ws]) for ws in words]
-        back = [b"".join([known[w][1] for w in ws]) for ws in words]
-        for u in units:
-            at = u.tolist()
-            yield b"".join(map(ids.__getitem__, at)), b"".join(map(back.__getitem__, at))
+        gc.disable()  # hundreds of thousands of short lists, none in a cycle
+        try:
+            units = list(map(_UNITS.findall, group))
+            split = self.pattern.findall
+            words = {u: split(u) for u in set().union(*units)}
+            self.learn(set(chain.from_iterable(words.values())))
+            known, back, join = self.ids, self.bytes, b"".join
+            ids, text = {}, {}
+            for u, ws in words.items():
+                if len(ws) == 1:
+                    w = ws[0]
+                    ids[u], text[u] = known[w], back[w]
+                else:
+                    ids[u], text[u] = join([known[w] for w in ws]), join([back[w] for w in ws])
+            return zip([join(map(ids.__getitem__, us)) for us in units], [join(map(text.__getitem__, us)) for us in units], strict=True)
+        finally:
+            gc.enable()
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -200,6 +219,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     """``rows`` with ``decoded``, the bytes of a column of ids as encode_decode() makes it; null ids decode to nothing."""
 
     def run(column: pa.Array) -> list:
-        return [coder(path, pattern).decode([np.frombuffer(b or b"", "<u4") for b in column.to_pylist()])]
+        rows = [b or b"" for b in column.to_pylist()]
+        return [coder(path, pattern).decode(np.frombuffer(b"".join(rows), "<u4"), np.array([len(b) // 4 for b in rows], np.int64))]
 
     return add_columns(rows, ids, [T.StructField("decoded", T.BinaryType())], run)
