@@ -23,7 +23,7 @@ STEM, EDIT_LETTERS, CONTEXT = (4, 5, 6), 5, 4
 #: Share of a hit's weight that is left where the context quotes or reports it.
 QUOTED = 0.3
 #: Words known to a worker, and automaton states, at most.
-KNOWN_WORDS, STATES = 200_000, 50_000
+KNOWN_WORDS, STATES = 600_000, 100_000
 
 #: Signs written for letters, words that report speech, and quotation marks (fixed values).
 _FOLD = str.maketrans("0134578@$!", "oieastbasi")
@@ -36,9 +36,9 @@ FEATURES = 4
 class Lexicon:
     """Terms and stems as a trie, met by the automaton of all words within one edit of one.
 
-    A state is a set of (trie node, edits spent). Stepping with a letter follows the child of that
-    letter for free, and any child (substitution), the node itself (insertion) or, before it, a
-    skipped trie letter (deletion) for one edit. States and steps are made on demand and shared by
+    A state is a set of (trie node, edits spent), known by a number. Stepping with a letter follows the
+    child of that letter for free, and any child (substitution), the node itself (insertion) or, before
+    it, a skipped trie letter (deletion) for one edit. States and steps are made on demand and shared by
     all words, so most words die after two or three dictionary look-ups.
     """
 
@@ -58,8 +58,12 @@ class Lexicon:
         self._reset()
 
     def _reset(self) -> None:
-        self.steps: dict[tuple[frozenset, str], frozenset] = {}
-        self.stems: dict[frozenset, bool] = {}
+        self.number: dict[frozenset, int] = {}
+        self.state: list[frozenset] = []
+        self.steps: list[dict[str, int]] = []
+        self.value: list[float] = []
+        self.final: list[bool] = []
+        self.start = self._known(self._closed({0: 0}))
 
     @staticmethod
     def _least(found: dict[int, int], node: int, edits: int) -> None:
@@ -72,32 +76,45 @@ class Lexicon:
                 self._least(found, child, 1)
         return frozenset(found.items())
 
-    def _step(self, state: frozenset, letter: str) -> frozenset:
-        key = (state, letter)
-        if key not in self.steps:
-            if len(self.steps) >= STATES:
-                self._reset()
-            found: dict[int, int] = {}
-            for node, edits in state:
+    def _known(self, state: frozenset) -> int:
+        """Number of a state, -1 for the empty one; what a word that ends there is worth, and whether it has a stem by then."""
+        if not state:
+            return -1
+        if state not in self.number:
+            self.number[state] = len(self.state)
+            self.state.append(state)
+            self.steps.append({})
+            spent = [e for n, e in state for k in self.term.get(n, ()) if e <= self.edits[k] and not self.stem[k]]
+            stem = any(e == 0 and self.stem[k] for n, e in state for k in self.term.get(n, ()))
+            self.value.append(1.0 if stem else (1.0, 0.8)[min(spent)] if spent else 0.0)
+            self.final.append(stem)
+        return self.number[state]
+
+    def _step(self, at: int, letter: str) -> int:
+        found: dict[int, int] = {}
+        for node, edits in self.state[at]:
+            if edits == 0:
                 for c, child in self.child[node].items():
-                    self._least(found, child, edits if c == letter else edits + 1)
-                self._least(found, node, edits + 1)
-            self.steps[key] = self._closed(found)
-        return self.steps[key]
+                    self._least(found, child, 0 if c == letter else 1)
+                self._least(found, node, 1)
+            elif (child := self.child[node].get(letter)) is not None:
+                self._least(found, child, edits)
+        to = self.steps[at][letter] = self._known(self._closed(found))
+        return to
 
     def match(self, word: str) -> float:
         """1 for a term or stem, 0.8 for a term with one edit, else 0."""
-        state = self._closed({0: 0})
+        if len(self.state) > STATES:
+            self._reset()
+        at, steps, final = self.start, self.steps, self.final
         for letter in word:
-            state = self._step(state, letter)
-            if not state:
+            to = steps[at].get(letter)
+            at = self._step(at, letter) if to is None else to
+            if at < 0:
                 return 0.0
-            if state not in self.stems:
-                self.stems[state] = any(e == 0 and self.stem[k] for n, e in state for k in self.term.get(n, ()))
-            if self.stems[state]:
+            if final[at]:
                 return 1.0
-        spent = [e for n, e in state for k in self.term.get(n, ()) if e <= self.edits[k] and not self.stem[k]]
-        return (1.0, 0.8)[min(spent)] if spent else 0.0
+        return self.value[at]
 
 
 def folded(word: str) -> str:
@@ -117,7 +134,7 @@ class Features:
     def of(self, text: str) -> list[float]:
         words = text.lower().split()
         distinct = set(words)
-        new = distinct - self.known.keys()
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
             self.hot.clear()
@@ -125,7 +142,7 @@ class Features:
         for w in new:
             bare = w.strip(_EDGE)
             value = self.lexicon.match(bare) if bare else 0.0
-            if not value and (plain := folded(w)) != bare:
+            if not value and not bare.isalpha() and (plain := folded(bare)) != bare:
                 value = self.lexicon.match(plain)
             self.known[w] = value
             if value:
