@@ -123,8 +123,7 @@ def _profile(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that pass the relevance gate."""
     pairs = candidates(jobs(spark, sf), users(spark, sf), spark)
-    count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
-    return pairs.select("user_id", "job_id", count("direct"), count("transferable"), count("related"), F.round("role_part", 6).alias("role_part"), F.round("skill_part", 6).alias("skill_part"))
+    return pairs.select("user_id", "job_id", "n_direct", "n_transferable", "n_related", F.round("role_part", 6).alias("role_part"), F.round("skill_part", 6).alias("skill_part"))
 
 
 _FACTORS = ("role_part", "skill_part", "experience_part", "location_part", "employment_part", "freshness_part", "salary_part")
