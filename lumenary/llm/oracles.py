@@ -1,3 +1,50 @@
-"""DuckDB SQL for the queries of this subpackage, where SQL can express them."""
+"""DuckDB SQL for the queries of this subpackage, where SQL can express them.
 
-ORACLES: dict[str, str] = {}
+The others are out of its reach: XXH64 (1), PPM (5), nested decoding (6), learned models (7), rank
+files and look-ahead (9), zstandard (10), HTML (4). Tests hold those against brute force.
+"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS key
+       FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS key
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, key)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+#: Texts as hex digits, two a byte; a string of 50 bytes is 100 digits.
+_REPEATS = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS key FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM t WHERE length(x) >= 100)),
+f AS (SELECT key, min(doc_id) AS first FROM p GROUP BY 1),
+hit AS (SELECT doc_id, i FROM p JOIN f USING (key) WHERE first < doc_id),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM run UNION ALL SELECT doc_id, max(b), NULL FROM run GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(CASE WHEN e IS NULL THEN substr(x, 2 * s + 1) ELSE substr(x, 2 * s + 1, 2 * (e - s)) END, '' ORDER BY s) AS k FROM gap JOIN t USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY 1)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_CONTROL = "^(<\\\\*(/?s>|<|\\|)|\\[\\\\*/?INST\\])"
+_CHAT = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) IN ('<', '[') AND regexp_matches(substr(text, i), '{_CONTROL}')))
+  + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 9 + CASE WHEN regexp_full_match(role, '[A-Za-z0-9_.-]{{1,64}}') THEN length(role) ELSE 1 + length(hex(encode(role))) END END AS n FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY 1
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT}
