@@ -114,3 +114,21 @@ def recheck_links(jobs: DataFrame, checks: DataFrame) -> DataFrame:
     dead, alive = F.col("url_status") == "NOT_FOUND", F.col("url_status") == "OK"
     now = F.when(dead & (F.col("status") == "ACTIVE"), "REMOVED").when(alive & (F.col("status") == "REMOVED"), "ACTIVE").otherwise(F.col("status"))
     return rows.withColumn("status", now)
+
+
+#: Failed deliveries in a row after which a chat counts as unreachable.
+UNREACHABLE_AFTER = 5
+
+
+def reachability(deliveries: DataFrame) -> DataFrame:
+    """State of each chat after its deliveries (chat_id, at, ok): UNREACHABLE after five failures in a row, ACTIVE again with a success."""
+    order = Window.partitionBy("chat_id").orderBy("at")
+    islands = deliveries.select("chat_id", "ok", F.sum(F.col("ok").cast("int")).over(order).alias("island"))
+    failed = islands.groupBy("chat_id", "island").agg(F.count_if(~F.col("ok")).alias("n"))
+    last = failed.groupBy("chat_id").agg(F.max_by("n", "island").alias("failures"))
+    return last.withColumn("status", F.when(F.col("failures") >= UNREACHABLE_AFTER, "UNREACHABLE").otherwise("ACTIVE"))
+
+
+def backfill(jobs: DataFrame, column: str, made: Column) -> DataFrame:
+    """Postings with an array made anew where it is null or empty."""
+    return jobs.withColumn(column, F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.col(column)).otherwise(made))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lumenary import dims
 from lumenary.bindings import relations as R
 from lumenary.bindings.ctes import NOW, with_
+from lumenary.functions.times import fresh_since
 from lumenary.operators import lifecycle as op
 from lumenary.queries.register import query
+from lumenary.streaming.events import event_counts, rate_windows
 
 _LEGAL = dims.values(dims.TRANSITIONS, "a, b")
 
@@ -122,13 +124,49 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS n_events, count(*) > 1 AS limited FROM events GROUP BY 1, 2""",
 )
 def _limits(spark: SparkSession, sf: str) -> DataFrame:
-    from lumenary.streaming.events import rate_windows
-
     return rate_windows(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts"), most=1)
 
 
 @query("event_counts_batch", "SELECT event_type, count(*) AS n_events FROM events GROUP BY 1")
 def _event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    from lumenary.streaming.events import event_counts
-
     return event_counts(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+@query(
+    "chat_reachability",
+    """WITH d AS (SELECT user_id, event_id, event_type IN ('view', 'click') AS ok FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id, ok ORDER BY event_id) AS b, count(*) OVER (PARTITION BY user_id) AS total FROM d),
+    g AS (SELECT user_id, ok, count(*) AS n, max(a) = max(total) AS last FROM n GROUP BY user_id, ok, a - b)
+    SELECT user_id AS chat_id, coalesce(max(n) FILTER (WHERE NOT ok AND last), 0) AS failures, CASE WHEN coalesce(max(n) FILTER (WHERE NOT ok AND last), 0) >= 5 THEN 'UNREACHABLE' ELSE 'ACTIVE' END AS status FROM g GROUP BY 1""",
+)
+def _reachability(spark: SparkSession, sf: str) -> DataFrame:
+    """Views and clicks as deliveries that arrived."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return op.reachability(events.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("at"), F.col("event_type").isin("view", "click").alias("ok")))
+
+
+@query(
+    "freshness_windows",
+    with_("source", "job")
+    + f""", s AS (SELECT source_id, unnest(['FAST', 'DEEP']) AS mode, CASE WHEN number % 3 > 0 THEN number * 6 END AS fast_hours, CASE WHEN number % 4 > 0 THEN number END AS deep_days, CASE WHEN number % 5 > 0 THEN number + 3 END AS window_days FROM source),
+    w AS (SELECT source_id, mode, CAST(CASE WHEN mode = 'FAST' AND fast_hours IS NOT NULL THEN fast_hours WHEN mode = 'DEEP' AND deep_days IS NOT NULL THEN deep_days * 24 ELSE coalesce(window_days, 14) * 24 END AS INTEGER) AS hours FROM s)
+    SELECT source_id, mode, {NOW} - to_hours(hours) AS since, count(*) FILTER (WHERE posted_at >= {NOW} - to_hours(hours)) AS n_fresh FROM w LEFT JOIN (SELECT source_id, posted_at FROM job) j USING (source_id) GROUP BY ALL""",
+)
+def _fresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings within the window of their source, in either mode."""
+    n = F.col("number")
+    modes = R.source(spark, sf).select("source_id", n, F.explode(F.array(F.lit("FAST"), F.lit("DEEP"))).alias("mode"))
+    since = fresh_since(F.col("mode"), F.when(n % 3 > 0, n * 6), F.when(n % 4 > 0, n), F.when(n % 5 > 0, n + 3), R.now())
+    rows = modes.select("source_id", "mode", since.alias("since")).join(R.job(spark, sf).select("source_id", "posted_at"), "source_id", "left")
+    return rows.groupBy("source_id", "mode", "since").agg(F.count_if(F.col("posted_at") >= F.col("since")).alias("n_fresh"))
+
+
+@query(
+    "category_backfill",
+    with_("job")
+    + "SELECT job_id, CASE WHEN len(list_filter(labels, lambda l: l <> 'Zoology')) > 0 THEN array_to_string(list_filter(labels, lambda l: l <> 'Zoology'), ',') ELSE 'unsorted' END AS labels FROM job",
+)
+def _backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings whose only label says nothing get a label."""
+    jobs = R.job(spark, sf).withColumn("labels", F.filter("labels", lambda x: x != "Zoology"))
+    return op.backfill(jobs, "labels", F.array(F.lit("unsorted"))).select("job_id", F.array_join("labels", ",").alias("labels"))

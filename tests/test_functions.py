@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary import dims
-from lumenary.functions import money, phrases, text, urls
+from lumenary.functions import money, phrases, text, times, urls
 from lumenary.operators import keyset, skills
 from lumenary.operators.runs import backoff_hours
 
@@ -158,3 +158,8 @@ def test_pages_join_to_the_full_order(spark, descending):
             break
         cursor = (some[3].key, some[3].id)
     assert got == want
+
+
+def test_times(ask):
+    assert [times.duration_ms(t, 7) for t in ("30m", "6 h", "1500", None, "soon")] == [1_800_000, 21_600_000, 1500, 7, 7]
+    assert ask(times.json_list, '["a", "b"]') == ["a", "b"] and ask(times.json_list, "no json") == [] and ask(times.json_list, None) == []
