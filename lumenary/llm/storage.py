@@ -22,7 +22,10 @@ def durable(df: DataFrame) -> DataFrame:
     what made it, and unlike checkpoint() the columns stay compressed and prunable.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    # Shuffle files of plans that have run stay on the executors' disks until the driver's collector meets them.
+    df.sparkSession._jvm.System.gc()
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lumenary_path = path
     return out

@@ -11,12 +11,15 @@ suffix than that prefix, so the recursion ends once names cover it:
   to sampled ones, so a prefix of 50 bytes is one such name and the two bytes beside it;
 * entries that are adjacent once sorted have equal prefixes; the smallest document among them owns it.
 
+A name that only one document has ends there: no string over it can be in another.
+
 Sorting is distributed: a block of documents gives its distinct keys, dealt by hash to tasks that sort and
 number them, and takes the numbers back. Keys travel as binary columns, so Spark moves few rows.
 
 Most text is in one document only. A filter that loses nothing goes before: the least hash of the
 grams in a string is the same wherever the string is, so strings whose least hash no other document has
-are set aside; and content-defined chunks that an earlier document has are covered whole.
+are set aside; and content-defined chunks that an earlier document has are covered whole. What is
+left is filtered once more by longer grams, which fit a string more closely but are more.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from lumenary.llm.storage import discard, durable
 
-#: Bytes of a string, of a gram of the filter, and of a block's text; keys that a sorting task should get.
-WINDOW, GRAM, BLOCK_BYTES, PART_KEYS = 50, 24, 16 << 20, 2_000_000
+#: Bytes of a string, of a gram of the filter and of its second turn, and of a block's text; keys that a sorting task should get.
+WINDOW, GRAM, LONG_GRAM, BLOCK_BYTES, PART_KEYS = 50, 24, 40, 6 << 20, 700_000
+#: Bytes of texts that the filter takes together, so that its arrays stay in the processor's cache.
+SLICE_BYTES = 96 << 10
 #: Masks of the gram hashes that end a chunk: about 1024 and 128 bytes.
 CHUNK_MASKS = (1023, 127)
 #: Bytes of a symbol, of a triple of symbols, distance of names, and bytes of a triple of names.
@@ -45,30 +50,35 @@ NONE = np.iinfo(np.int64).max
 
 REPLY = "block long, part long, kind int, reply binary"
 ASKED = "part long, block long, kind int, keys binary, docs binary"
-MARKS = "block long, doc_id long, h long, kind int, start long, stop long, bytes binary"
+MARKS = "block long, kind int, doc binary, h binary, start binary, stop binary, bytes binary, names binary"
 COVERED, REGION = 0, 1
+#: Kinds of keys: least hashes and chunks of the filter, names of two rounds and then prefixes; types of the
+#: replies about keys of which it counts whether documents share them; bits of a name within its part.
+LEAST_HASH, CHUNK, NAME = 0, 1, 2
+COUNTED = {LEAST_HASH: np.int8, NAME: np.int32, NAME + 1: np.int32}
+NAME_BITS = 24
 
 
-def packed(b: np.ndarray, n: int) -> np.ndarray:
+def packed(data: bytes, n: int) -> np.ndarray:
     """Each ``n`` (up to 8) consecutive bytes as one number that sorts like them."""
-    out = np.zeros(max(0, len(b) - n + 1), _U)
-    for k in range(n):
-        out = out << _U(8) | b[k : k + len(out)].astype(_U)
-    return out
-
-
-def gram_hashes(data: bytes) -> np.ndarray:
-    """A hash of the GRAM bytes at each position."""
-    p = packed(np.frombuffer(data, np.uint8), 8)
-    n = len(data) - GRAM + 1
-    h = (p[:n] * _MIX[0]) ^ ((p[8 : n + 8] * _MIX[1]) >> _U(7)) ^ ((p[16 : n + 16] * _MIX[2]) << _U(9))
-    h = (h ^ h >> _U(31)) * _MIX[1]
+    many = max(0, len(data) - n + 1)
+    eight = np.ndarray((many,), ">u8", data + bytes(8), strides=(1,)).astype(_U)
+    return eight >> _U(8 * (8 - n)) if n < 8 else eight
+
+
+def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """A hash of the ``gram`` bytes, a multiple of eight, at each position."""
+    p = packed(data, 8)
+    n = max(0, len(data) - gram + 1)
+    h = p[:n] * _MIX[0]
+    for k in range(8, gram, 8):
+        h = (h ^ h >> _U(29) ^ p[k : k + n]) * _MIX[k // 8 % 3]
     return h ^ h >> _U(33)
 
 
-def least_hashes(h: np.ndarray) -> np.ndarray:
+def least_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """The least gram hash in the string of WINDOW bytes at each position."""
-    width, have, m = WINDOW - GRAM + 1, 1, h
+    width, have, m = WINDOW - gram + 1, 1, h
     while have * 2 <= width:
         m = np.minimum(m[:-have], m[have:])
         have *= 2
@@ -76,37 +86,83 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def chunks(h: np.ndarray, n: int) -> np.ndarray:
-    """Pieces [a, b) of at least WINDOW bytes: the whole text, and chunks that its content cuts."""
-    found = [np.array([[0, n]])]
+def chunks(h: np.ndarray, left: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Pieces [a, b) of at least WINDOW bytes: whole texts, and chunks that their content cuts.
+
+    ``h`` has the gram hashes of texts one behind the other, ``left`` the bytes to the end of a
+    position's text and ``base`` the beginnings of the texts and the end of the last.
+    """
+    found = [base[:-1] << 32 | base[1:]]
     for mask in CHUNK_MASKS:
-        edges = np.unique(np.concatenate([[0], np.flatnonzero(h & _U(mask) == 0), [n]]))
-        found.append(np.stack([edges[:-1], edges[1:]], 1))
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[both[:, 1] - both[:, 0] >= WINDOW]
+        cut = np.flatnonzero(h & _U(mask) == 0)
+        edges = np.unique(np.concatenate([cut[left[cut] >= GRAM], base]))
+        found.append(edges[:-1] << 32 | edges[1:])
+    both = np.unique(np.concatenate(found))
+    a, b = both >> 32, both & 0xFFFFFFFF
+    return np.stack([a, b], 1)[b - a >= WINDOW]
 
 
-def unique_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in sorted order, and where each row is among them."""
-    order = np.lexsort(rows.T[::-1])
+def _dense(column: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each value among the distinct ones, and how many these are."""
+    order = np.argsort(column)
+    ordered = column[order]
+    rank = np.empty(len(column), _U)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(column) else []
+    return rank, int(rank[order[-1]]) + 1 if len(column) else 0
+
+
+def _first_of(order: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in the given order, in which equal rows are adjacent, and where each row is among them."""
     ordered = rows[order]
     new = np.ones(len(rows), bool)
-    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    new[1:] = ordered[1:, 0] != ordered[:-1, 0]
+    for k in range(1, rows.shape[1]):
+        new[1:] |= ordered[1:, k] != ordered[:-1, k]
     at = np.empty(len(rows), np.int64)
     at[order] = np.cumsum(new) - 1
     return ordered[new], at
 
 
+def unique_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in lexicographic order, and where each row is among them.
+
+    Ranks of the columns are packed into one number from the left, which is ranked again where it
+    would not fit, so only plain numbers are sorted.
+    """
+    code, n = _dense(rows[:, 0])
+    for k in range(1, rows.shape[1]):
+        rank, m = _dense(rows[:, k])
+        if n * m >= 1 << 63:
+            code, n = _dense(code)
+        code, n = code * _U(max(m, 1)) + rank, n * m
+    return _first_of(np.argsort(code), rows)
+
+
+def mixed(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    out = rows[:, 0] * _MIX[0]
+    for k in range(1, rows.shape[1]):
+        out = (out ^ rows[:, k] ^ out >> _U(29)) * _MIX[k]
+    return out ^ out >> _U(32)
+
+
+def distinct_rows(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in the order of their hashes ``h``, and where each row is among them."""
+    order = np.argsort(h)
+    keys, at = _first_of(order, rows)
+    return (keys, at) if len(keys) == 1 + np.count_nonzero(np.diff(h[order])) or not len(keys) else unique_rows(rows)  # else two rows share a hash
+
+
 class Asked:
     """Distinct keys of a block with the least document of each, in the order in which they are dealt to parts."""
 
     def __init__(self, rows: np.ndarray, docs: np.ndarray, parts: int) -> None:
-        self.keys, self.at = unique_rows(rows)
-        self.docs = np.full(len(self.keys), NONE)
+        self.keys, self.at = distinct_rows(rows, mixed(rows) if rows.shape[1] > 1 else rows[:, 0])
+        self.docs, last = np.full(len(self.keys), NONE), np.full(len(self.keys), -NONE)
         np.minimum.at(self.docs, self.at, docs)
-        self.many = np.bincount(self.at, minlength=len(self.keys)) > 1
-        mixed = np.bitwise_xor.reduce(self.keys * np.array(_MIX[: self.keys.shape[1]]), axis=1) * _MIX[2]
-        self.part = ((mixed >> _U(32)) % _U(parts)).astype(np.int64)
+        np.maximum.at(last, self.at, docs)
+        self.many = last > self.docs
+        self.part = (((mixed(self.keys) * _MIX[2]) >> _U(32)) % _U(parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
 
     def slices(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -115,16 +171,17 @@ class Asked:
         for some in np.split(self.order, ends) if len(self.order) else []:
             yield int(self.part[some[0]]), some
 
-    def rows(self, block: int, kind: int, docs: np.ndarray | None = None) -> list[tuple]:
-        docs = self.docs if docs is None else docs
+    def rows(self, block: int, kind: int) -> list[tuple]:
+        docs = self.many.astype(np.int8) if kind in COUNTED else self.docs
         return [(part, block, kind, self.keys[some].tobytes(), docs[some].tobytes()) for part, some in self.slices()]
 
     def replies(self, table: pa.Table, kind: int) -> np.ndarray:
-        """The reply for each key: number of its name, or least document."""
+        """The reply for each key: whether documents share it, its name (-1 if none shares it), or the least document."""
         by_part = {p: r for p, k, r in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "reply")), strict=True) if k == kind}
         out = np.zeros(len(self.keys), np.int64)
         for part, some in self.slices():
-            out[some] = np.frombuffer(by_part[part], np.int64)
+            got = np.frombuffer(by_part[part], COUNTED.get(kind, np.int64))
+            out[some] = got if kind not in (NAME, NAME + 1) else np.where(got < 0, -1, part << NAME_BITS | got.astype(np.int64))
         return out
 
 
@@ -136,41 +193,36 @@ def _asked_table(rows: list[tuple]) -> pa.Table:
     return _table(rows, ["part", "block", "kind", "keys", "docs"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
 
-def _sort_part(width: dict[int, int], naming: bool):
-    """Sort the keys that one part got from all blocks; reply with numbers of names or least documents."""
+def _sort_part(width: dict[int, int]):
+    """Sort the keys that one part got from all blocks; reply with what Asked.replies() reads."""
 
     def run(table: pa.Table) -> pa.Table:
         out, part = [], table.column("part")[0].as_py()
         kinds = table.column("kind").to_numpy()
-        for kind in np.unique(kinds):
+        for kind in map(int, np.unique(kinds)):
             some = table.filter(pa.array(kinds == kind))
             blobs = some.column("keys").to_pylist()
-            keys = np.frombuffer(b"".join(blobs), _U).reshape(-1, width[int(kind)])
-            sizes = np.array([len(b) for b in blobs]) // (8 * width[int(kind)])
+            keys = np.frombuffer(b"".join(blobs), _U).reshape(-1, width[kind])
+            sizes = np.array([len(b) for b in blobs]) // (8 * width[kind])
             _, at = unique_rows(keys)
-            if naming:
-                reply = (part << 32) + at
+            docs = b"".join(some.column("docs").to_pylist())
+            if kind in COUNTED:
+                shared = np.bincount(at, np.frombuffer(docs, np.int8) + 1)[at] > 1  # one document of a block or more count as 1 or 2
+                if kind != LEAST_HASH and at.max(initial=0) >= 1 << NAME_BITS:
+                    raise ValueError("a part got too many names: lower part_keys")
+                reply = shared if kind == LEAST_HASH else np.where(shared, at, -1)
             else:
-                docs = np.frombuffer(b"".join(some.column("docs").to_pylist()), np.int64)
                 least = np.full(at.max(initial=-1) + 1, NONE)
-                np.minimum.at(least, at, docs)
-                if kind == LEAST_HASH:  # how many documents, of 0 for one in its block or 1 for more
-                    count = np.bincount(at, docs + 1)
-                    reply = (count[at] > 1).astype(np.int64)
-                else:
-                    reply = least[at]
-            ends = np.cumsum(sizes)
+                np.minimum.at(least, at, np.frombuffer(docs, np.int64))
+                reply = least[at]
+            reply, ends = reply.astype(COUNTED.get(kind, np.int64)), np.cumsum(sizes)
             for block, a, b in zip(some.column("block").to_pylist(), ends - sizes, ends, strict=True):
-                out.append((block, part, int(kind), reply[a:b].astype(np.int64).tobytes()))
+                out.append((block, part, kind, reply[a:b].tobytes()))
         return _table(out, ["block", "part", "kind", "reply"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
     return run
 
 
-#: Kinds of keys: least hashes and chunks of the filter, names, and prefixes by shift.
-LEAST_HASH, CHUNK, NAME = 0, 1, 2
-
-
 def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
     """(doc_id, h, bytes) of the documents that have an id and a string."""
     for d, h, t in zip(table.column("doc_id").to_pylist(), table.column("h").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -178,92 +230,115 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
             yield d, h, t
 
 
-def _filter_keys(table: pa.Table, parts: int) -> tuple[Asked, Asked, list[np.ndarray]]:
-    """Least hashes and chunks of a block, and the chunks of each document."""
-    hashes, owners, digests, chunk_owners, pieces = [], [], [], [], []
-    for d, _, t in _texts(table):
-        h = gram_hashes(t)
-        m = least_hashes(h)
-        m = np.unique(m[np.flatnonzero(np.append(True, m[1:] != m[:-1]))])
-        hashes.append(m)
-        owners.append(np.full(len(m), d))
-        cut = chunks(h, len(t))
-        pieces.append(cut)
-        digests += [xxhash.xxh3_128_digest(t[a:b]) for a, b in cut.tolist()]
-        chunk_owners.append(np.full(len(cut), d))
+class Slice:
+    """Some texts of a block as whole regions: the runs of strings with one least hash, and the chunks."""
+
+    def __init__(self, block: int, docs: list[tuple[int, int, bytes]]) -> None:
+        size = np.array([len(t) for _, _, t in docs], np.int64)
+        columns = {"doc": [d for d, _, _ in docs], "h": [h for _, h, _ in docs], "start": np.zeros(len(docs)), "stop": size - WINDOW + 1}
+        self.texts = Regions({"block": block, "bytes": b"".join([t for _, _, t in docs]), "names": None, **{k: np.asarray(v, np.int64).tobytes() for k, v in columns.items()}})
+        h = gram_hashes(self.texts.text)
+        self.begins, self.ends, self.least = self.texts.least_runs(h, GRAM)
+        self.pieces = chunks(h, self.texts.left, np.append(self.texts.base, len(self.texts.flat)))
+
+
+def _filter_keys(table: pa.Table, parts: int) -> tuple[list[Slice], Asked, Asked]:
+    """Slices of a block's texts; their least hashes and their chunks as keys."""
+    slices, some, size, block = [], [], 0, table.column("block")[0].as_py()
+    for row in _texts(table):
+        some.append(row)
+        size += len(row[2])
+        if size >= SLICE_BYTES:
+            slices.append(Slice(block, some))
+            some, size = [], 0
+    if some:
+        slices.append(Slice(block, some))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return (
-        Asked(join(hashes, _U).reshape(-1, 1), join(owners, np.int64), parts),
-        Asked(np.frombuffer(b"".join(digests), _U).reshape(-1, 2), join(chunk_owners, np.int64), parts),
-        pieces,
-    )
+    owners = lambda at: join([s.texts.doc[s.texts.of[at(s)]] for s in slices], np.int64)
+    digests = [xxhash.xxh3_128_digest(s.texts.text[a:b]) for s in slices for a, b in s.pieces.tolist()]
+    least = Asked(join([s.least for s in slices], _U).reshape(-1, 1), owners(lambda s: s.begins), parts)
+    return slices, least, Asked(np.frombuffer(b"".join(digests), _U).reshape(-1, 2), owners(lambda s: s.pieces[:, 0]), parts)
 
 
 def _ask_filter(parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        least, chunk, _ = _filter_keys(table, parts)
-        return _asked_table(least.rows(block, LEAST_HASH, least.many.astype(np.int64)) + chunk.rows(block, CHUNK))
+        _, least, chunk = _filter_keys(table, parts)
+        return _asked_table(least.rows(block, LEAST_HASH) + chunk.rows(block, CHUNK))
 
     return run
 
 
-def _runs(mask: np.ndarray) -> np.ndarray:
-    """Maximal runs [a, b) of true."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-    return edge.reshape(-1, 2)
+def _spans(block: int, kind: int, doc, h, start, stop, text: bytes = b"", names: np.ndarray | None = None) -> pa.Table:
+    """A row of MARKS: spans of one block, and for regions their bytes one behind the other."""
+    columns = [np.asarray(c, np.int64).tobytes() for c in (doc, h, start, stop)]
+    row = (block, kind, *columns, text, None if names is None else names.tobytes())
+    return _table([row], MARK_NAMES, MARK_TYPES)
+
+
+MARK_NAMES = ["block", "kind", "doc", "h", "start", "stop", "bytes", "names"]
+MARK_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+_NO_MARKS = pa.table([pa.array([], t) for t in MARK_TYPES], names=MARK_NAMES)
 
 
 def _mark(parts: int):
     """Covered chunks, and regions whose strings are still to be compared."""
 
     def run(docs: pa.Table, reply: pa.Table) -> pa.Table:
-        out = []
-        if docs.num_rows:
-            block = docs.column("block")[0].as_py()
-            least, chunk, pieces = _filter_keys(docs, parts)
-            shared = least.keys[least.replies(reply, LEAST_HASH) > 0, 0]  # keys are sorted
-            first = chunk.replies(reply, CHUNK)[chunk.at]
-            at = 0
-            for (d, h, t), cut in zip(_texts(docs), pieces, strict=True):
-                old = cut[first[at : at + len(cut)] < d]
-                at += len(cut)
-                m = least_hashes(gram_hashes(t))
-                begins = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-                among = np.minimum(np.searchsorted(shared, m[begins]), max(len(shared) - 1, 0))
-                known = shared[among] == m[begins] if len(shared) else np.zeros(len(begins), bool)
-                inside = np.zeros(len(m) + 1, np.int64)
-                np.add.at(inside, old[:, 0], 1)
-                np.add.at(inside, old[:, 1] - WINDOW + 1, -1)
-                test = (np.cumsum(inside[:-1]) == 0) & np.repeat(known, np.diff(np.append(begins, len(m))))
-                cover = np.zeros(len(t) + 1, np.int64)
-                np.add.at(cover, old[:, 0], 1)
-                np.add.at(cover, old[:, 1], -1)
-                out += [(block, d, h, COVERED, a, b, None) for a, b in _runs(np.cumsum(cover[:-1]) > 0).tolist()]
-                out += [(block, d, h, REGION, a, b, t[a : b + WINDOW - 1]) for a, b in _runs(test).tolist()]
-        return _marks_table(out)
+        if not docs.num_rows:
+            return _NO_MARKS
+        slices, least, chunk = _filter_keys(docs, parts)
+        known, first = least.replies(reply, LEAST_HASH)[least.at] > 0, chunk.replies(reply, CHUNK)[chunk.at]
+        out, i, j = [], 0, 0
+        for s in slices:
+            shared, earlier = known[i : i + len(s.begins)], first[j : j + len(s.pieces)] < s.texts.doc[s.texts.of[s.pieces[:, 0]]]
+            i, j = i + len(s.begins), j + len(s.pieces)
+            old, n = s.pieces[earlier], len(s.texts.flat)
+            if not len(old) and not shared.any():
+                continue
+            test = _within(s.begins[shared], s.ends[shared], n) & ~_within(old[:, 0], old[:, 1] - WINDOW + 1, n)
+            out += [s.texts.spans(COVERED, _within(old[:, 0], old[:, 1], n)), s.texts.spans(REGION, test)]
+        return _united(out)
 
     return run
 
 
-def _marks_table(rows: list[tuple]) -> pa.Table:
-    return _table(rows, ["block", "doc_id", "h", "kind", "start", "stop", "bytes"], [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+def _within(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """A mask of the positions in any of the spans."""
+    edges = np.zeros(n + 1, np.int32)
+    np.add.at(edges, begins, 1)
+    np.add.at(edges, ends, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _united(tables: list[pa.Table]) -> pa.Table:
+    """Rows of MARKS of one block as one row of each kind."""
+    rows = [t.to_pylist()[0] for t in tables]
+    out = []
+    for kind in (COVERED, REGION):
+        some = [r for r in rows if r["kind"] == kind]
+        if some:
+            out.append((some[0]["block"], kind, *(b"".join([r[c] for r in some]) for c in ("doc", "h", "start", "stop", "bytes")), None))
+    return _table(out, MARK_NAMES, MARK_TYPES)
 
 
 class Regions:
     """Regions of a block one behind the other, with the sampled positions of each."""
 
-    def __init__(self, table: pa.Table) -> None:
-        order = sorted(range(table.num_rows), key=lambda k: (table.column("doc_id")[k].as_py(), table.column("h")[k].as_py(), table.column("start")[k].as_py()))
-        rows = table.take(pa.array(order, pa.int64())).to_pylist()
-        self.rows = rows
-        sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
-        self.flat = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+    def __init__(self, row: dict) -> None:
+        self.block, self.text = row["block"], row["bytes"]
+        self.doc, self.h, self.start, self.stop = (np.frombuffer(row[c], np.int64) for c in ("doc", "h", "start", "stop"))
+        sizes = self.stop - self.start + WINDOW - 1
+        self.flat = np.frombuffer(self.text, np.uint8)
         self.base = np.cumsum(sizes) - sizes
-        self.of = np.repeat(np.arange(len(rows)), sizes)
-        self.offset = np.arange(len(self.flat)) - self.base[self.of] if len(rows) else np.zeros(0, np.int64)
-        self.left = sizes[self.of] - self.offset if len(rows) else np.zeros(0, np.int64)
-        self.docs = np.array([r["doc_id"] for r in rows], np.int64)[self.of] if len(rows) else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.offset = np.arange(len(self.flat), dtype=np.int32) - np.repeat(self.base.astype(np.int32), sizes)
+        self.left = np.repeat(sizes.astype(np.int32), sizes) - self.offset
+        self.names = None if row["names"] is None else np.frombuffer(row["names"], np.int64)
+
+    def state(self, names: np.ndarray) -> pa.Table:
+        """The regions as a row again, with names."""
+        return _spans(self.block, REGION, self.doc, self.h, self.start, self.stop, self.text, names)
 
     def sampled(self, covers: int) -> np.ndarray:
         """Sampled positions with so many bytes to the end of their region."""
@@ -271,12 +346,13 @@ class Regions:
 
     def first(self) -> tuple[np.ndarray, np.ndarray]:
         at = self.sampled(FIRST)
-        symbol = packed(self.flat, SYMBOL)
+        symbol = packed(self.text, SYMBOL)
         return at, np.stack([symbol[at], symbol[at + SYMBOL], symbol[at + 2 * SYMBOL]], 1) if len(at) else np.zeros((0, 3), _U)
 
     def second(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Triples of names; ``names`` has one for each first position, 0 elsewhere."""
+        """Triples of names where documents share all three; ``names`` has one for each first position, -1 elsewhere."""
         at = self.sampled(SECOND)
+        at = at[(names[at] >= 0) & (names[at + STEP] >= 0) & (names[at + 2 * STEP] >= 0)]
         return at, np.stack([names[at], names[at + STEP], names[at + 2 * STEP]], 1).astype(_U) if len(at) else np.zeros((0, 3), _U)
 
     def strings(self) -> np.ndarray:
@@ -284,66 +360,102 @@ class Regions:
         return np.flatnonzero(self.left >= WINDOW)
 
     def prefixes(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (bytes beside the name, and shift; name) of the strings that have the shift, and their positions."""
+        """Keys (name, shift and the bytes beside the name, as one number) of the strings with a shared name at the shift, and their positions."""
         at, keys = [], []
         for shift in range(3):
             some = self.strings()
-            some = some[(self.offset[some] + shift) % 3 != 0]
+            some = some[((self.offset[some] + shift) % 3 != 0) & (names[some + shift] >= 0)]
             beside = [self.flat[some + k].astype(_U) for k in (*range(shift), *range(shift + SECOND, WINDOW))]
-            keys.append(np.stack([_U(shift) << _U(16) | beside[0] << _U(8) | beside[1], names[some + shift].astype(_U)], 1))
+            keys.append(names[some + shift].astype(_U) << _U(18) | _U(shift << 16) | beside[0] << _U(8) | beside[1])
             at.append(some)
-        return np.concatenate(at), np.concatenate(keys)
+        return np.concatenate(at), np.concatenate(keys).reshape(-1, 1)
 
     def spread(self, at: np.ndarray, names: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.flat), np.int64)
+        out = np.full(len(self.flat), -1)
         out[at] = names
         return out
 
 
-def _round(parts: tuple[int, int, int], depth: int):
-    """A block's keys of one round. Replies of the rounds before come as kinds NAME and NAME + 1."""
+    def least_runs(self, h: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where runs of strings with one least hash begin and end, and that hash; ``h`` are the gram hashes."""
+        at = self.strings()
+        m = least_hashes(h, gram)[at]
+        new = np.append(True, (m[1:] != m[:-1]) | (self.of[at[1:]] != self.of[at[:-1]])) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        return at[first], at[first] + np.diff(np.append(first, len(at))), m[first]
+
+    def spans(self, kind: int, mask: np.ndarray) -> pa.Table:
+        """Maximal runs of a mask as a row of MARKS, none beyond its region; regions with the bytes of their strings."""
+        edge = self.of[1:] != self.of[:-1]
+        begins, ends = mask.copy(), mask.copy()
+        begins[1:] &= ~mask[:-1] | edge
+        ends[:-1] &= ~mask[1:] | edge
+        a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        of = self.of[a]
+        moved = (self.start - self.base)[of]
+        text = b"".join([self.text[x : y + WINDOW - 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)]) if kind == REGION else b""
+        return _spans(self.block, kind, self.doc[of], self.h[of], a + moved, b + moved, text)
+
+    def long_keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, Asked]:
+        """Where runs of strings with one least hash of long grams begin and end, and these hashes as keys."""
+        begins, ends, least = self.least_runs(gram_hashes(self.text, LONG_GRAM), LONG_GRAM)
+        return begins, ends, Asked(least.reshape(-1, 1), self.doc[self.of[begins]], parts)
+
+    def keys(self, depth: int, parts: int) -> tuple[np.ndarray, Asked]:
+        """Positions and keys of a round: triples of symbols, triples of names, or prefixes of the strings."""
+        if depth == 0:
+            at, rows = self.first()
+        elif depth == 1:
+            at, rows = self.second(self.spread(self.sampled(FIRST), self.names))
+        else:
+            at, rows = self.prefixes(self.spread(self.sampled(SECOND), self.names))
+        return at, Asked(rows, self.doc[self.of[at]], parts)
+
+
+#: Turns at the regions: the filter by long grams, then the rounds 0, 1 and 2.
+LONG = -1
+
+
+def _ask(depth: int, parts: int):
+    """The keys of each block's regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                regions = Regions(batch.slice(k, 1).to_pylist()[0])
+                asked = regions.long_keys(parts)[2] if depth == LONG else regions.keys(depth, parts)[1]
+                yield from _asked_table(asked.rows(regions.block, LEAST_HASH if depth == LONG else NAME + depth)).to_batches()
 
-    def asked(regions: Regions, reply: pa.Table | None) -> tuple[Regions, np.ndarray, Asked]:
-        at, rows = regions.first()
-        own = Asked(rows, np.zeros(len(rows), np.int64), parts[0])
-        for k in range(depth):
-            names = regions.spread(at, own.replies(reply, NAME + k)[own.at])
-            at, rows = regions.second(names) if k == 0 else regions.prefixes(names)
-            own = Asked(rows, np.zeros(len(rows), np.int64) if k == 0 else regions.docs[at], parts[k + 1])
-        return regions, at, own
+    return run
 
-    def first(table: pa.Table) -> pa.Table:
-        return _asked_table(asked(Regions(table), None)[2].rows(table.column("block")[0].as_py(), NAME))
 
-    def later(table: pa.Table, reply: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _asked_table([])
-        return _asked_table(asked(Regions(table), reply)[2].rows(table.column("block")[0].as_py(), NAME + depth))
+def _use(depth: int, parts: int):
+    """What replies make of a block's regions: they are cut down, get names, or turn into covered spans."""
 
-    def last(table: pa.Table, reply: pa.Table) -> pa.Table:
-        """Bytes covered by strings of a smaller document, after the third round."""
+    def run(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _marks_table([])
-        regions, at, own = asked(Regions(table), reply)
-        least = own.replies(reply, NAME + depth)[own.at]
-        old = np.zeros(len(regions.flat) + 1, np.int64)
-        hit = np.unique(at[least < regions.docs[at]])
-        np.add.at(old, hit, 1)
-        np.add.at(old, hit + WINDOW, -1)
-        covered, out = np.cumsum(old[:-1]) > 0, []
-        for k, r in enumerate(regions.rows):
-            a = regions.base[k]
-            out += [(r["block"], r["doc_id"], r["h"], COVERED, r["start"] + x, r["start"] + y, None) for x, y in _runs(covered[a : a + len(r["bytes"])]).tolist()]
-        return _marks_table(out)
-
-    return first if depth == 0 else later, last
+            return _NO_MARKS
+        regions = Regions(table.to_pylist()[0])
+        if depth == LONG:
+            begins, ends, asked = regions.long_keys(parts)
+            known = asked.replies(reply, LEAST_HASH)[asked.at] > 0
+            return regions.spans(REGION, _within(begins[known], ends[known], len(regions.flat)))
+        at, own = regions.keys(depth, parts)
+        got = own.replies(reply, NAME + depth)[own.at]
+        if depth < 2:
+            return regions.state(regions.spread(at, got)[regions.sampled((FIRST, SECOND)[depth])])
+        hit = np.unique(at[got < regions.doc[regions.of[at]]])
+        return regions.spans(COVERED, _within(hit, hit + WINDOW, len(regions.flat)))
+
+    return run
 
 
 def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
     """Counts and digests of the documents of a block without their covered bytes."""
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, h, a, b in zip(*(marks.column(c).to_pylist() for c in ("doc_id", "h", "start", "stop")), strict=True):
-        spans.setdefault((d, h), []).append((a, b))
+    for row in zip(*(marks.column(c).to_pylist() for c in ("doc", "h", "start", "stop")), strict=True):
+        for d, h, a, b in zip(*(np.frombuffer(c, np.int64).tolist() for c in row), strict=True):
+            spans.setdefault((d, h), []).append((a, b))
     out = []
     for d, h, t in zip(docs.column("doc_id").to_pylist(), docs.column("h").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
         t = t or b""
@@ -378,29 +490,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)))
-    parts = lambda keys: max(1, min(1 << 15, math.ceil(keys / part_keys)))
+    parts = lambda keys: max(1, min(1 << 20, math.ceil(keys / part_keys)))
 
     filter_parts = parts(size / 8)
     asked = dealt.groupBy("block").applyInArrow(_ask_filter(filter_parts), ASKED)
-    reply = durable(asked.groupBy("part").applyInArrow(_sort_part({LEAST_HASH: 1, CHUNK: 2}, False), REPLY))
+    reply = durable(asked.groupBy("part").applyInArrow(_sort_part({LEAST_HASH: 1, CHUNK: 2}), REPLY))
     marks = durable(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_mark(filter_parts), MARKS))
     discard(reply)
 
     regions = marks.where(F.col("kind") == REGION)
-    strings = regions.agg(F.sum(F.col("stop") - F.col("start") + WINDOW)).first()[0] or 0
-    round_parts = (parts(strings * 2 / 3), parts(strings * 2 / 3), parts(strings * 2))
-    replies, spent = None, []
-    for depth in range(3):
-        ask, last = _round(round_parts, depth)
-        by_block = regions.groupBy("block")
-        asked = by_block.applyInArrow(ask, ASKED) if depth == 0 else by_block.cogroup(replies.groupBy("block")).applyInArrow(ask, ASKED)
-        width = {NAME + depth: 3 if depth < 2 else 2}
-        reply = durable(asked.groupBy("part").applyInArrow(_sort_part(width, naming=depth < 2), REPLY))
-        spent.append(reply)
-        replies = reply if replies is None else replies.unionByName(reply)
-    covered = durable(by_block.cogroup(replies.groupBy("block")).applyInArrow(last, MARKS))
-    for table in spent:
-        discard(table)
-    all_covered = marks.where(F.col("kind") == COVERED).unionByName(covered).select("block", "doc_id", "h", "start", "stop")
+    for depth in (LONG, 0, 1, 2):
+        size = regions.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        own_parts = parts(size * {LONG: 1 / 6, 0: 2 / 3, 1: 2 / 3, 2: 2}[depth])
+        kind, width = (LEAST_HASH, 1) if depth == LONG else (NAME + depth, 3 if depth < 2 else 1)
+        asked = regions.mapInArrow(_ask(depth, own_parts), ASKED)
+        reply = durable(asked.groupBy("part").applyInArrow(_sort_part({kind: width}), REPLY))
+        used = durable(regions.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_use(depth, own_parts), MARKS))
+        discard(reply)
+        if depth > LONG:
+            discard(regions)
+        regions = used
+    all_covered = marks.where(F.col("kind") == COVERED).unionByName(regions).select("block", "doc", "h", "start", "stop")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
     return dealt.groupBy("block").cogroup(all_covered.groupBy("block")).applyInArrow(_finish, schema)

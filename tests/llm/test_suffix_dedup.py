@@ -69,11 +69,13 @@ def test_empty_table_and_constant_bytes(spark):
 
 
 def test_filter_parts():
-    data = bytes(random.Random(3).randrange(256) for _ in range(5000))
+    dice = random.Random(3)
+    data = bytes(dice.randrange(256) for _ in range(5000))
     h = gram_hashes(data)
     m = least_hashes(h)
     assert len(m) == len(data) - WINDOW + 1 and all(m[i] == h[i : i + WINDOW - 23].min() for i in range(0, len(m), 97))
-    assert [0, len(data)] in chunks(h, len(data)).tolist()
+    cut = chunks(h, np.arange(len(data), 0, -1), np.array([0, len(data)]))
+    assert [0, len(data)] in cut.tolist() and len(cut) > 10 and (cut[:, 1] - cut[:, 0] >= WINDOW).all()
 
 
 def test_query_against_brute_force(spark, sf):
