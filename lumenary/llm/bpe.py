@@ -25,7 +25,7 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Characters of text taken together, words known to a worker at most, token rows of one query at
 #: most (a word of n bytes makes up to n*n/2), and bytes beyond which a word goes to the heap instead.
-GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 6 << 20, 800_000, 1_000_000, 1024
+GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 4 << 20, 600_000, 500_000, 1024
 
 _ENCODE = """
 WITH RECURSIVE s(it, w, pos, tok, after, next) AS (
@@ -65,8 +65,9 @@ class Coder:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         self._table("merges", pair=left << 32 | right, rank=rank.astype(np.int32))
         self._table("vocabulary", id=np.fromiter(ranks.values(), np.int32), hex=[t.hex() for t in ranks])
-        self.ids: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
+        #: Words with their ids and the bytes of these: the ones met lately, and those of the time before.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, table: str, **columns: np.ndarray | list) -> None:
         given = pa.table(columns)  # noqa: F841  DuckDB finds it by name
@@ -145,15 +146,19 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet, and decode their ids."""
-        new = list(words.difference(self.ids))
-        if len(self.ids) + len(new) > KNOWN_WORDS:
-            self.ids, self.bytes = {}, {}
-            new = list(words)
+        if len(self.known) + len(words) > KNOWN_WORDS // 2:
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        for w in words.difference(known):
+            if (pair := before.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = pair
         if new:
             flat, size = self.encode_words([w.encode() for w in new])
             raw, ends = flat.tobytes(), np.cumsum(size) * 4
-            self.ids.update(zip(new, (raw[a:b] for a, b in zip((ends - size * 4).tolist(), ends.tolist(), strict=True)), strict=True))
-            self.bytes.update(zip(new, self.decode(flat, size), strict=True))
+            ids = (raw[a:b] for a, b in zip((ends - size * 4).tolist(), ends.tolist(), strict=True))
+            known.update(zip(new, zip(ids, self.decode(flat, size), strict=True), strict=True))
 
     def code(self, group: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the bytes that they decode to, of each text."""
@@ -163,14 +168,14 @@ class Coder:
             split = self.pattern.findall
             words = {u: split(u) for u in set().union(*units)}
             self.learn(set(chain.from_iterable(words.values())))
-            known, back, join = self.ids, self.bytes, b"".join
+            known, join = self.known, b"".join
             ids, text = {}, {}
             for u, ws in words.items():
                 if len(ws) == 1:
-                    w = ws[0]
-                    ids[u], text[u] = known[w], back[w]
+                    ids[u], text[u] = known[ws[0]]
                 else:
-                    ids[u], text[u] = join([known[w] for w in ws]), join([back[w] for w in ws])
+                    pairs = [known[w] for w in ws]
+                    ids[u], text[u] = join([p[0] for p in pairs]), join([p[1] for p in pairs])
             return zip([join(map(ids.__getitem__, us)) for us in units], [join(map(text.__getitem__, us)) for us in units], strict=True)
         finally:
             gc.enable()
