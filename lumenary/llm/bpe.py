@@ -25,7 +25,7 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Characters of text taken together, words known to a worker at most, token rows of one query at
 #: most (a word of n bytes makes up to n*n/2), and bytes beyond which a word goes to the heap instead.
-GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 4 << 20, 600_000, 500_000, 1024
+GROUP_CHARS, KNOWN_WORDS, QUERY_ROWS, LONG_WORD = 6 << 20, 700_000, 1_000_000, 1024
 
 _ENCODE = """
 WITH RECURSIVE s(it, w, pos, tok, after, next) AS (
@@ -146,10 +146,11 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet, and decode their ids."""
-        if len(self.known) + len(words) > KNOWN_WORDS // 2:
-            self.known, self.before = {}, self.known
+        missing = words.difference(self.known)
+        if len(self.known) + len(missing) > KNOWN_WORDS // 2:
+            self.known, self.before, missing = {}, self.known, words
         known, before, new = self.known, self.before, []
-        for w in words.difference(known):
+        for w in missing:
             if (pair := before.get(w)) is None:
                 new.append(w)
             else:
