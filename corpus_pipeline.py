@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from lumenary.llm import bpe
 from lumenary.llm.decontaminate import decontaminate
+from lumenary.llm.jaccard import similar_texts
 from lumenary.llm.quality import quality_rules
 from lumenary.llm.secret_scan import secret_scan
-from lumenary.llm.simhash import near_duplicates
 from lumenary.llm.storage import durable
 
 
@@ -23,8 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id; of repeated rows one."""
-    later = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each component of similar texts, the one with the smallest id; of repeated rows one."""
+    found = durable(similar_texts(docs))
+    first = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    later = found.join(first, "component").where("doc_id <> least").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
@@ -51,13 +53,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_quality),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
     ("byte-level bpe", encode),
 ]
 
-#: SQL has no zstandard, SimHash trie or BPE; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: SQL has no zstandard or BPE; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
