@@ -73,3 +73,11 @@ def _texts(sf, kept={}):  # noqa: B006
     if not kept:
         kept |= {r["doc_id"]: r["text"] for r in table(sf, "documents")}
     return kept
+
+
+def test_lone_short_runs_without_padding():
+    for plain, kind in ((b"token=abcdef", "assign"), (b"secret=abcdef", "assign"), (b"token=abcdefg1", "assign")):
+        run = base64.b64encode(plain).rstrip(b"=")
+        assert 16 <= len(run) < 20
+        for text in (run, b"see " + run + b" here"):
+            assert scan(text) == ([], [(kind, text.index(run), text.index(run) + len(run))])
