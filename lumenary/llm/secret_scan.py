@@ -9,6 +9,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ _RUN = b"a" * 16  # the least that _BASE64 takes
 _URL = re.compile(rb"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(rb"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A layer that grows beyond this many bytes is not unwrapped further (decompression bombs).
+#: Compressed content that would make a layer larger than this many bytes is scanned in pieces (decompression bombs).
 MAX_LAYER_BYTES = 64 << 20
+#: Bytes of a piece, and of the piece before that are scanned again with it.
+PIECE, OVERLAP = 4 << 20, 1 << 18
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError)
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -110,23 +114,52 @@ def _unicode(layer: Layer) -> Layer | None:
     return layer.replaced(edits)
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """One compressed layer opened, if the bytes are one."""
+def _reader(data: bytes) -> Callable[[int], bytes] | None:
+    """Reads the next bytes, as many as asked at most, of compressed content, if the bytes begin like one."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        z = zlib.decompressobj(47)
+        rest = data
+
+        def inflate(n: int) -> bytes:
+            nonlocal rest
+            out = z.decompress(rest, n)
+            rest = z.unconsumed_tail
+            return out
+
+        return inflate
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().stream_reader(data).read
+    if data[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    elif data[:6] == b"\xfd7zXZ\x00":
+        d = lzma.LZMADecompressor()
+    else:
+        return None
+    source = iter([data])
+    return lambda n: b"" if d.eof else d.decompress(next(source, b""), n)
+
+
+def _inflated(data: bytes, most: int) -> bytes | None:
+    """One compressed layer opened, if the bytes are one; one byte more than ``most`` where it has more."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            z = zlib.decompressobj(47)
-            out = z.decompress(data, MAX_LAYER_BYTES)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, MAX_LAYER_BYTES)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, MAX_LAYER_BYTES)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER_BYTES)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
+        read = _reader(data)
+        return None if read is None else read(most + 1)
+    except _BROKEN:
         return None
-    return out
+
+
+def _kinds_in_pieces(data: bytes) -> set[str]:
+    """Kinds of secrets in compressed content of any size, looked for in pieces that overlap."""
+    found: set[str] = set()
+    read, kept = _reader(data), b""
+    try:
+        while new := read(PIECE):
+            piece = kept + new
+            found |= {k for k, _, _ in base_spans(piece)} | {k for k, _, _ in nested_spans(piece, False)}
+            kept = piece[-OVERLAP:]
+    except _BROKEN:
+        pass
+    return found
 
 
 def _readable(data: bytes) -> bool:
@@ -138,8 +171,9 @@ def _readable(data: bytes) -> bool:
     return bool(text) and all(c >= " " and c != "\x7f" or c in "\t\n\r" for c in text)
 
 
-def _base64(layer: Layer) -> Layer | None:
-    edits = []
+def _base64(layer: Layer, large: list[tuple[int, int, bytes]]) -> Layer | None:
+    """The decoded layer; runs that would take it beyond MAX_LAYER_BYTES stay, and go to ``large`` with what they hold."""
+    edits, room = [], max(0, MAX_LAYER_BYTES - len(layer.data))
     for m in _BASE64.finditer(layer.data):
         body = m[0].rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
         if len(body) % 4 == 1:
@@ -149,34 +183,47 @@ def _base64(layer: Layer) -> Layer | None:
         except binascii.Error:
             continue
         opened, seen = raw, {raw}
-        while (more := _inflated(opened)) is not None and more not in seen:
+        most = room + len(m[0])
+        while (more := _inflated(opened, most)) is not None and len(more) <= most and more not in seen:
             seen.add(more)
             opened = more
-        if _readable(opened):
+        if more is not None and len(more) > most:
+            large.append((*m.span(), opened))
+        elif _readable(opened):
+            room -= max(0, len(opened) - len(m[0]))
             edits.append((*m.span(), opened, opened is raw))
     return layer.replaced(edits)
 
 
-def nested_spans(data: bytes) -> set[tuple[str, int, int]]:
+def nested_spans(data: bytes, open_large: bool = True) -> set[tuple[str, int, int]]:
     """Spans that only decoded layers show, as byte spans of ``data``.
 
     Every layer offers its URL, Unicode and base64 decodings as further layers, compressed content
-    opened on the way. The worklist ends at the fixpoint; a layer met before is not taken again.
+    opened on the way. The worklist ends at the fixpoint; a layer met before is not taken again. A compressed run that makes a layer
+    larger than MAX_LAYER_BYTES is no part of the next layer: its content is scanned in pieces, whose
+    spans are those of the run. Such a run within a piece is left (``open_large`` false).
     """
     found: set[tuple[str, int, int]] = set()
     met = {hashlib.sha256(data).digest()}
     work = [Layer.root(data)]
+    opened: set[tuple[int, int, bytes]] = set()
     while work:
         layer = work.pop()
-        for decode in (_url, _unicode, _base64):
+        large: list[tuple[int, int, bytes]] = []
+        for decode in (_url, _unicode, lambda x: _base64(x, large)):  # noqa: B023
             inner = decode(layer)
-            if inner is None or len(inner.data) > MAX_LAYER_BYTES or (key := hashlib.sha256(inner.data).digest()) in met:
+            if inner is None or (key := hashlib.sha256(inner.data).digest()) in met:
                 continue
             met.add(key)
             work.append(inner)
             for kind, a, b in base_spans(inner.data):
                 if inner.changed[a:b].any():
                     found.add((kind, int(inner.start[a:b].min()), int(inner.end[a:b].max())))
+        for a, b, held in large if open_large else ():
+            place = int(layer.start[a:b].min()), int(layer.end[a:b].max())
+            if (key := (*place, hashlib.sha256(held).digest())) not in opened:
+                opened.add(key)
+                found |= {(kind, *place) for kind in _kinds_in_pieces(held)}
     return found
 
 

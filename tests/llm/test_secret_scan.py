@@ -1,12 +1,18 @@
 import base64
+import bz2
+import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
 
+import zstandard
+
 from fixtures import TEXTS, awkward, empty, table
 
 from lumenary.llm import queries
+from lumenary.llm import secret_scan as secret_scan_module
 from lumenary.llm.secret_scan import scan, secret_scan
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -81,3 +87,18 @@ def test_lone_short_runs_without_padding():
         assert 16 <= len(run) < 20
         for text in (run, b"see " + run + b" here"):
             assert scan(text) == ([], [(kind, text.index(run), text.index(run) + len(run))])
+
+
+def test_a_large_run_neither_hides_others_nor_its_own(monkeypatch):
+    monkeypatch.setattr(secret_scan_module, "MAX_LAYER_BYTES", 4096)
+    monkeypatch.setattr(secret_scan_module, "PIECE", 1024)
+    monkeypatch.setattr(secret_scan_module, "OVERLAP", 256)
+    other = base64.b64encode(b"token=abcdefgh")
+    for pack in (zlib.compress, gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        bomb = base64.b64encode(pack(b"word " * 4000))
+        full = base64.b64encode(pack(b"word " * 4000 + base64.b64encode(b"password=abcdefgh") + b" word" * 4000))
+        text = bomb + b" " + full + b" " + other
+        a, b = len(bomb) + 1, len(bomb) + len(full) + 2
+        assert scan(text)[1] == [("assign", a, a + len(full)), ("assign", b, len(text) - len(other) + 20)]
+    plain = b"word " * 2000
+    assert scan(plain + b"token%3Dabcdefgh " + other)[1] == [("assign", 10000, 10016), ("assign", 10017, 10037)]
