@@ -23,11 +23,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts, the one with the smallest id; of repeated rows one."""
-    found = durable(similar_texts(docs))
-    first = found.groupBy("component").agg(F.min("doc_id").alias("least"))
-    later = found.join(first, "component").where("doc_id <> least").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One row of each component of similar texts: the one with the smallest id, a null id last, then the least MD5 of its text."""
+    found = similar_texts(docs)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least"))
+    kept = durable(first.select(F.col("least.doc_id").alias("_id"), F.col("least.mark").alias("_mark")))
+    marked = docs.withColumn("_md5", F.md5("text"))
+    rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & marked["_md5"].eqNullSafe(kept["_mark"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_md5"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,15 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, sf):
     texts = [" ".join(words), " ".join([*words[:50], "x", *words[51:120], "y", *words[121:]]), " ".join(f"other{k}" for k in range(200))]
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [0, 2]
+
+
+def test_rows_with_shared_and_null_ids(spark, sf):
+    story = [f"word{k}" for k in range(200)]
+    near = " ".join([*story[:50], "x", *story[51:]])
+    rows = [(1, " ".join(story)), (2, near), (2, "a text of its own under an id that a copy has too"), (None, " ".join(story)), (None, near)]
+    alone = [f"other{k}" for k in range(200)]
+    rows += [(None, " ".join(alone)), (None, " ".join(alone)), (None, " ".join([*alone[:90], "y", *alone[91:]]))]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    assert sorted(k for k in kept if k[0] is not None) == [rows[0], rows[2]]
+    assert len([t for d, t in kept if d is None]) == 1 and next(t for d, t in kept if d is None).startswith("other0 ")
