@@ -15,6 +15,8 @@ from lumenary.llm.arrow import add_columns, texts
 #: Lines of a sliding window; characters that a window must reach for a surge where nothing marks
 #: the article, or this share of the page's fullest window if that is less.
 WINDOW_LINES, SURGE_CHARS, SURGE_SHARE = 3, 86, 0.2
+#: A marked article with less than this share of the page's weight does not decide where the main text is.
+ARTICLE_SHARE = 0.25
 #: A line outside of an article is a menu if links have this share of its characters.
 LINK_SHARE = 0.6
 
@@ -120,15 +122,16 @@ def main_text(page: str) -> str:
 
     Sums of the lines' weights over sliding windows surge where the main text begins and dive to
     nothing where it ends. Between such points all lines with weight are kept. Where an article is
-    marked and has text, only its lines have weight and any text there is a surge; elsewhere a
-    window must reach SURGE_CHARS, or a share of the fullest one.
+    marked and has ARTICLE_SHARE of the page's weight, only its lines have weight and any text there
+    is a surge; elsewhere a window must reach SURGE_CHARS, or a share of the fullest one, and text
+    of a smaller article is kept beside that.
     """
     lines, marked = lines_of(page)
     weight = np.array([w for _, w, _ in lines], np.int64)
     inside = np.array([i for _, _, i in lines], bool)
     if not weight.any():
         return ""
-    own = marked and bool(weight[inside].any())
+    own = marked and weight[inside].sum() >= ARTICLE_SHARE * weight.sum()
     if own:
         weight[~inside] = 0
     window = np.convolve(weight, np.ones(WINDOW_LINES, np.int64))  # sums that end at each line
@@ -139,6 +142,7 @@ def main_text(page: str) -> str:
     for a, b in zip(begins, ends, strict=True):
         if window[a:b].max() >= surge:
             kept[a:b] = True
+    kept |= inside
     return "\n".join(lines[k][0] for k in np.flatnonzero(kept & (weight > 0)))
 
 

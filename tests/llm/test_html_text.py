@@ -50,3 +50,10 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, None, None, "t", "n"), (None, "u", "<article>a</article>", "t", "n"), (None, "u", "<article>a</article>", "t", "n")], schema)
     assert [(r.page_id, r.text, r.n_chars) for r in extract_text(rows).collect()] == [(1, "", 0), (None, "a", 1), (None, "a", 1)]
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_small_article_beside_unmarked_text():
+    body = "".join(f"<p>{k} {PROSE[0]}</p>" for k in range(6))
+    for box in ("<article><p>A teaser.</p></article>", "<main><p>A teaser.</p></main>"):
+        text = main_text(f"<body><ul><li><a href='/'>Home</a></li></ul>{box}<hr><div>{body}</div><footer>Imprint</footer></body>")
+        assert text.split("\n") == ["A teaser.", *(f"{k} First paragraph of the story, long enough to be taken for prose by the window sums & more." for k in range(6))]
