@@ -7,16 +7,14 @@ import pytest
 
 from lumenary import registry
 
-from conftest import SF
-
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
@@ -29,8 +27,8 @@ def ordered(rows):
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
-def test_rows(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
+def test_rows(spark, duck, sf, name):
+    df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     found = duck.execute(registry.ORACLES[name])
     assert sorted(d[0] for d in found.description) == columns
@@ -39,5 +37,5 @@ def test_rows(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_without_oracle(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_without_oracle(spark, sf, name):
+    assert registry.QUERIES[name](spark, sf).count() > 0

@@ -6,14 +6,12 @@ from lumenary.operators import ingest
 from lumenary.operators.runs import failure_streaks as batch_streaks
 from lumenary.streaming import events as S
 
-from conftest import SF
-
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def land(spark, tmp_path, n=3):
+def land(spark, sf, tmp_path, n=3):
     folder = str(tmp_path / "in")
-    spark.read.parquet(f"{SF}/events.parquet").repartitionByRange(n, "ts").write.parquet(folder)
+    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(n, "ts").write.parquet(folder)
     return folder
 
 
@@ -23,28 +21,28 @@ def collected(stream, tmp_path, mode):
     return [r for k in sorted(out) for r in out[k]]
 
 
-def test_counts(spark, tmp_path):
-    folder = land(spark, tmp_path)
+def test_counts(spark, sf, tmp_path):
+    folder = land(spark, sf, tmp_path)
     rows = collected(S.event_counts(S.read_folder(spark, folder, SCHEMA, 1)), tmp_path, "complete")
     want = {tuple(r) for r in S.event_counts(spark.read.parquet(folder)).collect()}
     assert want <= {tuple(r) for r in rows}
 
 
-def test_windows(spark, tmp_path):
-    folder = land(spark, tmp_path)
+def test_windows(spark, sf, tmp_path):
+    folder = land(spark, sf, tmp_path)
     stream = S.rate_windows(S.read_folder(spark, folder, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp")), 1)
     assert len(collected(stream, tmp_path, "complete")) == S.rate_windows(spark.read.parquet(folder), 1).count()
 
 
-def test_first_delivery(spark, tmp_path):
-    folder = land(spark, tmp_path, 1)
+def test_first_delivery(spark, sf, tmp_path):
+    folder = land(spark, sf, tmp_path, 1)
     stream = S.read_folder(spark, folder, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
     rows = collected(S.first_delivery(stream.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days"), tmp_path, "append")
     assert len(rows) == spark.read.parquet(folder).select("user_id", "event_type").distinct().count()
 
 
-def test_streaks(spark, tmp_path):
-    folder = land(spark, tmp_path)
+def test_streaks(spark, sf, tmp_path):
+    folder = land(spark, sf, tmp_path)
     as_runs = lambda df: df.select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "FAIL").otherwise("OK").alias("status"))
     rows = collected(S.failure_streaks(as_runs(S.read_folder(spark, folder, SCHEMA))), tmp_path, "update")
     got = {r.source_id: (r.streak, r.longest) for r in rows}
