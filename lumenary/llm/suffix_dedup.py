@@ -4,22 +4,24 @@ The strings are the byte strings of WINDOW bytes. Comparing them by suffix order
 suffix than that prefix, so the recursion ends once names cover it:
 
 * sampled positions are those not divisible by three, within a region of text;
-* the triple at a sampled position is three symbols of six bytes, 18 bytes; triples are sorted and numbered;
+* the triple at a sampled position is three symbols of six bytes, 18 bytes; triples are sorted, and their
+  ranks are their names;
 * the string of names is sampled again: the triple of names 15 bytes apart covers 48 bytes; these
-  are sorted and numbered too;
+  are sorted and named likewise;
 * the remaining positions are merged by the cover's shifts: any two positions have a shift of 0, 1 or 2
-  to sampled ones, so a prefix of 50 bytes is one such name and the two bytes beside it;
+  to sampled ones, so a prefix of 50 bytes is one such name and the two bytes beside it; these are sorted by rank;
 * entries that are adjacent once sorted have equal prefixes; the smallest document among them owns it.
 
 A name that only one document has ends there: no string over it can be in another.
 
-Sorting is distributed: a block of documents gives its distinct keys, dealt by hash to tasks that sort and
-number them, and takes the numbers back. Keys travel as binary columns, so Spark moves few rows.
+Sorting is distributed by ranges: a bounded sample gives splitters, a unit of regions sorts its distinct keys and
+sends each range to the task that merges it, and takes ranks back. So ranks order keys across all tasks.
+Keys travel as compressed binary columns, so Spark moves few rows.
 
-Most text is in one document only. A filter that loses nothing goes before: the least hash of the
-grams in a string is the same wherever the string is, so strings whose least hash no other document has
-are set aside; and content-defined chunks that an earlier document has are covered whole. What is
-left is filtered once more by longer grams, which fit a string more closely but are more.
+Two things choose the work and remove nothing by themselves. Of equal texts (SHA-256) only the first
+document's goes through the method; the others are covered by it whole. And most text is in one document
+only: the least hash of the grams in a string is the same wherever the string is, so strings whose least
+hash no other document has are set aside.
 """
 
 from __future__ import annotations
@@ -30,33 +32,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.storage import discard, durable
 
-#: Bytes of a string, of a gram of the filter and of its second turn, and of a block's text; keys that a sorting task should get.
-WINDOW, GRAM, LONG_GRAM, BLOCK_BYTES, PART_KEYS = 50, 24, 40, 6 << 20, 700_000
-#: Bytes of texts that the filter takes together, so that its arrays stay in the processor's cache.
-SLICE_BYTES = 96 << 10
-#: Masks of the gram hashes that end a chunk: about 1024 and 128 bytes.
-CHUNK_MASKS = (1023, 127)
+#: Bytes of a string, of a gram of the filter, of a block's text, of a unit of regions; keys that a sorting task should get.
+WINDOW, GRAM, BLOCK_BYTES, UNIT_BYTES, PART_KEYS = 50, 24, 6 << 20, 768 << 10, 600_000
+#: Bytes of texts that the filter takes together, so that its arrays stay in the processor's cache, and of a piece of a longer text.
+SLICE_BYTES, PIECE_BYTES = 96 << 10, 1 << 20
 #: Bytes of a symbol, of a triple of symbols, distance of names, and bytes of a triple of names.
 SYMBOL, FIRST, STEP, SECOND = 6, 18, 15, 48
+#: Bounds of the sample for splitters: units, keys, and ranges. Where more parts are needed each range is dealt to several.
+SAMPLE_UNITS, SAMPLE_KEYS, RANGES = 48, 1 << 18, 1 << 14
+#: Bits of a name: its part and its rank there.
+NAME_BITS = 46
 _U = np.uint64
 _MIX = tuple(map(_U, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
 NONE = np.iinfo(np.int64).max
 
-REPLY = "block long, part long, kind int, reply binary"
-ASKED = "part long, block long, kind int, keys binary, docs binary"
-MARKS = "block long, kind int, doc binary, h binary, start binary, stop binary, bytes binary, names binary"
-COVERED, REGION = 0, 1
-#: Kinds of keys: least hashes and chunks of the filter, names of two rounds and then prefixes; types of the
-#: replies about keys of which it counts whether documents share them; bits of a name within its part.
-LEAST_HASH, CHUNK, NAME = 0, 1, 2
-COUNTED = {LEAST_HASH: np.int8, NAME: np.int32, NAME + 1: np.int32}
-NAME_BITS = 24
+REPLY = "unit long, part long, reply binary"
+ASKED = "part long, unit long, n long, keys binary, docs binary"
+MARKS = "unit long, doc binary, h binary, start binary, stop binary, bytes binary, names binary"
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """An array by planes of its bytes, compressed; sorted numbers become small."""
+    planes = np.ascontiguousarray(a.reshape(len(a), -1).view(np.uint8).T) if len(a) else a
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(blob: bytes, kind: type, width: int = 1) -> np.ndarray:
+    """What squeezed() was given, with ``width`` columns."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    row = np.dtype(kind).itemsize * width
+    return np.ascontiguousarray(planes.reshape(row, -1).T).view(kind).reshape(-1, width)
 
 
 def packed(data: bytes, n: int) -> np.ndarray:
@@ -86,102 +97,99 @@ def least_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def chunks(h: np.ndarray, left: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Pieces [a, b) of at least WINDOW bytes: whole texts, and chunks that their content cuts.
+def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A sorting order, the rank of each value among the distinct ones, and how many these are."""
+    order = np.argsort(code)
+    ordered = code[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    rank = np.empty(len(code), _U)
+    rank[order] = np.cumsum(new, dtype=np.int64) - 1
+    return order, rank, int(new.sum())
 
-    ``h`` has the gram hashes of texts one behind the other, ``left`` the bytes to the end of a
-    position's text and ``base`` the beginnings of the texts and the end of the last.
-    """
-    found = [base[:-1] << 32 | base[1:]]
-    for mask in CHUNK_MASKS:
-        cut = np.flatnonzero(h & _U(mask) == 0)
-        edges = np.unique(np.concatenate([cut[left[cut] >= GRAM], base]))
-        found.append(edges[:-1] << 32 | edges[1:])
-    both = np.unique(np.concatenate(found))
-    a, b = both >> 32, both & 0xFFFFFFFF
-    return np.stack([a, b], 1)[b - a >= WINDOW]
-
-
-def _dense(column: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rank of each value among the distinct ones, and how many these are."""
-    order = np.argsort(column)
-    ordered = column[order]
-    rank = np.empty(len(column), _U)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(column) else []
-    return rank, int(rank[order[-1]]) + 1 if len(column) else 0
-
-
-def _first_of(order: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in the given order, in which equal rows are adjacent, and where each row is among them."""
-    ordered = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = ordered[1:, 0] != ordered[:-1, 0]
-    for k in range(1, rows.shape[1]):
-        new[1:] |= ordered[1:, k] != ordered[:-1, k]
-    at = np.empty(len(rows), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return ordered[new], at
-
-
-def unique_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in lexicographic order, and where each row is among them.
 
-    Ranks of the columns are packed into one number from the left, which is ranked again where it
-    would not fit, so only plain numbers are sorted.
+    As many bits as fit are packed into one number from the left; where more follow, the number is
+    replaced by its rank, so only plain numbers are sorted. It ends early where all rows differ.
     """
-    code, n = _dense(rows[:, 0])
-    for k in range(1, rows.shape[1]):
-        rank, m = _dense(rows[:, k])
-        if n * m >= 1 << 63:
-            code, n = _dense(code)
-        code, n = code * _U(max(m, 1)) + rank, n * m
-    return _first_of(np.argsort(code), rows)
-
-
-def mixed(rows: np.ndarray) -> np.ndarray:
-    """A hash of each row."""
-    out = rows[:, 0] * _MIX[0]
-    for k in range(1, rows.shape[1]):
-        out = (out ^ rows[:, k] ^ out >> _U(29)) * _MIX[k]
-    return out ^ out >> _U(32)
-
-
-def distinct_rows(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in the order of their hashes ``h``, and where each row is among them."""
-    order = np.argsort(h)
-    keys, at = _first_of(order, rows)
-    return (keys, at) if len(keys) == 1 + np.count_nonzero(np.diff(h[order])) or not len(keys) else unique_rows(rows)  # else two rows share a hash
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    code, bits = np.zeros(len(rows), _U), 0
+    order = rank = None
+    for k in range(rows.shape[1]):
+        left = int(rows[:, k].max()).bit_length()  # bits of this column still to be taken in, from the top
+        while left:
+            if bits == 64:
+                order, code, n = _ranked(code)
+                bits, rank = n.bit_length(), code
+                if n == len(rows):
+                    return rows[order], rank.astype(np.int64)
+            take = min(left, 64 - bits)
+            new = rows[:, k] >> _U(left - take)
+            code = (code << _U(take) | new & _U((1 << take) - 1)) if take < 64 else new
+            bits, left = bits + take, left - take
+    order, rank, n = _ranked(code)
+    first = np.append(True, rank[order[1:]] != rank[order[:-1]])
+    return rows[order[first]], rank.astype(np.int64)
+
+
+def as_text(rows: np.ndarray) -> np.ndarray:
+    """Rows as byte strings that sort like them."""
+    return np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * rows.shape[1]}").ravel()
+
+
+class Splitters:
+    """Where ranges of keys begin, and how many parts each range is dealt to."""
+
+    def __init__(self, begins: np.ndarray, sub: int) -> None:
+        self.begins, self.sub = begins, sub
+        self.parts = (len(begins) + 1) * sub
+        self.bits = NAME_BITS - self.parts.bit_length()
+
+    def slices(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each part with the numbers of its keys; ``keys`` are sorted, and so are those of a part."""
+        if not len(keys):
+            return
+        edges = np.concatenate([[0], np.searchsorted(as_text(keys), self.begins), [len(keys)]])
+        for r in np.flatnonzero(np.diff(edges)):
+            some = np.arange(edges[r], edges[r + 1])
+            if self.sub == 1:
+                yield int(r), some
+                continue
+            h = keys[some, 0] * _MIX[0]
+            for k in range(1, keys.shape[1]):
+                h = (h ^ keys[some, k] ^ h >> _U(29)) * _MIX[k % 3]
+            place = (h >> _U(33)) % _U(self.sub)
+            for p in np.unique(place).tolist():
+                yield int(r) * self.sub + p, some[place == p]
 
 
 class Asked:
-    """Distinct keys of a block with the least document of each, in the order in which they are dealt to parts."""
+    """Distinct keys of a unit in sorted order, with the least document of each."""
 
-    def __init__(self, rows: np.ndarray, docs: np.ndarray, parts: int) -> None:
-        self.keys, self.at = distinct_rows(rows, mixed(rows) if rows.shape[1] > 1 else rows[:, 0])
+    def __init__(self, rows: np.ndarray, docs: np.ndarray) -> None:
+        self.keys, self.at = sorted_rows(rows)
         self.docs, last = np.full(len(self.keys), NONE), np.full(len(self.keys), -NONE)
         np.minimum.at(self.docs, self.at, docs)
         np.maximum.at(last, self.at, docs)
         self.many = last > self.docs
-        self.part = (((mixed(self.keys) * _MIX[2]) >> _U(32)) % _U(parts)).astype(np.int64)
-        self.order = np.argsort(self.part, kind="stable")
-
-    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each part with the numbers of its keys."""
-        ends = np.flatnonzero(np.diff(self.part[self.order])) + 1
-        for some in np.split(self.order, ends) if len(self.order) else []:
-            yield int(self.part[some[0]]), some
-
-    def rows(self, block: int, kind: int) -> list[tuple]:
-        docs = self.many.astype(np.int8) if kind in COUNTED else self.docs
-        return [(part, block, kind, self.keys[some].tobytes(), docs[some].tobytes()) for part, some in self.slices()]
-
-    def replies(self, table: pa.Table, kind: int) -> np.ndarray:
-        """The reply for each key: whether documents share it, its name (-1 if none shares it), or the least document."""
-        by_part = {p: r for p, k, r in zip(*(table.column(c).to_pylist() for c in ("part", "kind", "reply")), strict=True) if k == kind}
+
+    def rows(self, unit: int, splitters: Splitters, owners: bool) -> list[tuple]:
+        """A message to each part: keys, and with ``owners`` their least documents, otherwise whether they have several."""
+        docs = self.docs if owners else self.many.astype(np.int8)
+        return [(part, unit, len(some), squeezed(self.keys[some]), squeezed(docs[some])) for part, some in splitters.slices(self.keys)]
+
+    def replies(self, table: pa.Table, splitters: Splitters, owners: bool) -> np.ndarray:
+        """The parts' answers: with ``owners`` whether a document before the key's least one has it, otherwise its name, -1 if no other document has it."""
+        by_part = dict(zip(table.column("part").to_pylist(), table.column("reply").to_pylist(), strict=True))
         out = np.zeros(len(self.keys), np.int64)
-        for part, some in self.slices():
-            got = np.frombuffer(by_part[part], COUNTED.get(kind, np.int64))
-            out[some] = got if kind not in (NAME, NAME + 1) else np.where(got < 0, -1, part << NAME_BITS | got.astype(np.int64))
+        for part, some in splitters.slices(self.keys):
+            got = unsqueezed(by_part[part], np.int8 if owners else np.int64).ravel()
+            if not owners:
+                got = np.cumsum(got)
+                got = np.where(got & 1, -1, part << splitters.bits | got >> 1)
+            out[some] = got
         return out
 
 
@@ -190,115 +198,84 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _asked_table(rows: list[tuple]) -> pa.Table:
-    return _table(rows, ["part", "block", "kind", "keys", "docs"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+    return _table(rows, ["part", "unit", "n", "keys", "docs"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
 
-def _sort_part(width: dict[int, int]):
-    """Sort the keys that one part got from all blocks; reply with what Asked.replies() reads."""
+def _merge_part(width: int, owners: bool, bits: int):
+    """Sort the keys that one part got from all units; answer with what Asked.replies() reads."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, part = [], table.column("part")[0].as_py()
-        kinds = table.column("kind").to_numpy()
-        for kind in map(int, np.unique(kinds)):
-            some = table.filter(pa.array(kinds == kind))
-            blobs = some.column("keys").to_pylist()
-            keys = np.frombuffer(b"".join(blobs), _U).reshape(-1, width[kind])
-            sizes = np.array([len(b) for b in blobs]) // (8 * width[kind])
-            _, at = unique_rows(keys)
-            docs = b"".join(some.column("docs").to_pylist())
-            if kind in COUNTED:
-                shared = np.bincount(at, np.frombuffer(docs, np.int8) + 1)[at] > 1  # one document of a block or more count as 1 or 2
-                if kind != LEAST_HASH and at.max(initial=0) >= 1 << NAME_BITS:
-                    raise ValueError("a part got too many names: lower part_keys")
-                reply = shared if kind == LEAST_HASH else np.where(shared, at, -1)
-            else:
-                least = np.full(at.max(initial=-1) + 1, NONE)
-                np.minimum.at(least, at, np.frombuffer(docs, np.int64))
-                reply = least[at]
-            reply, ends = reply.astype(COUNTED.get(kind, np.int64)), np.cumsum(sizes)
-            for block, a, b in zip(some.column("block").to_pylist(), ends - sizes, ends, strict=True):
-                out.append((block, part, kind, reply[a:b].tobytes()))
-        return _table(out, ["block", "part", "kind", "reply"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+        keys = np.concatenate([unsqueezed(b, _U, width) for b in table.column("keys").to_pylist()])
+        docs = np.concatenate([unsqueezed(b, np.int64 if owners else np.int8).ravel() for b in table.column("docs").to_pylist()])
+        distinct, at = sorted_rows(keys)
+        if owners:
+            least = np.full(len(distinct), NONE)
+            np.minimum.at(least, at, docs)
+            reply = (least[at] < docs).astype(np.int8)
+        else:
+            if len(distinct) >> bits:
+                raise ValueError(f"a part has {len(distinct)} names, more than its {bits} bits: lower part_keys")
+            alone = np.bincount(at, docs + 1)[at] < 2  # one document of a unit or more count as 1 or 2
+            reply = at * 2 + alone
+        ends, out = np.cumsum(table.column("n").to_numpy()), []
+        part = table.column("part")[0].as_py()
+        for unit, n, end in zip(table.column("unit").to_pylist(), table.column("n").to_pylist(), ends.tolist(), strict=True):
+            own = reply[end - n : end]
+            out.append((unit, part, squeezed(own if owners else np.diff(own, prepend=0))))
+        return _table(out, ["unit", "part", "reply"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, h, bytes) of the documents that have an id and a string."""
-    for d, h, t in zip(table.column("doc_id").to_pylist(), table.column("h").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        if d is not None and t is not None and len(t) >= WINDOW:
-            yield d, h, t
+def _copies(copies: pa.Table) -> set[tuple[int, int]]:
+    return set(zip(copies.column("doc_id").to_pylist(), copies.column("h").to_pylist(), strict=True))
+
+
+def _texts(table: pa.Table, later: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(doc_id, h, where it begins, bytes) of pieces of the documents that have an id and a string and are no later copies."""
+    for d, h, t in zip(table.column("doc_id").to_pylist(), table.column("h").to_pylist(), table.column("text").cast(pa.binary()), strict=True):
+        if d is None or not t.is_valid or (d, h) in later:
+            continue
+        t = t.as_py()
+        for a in range(0, len(t) - WINDOW + 1, PIECE_BYTES):
+            yield d, h, a, t[a : a + PIECE_BYTES + WINDOW - 1]
 
 
 class Slice:
-    """Some texts of a block as whole regions: the runs of strings with one least hash, and the chunks."""
+    """Some texts of a block as whole regions: the runs of strings with one least hash."""
 
-    def __init__(self, block: int, docs: list[tuple[int, int, bytes]]) -> None:
-        size = np.array([len(t) for _, _, t in docs], np.int64)
-        columns = {"doc": [d for d, _, _ in docs], "h": [h for _, h, _ in docs], "start": np.zeros(len(docs)), "stop": size - WINDOW + 1}
-        self.texts = Regions({"block": block, "bytes": b"".join([t for _, _, t in docs]), "names": None, **{k: np.asarray(v, np.int64).tobytes() for k, v in columns.items()}})
-        h = gram_hashes(self.texts.text)
-        self.begins, self.ends, self.least = self.texts.least_runs(h, GRAM)
-        self.pieces = chunks(h, self.texts.left, np.append(self.texts.base, len(self.texts.flat)))
+    def __init__(self, docs: list[tuple[int, int, int, bytes]]) -> None:
+        start = np.array([a for _, _, a, _ in docs], np.int64)
+        stop = start + [len(t) - WINDOW + 1 for *_, t in docs]
+        self.texts = Regions(0, [d for d, *_ in docs], [h for _, h, *_ in docs], start, stop, b"".join([t for *_, t in docs]))
+        self.begins, self.ends, least = self.texts.least_runs(gram_hashes(self.texts.text), GRAM)
+        self.least = least * _MIX[0]  # minima are small numbers; their products are even
 
 
-def _filter_keys(table: pa.Table, parts: int) -> tuple[list[Slice], Asked, Asked]:
-    """Slices of a block's texts; their least hashes and their chunks as keys."""
-    slices, some, size, block = [], [], 0, table.column("block")[0].as_py()
-    for row in _texts(table):
+def _slices(table: pa.Table, later: set[tuple[int, int]]) -> Iterator[Slice]:
+    some, size = [], 0
+    for row in _texts(table, later):
         some.append(row)
-        size += len(row[2])
+        size += len(row[-1])
         if size >= SLICE_BYTES:
-            slices.append(Slice(block, some))
+            yield Slice(some)
             some, size = [], 0
     if some:
-        slices.append(Slice(block, some))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    owners = lambda at: join([s.texts.doc[s.texts.of[at(s)]] for s in slices], np.int64)
-    digests = [xxhash.xxh3_128_digest(s.texts.text[a:b]) for s in slices for a, b in s.pieces.tolist()]
-    least = Asked(join([s.least for s in slices], _U).reshape(-1, 1), owners(lambda s: s.begins), parts)
-    return slices, least, Asked(np.frombuffer(b"".join(digests), _U).reshape(-1, 2), owners(lambda s: s.pieces[:, 0]), parts)
-
-
-def _ask_filter(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, least, chunk = _filter_keys(table, parts)
-        return _asked_table(least.rows(block, LEAST_HASH) + chunk.rows(block, CHUNK))
+        yield Slice(some)
 
-    return run
-
-
-def _spans(block: int, kind: int, doc, h, start, stop, text: bytes = b"", names: np.ndarray | None = None) -> pa.Table:
-    """A row of MARKS: spans of one block, and for regions their bytes one behind the other."""
-    columns = [np.asarray(c, np.int64).tobytes() for c in (doc, h, start, stop)]
-    row = (block, kind, *columns, text, None if names is None else names.tobytes())
-    return _table([row], MARK_NAMES, MARK_TYPES)
-
-
-MARK_NAMES = ["block", "kind", "doc", "h", "start", "stop", "bytes", "names"]
-MARK_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
-_NO_MARKS = pa.table([pa.array([], t) for t in MARK_TYPES], names=MARK_NAMES)
 
+def _filter_keys(table: pa.Table, later: set[tuple[int, int]]) -> tuple[list[tuple[np.ndarray, ...]], Asked]:
+    """Runs (document, least hash, length) of each slice of a block, and the least hashes as keys."""
+    runs = [(s.texts.doc[s.texts.of[s.begins]], s.least, s.ends - s.begins) for s in _slices(table, later)]
+    join = lambda k, kind: np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, kind)
+    return runs, Asked(join(1, _U).reshape(-1, 1), join(0, np.int64))
 
-def _mark(parts: int):
-    """Covered chunks, and regions whose strings are still to be compared."""
 
-    def run(docs: pa.Table, reply: pa.Table) -> pa.Table:
+def _ask_filter(splitters: Splitters):
+    def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _NO_MARKS
-        slices, least, chunk = _filter_keys(docs, parts)
-        known, first = least.replies(reply, LEAST_HASH)[least.at] > 0, chunk.replies(reply, CHUNK)[chunk.at]
-        out, i, j = [], 0, 0
-        for s in slices:
-            shared, earlier = known[i : i + len(s.begins)], first[j : j + len(s.pieces)] < s.texts.doc[s.texts.of[s.pieces[:, 0]]]
-            i, j = i + len(s.begins), j + len(s.pieces)
-            old, n = s.pieces[earlier], len(s.texts.flat)
-            if not len(old) and not shared.any():
-                continue
-            test = _within(s.begins[shared], s.ends[shared], n) & ~_within(old[:, 0], old[:, 1] - WINDOW + 1, n)
-            out += [s.texts.spans(COVERED, _within(old[:, 0], old[:, 1], n)), s.texts.spans(REGION, test)]
-        return _united(out)
+            return _asked_table([])
+        return _asked_table(_filter_keys(docs, _copies(copies))[1].rows(docs.column("block")[0].as_py(), splitters, False))
 
     return run
 
@@ -311,34 +288,65 @@ def _within(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _united(tables: list[pa.Table]) -> pa.Table:
-    """Rows of MARKS of one block as one row of each kind."""
-    rows = [t.to_pylist()[0] for t in tables]
-    out = []
-    for kind in (COVERED, REGION):
-        some = [r for r in rows if r["kind"] == kind]
-        if some:
-            out.append((some[0]["block"], kind, *(b"".join([r[c] for r in some]) for c in ("doc", "h", "start", "stop", "bytes")), None))
-    return _table(out, MARK_NAMES, MARK_TYPES)
+MARK_NAMES = ["unit", "doc", "h", "start", "stop", "bytes", "names"]
+MARK_TYPES = [pa.int64(), *[pa.binary()] * 6]
+_NO_MARKS = pa.table([pa.array([], t) for t in MARK_TYPES], names=MARK_NAMES)
+
+
+def _mark(splitters: Splitters):
+    """The runs that other documents may share as units of regions, of some UNIT_BYTES each."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _NO_MARKS
+        told_copies = told.filter(pa.array([p is None for p in told.column("part").to_pylist()], pa.bool_()))
+        later = _copies(told_copies)
+        runs, asked = _filter_keys(docs, later)
+        shared = asked.replies(told.filter(pa.array([p is not None for p in told.column("part").to_pylist()], pa.bool_())), splitters, False)[asked.at] >= 0
+        block, at, size, some, out = docs.column("block")[0].as_py(), 0, 0, [], []
+
+        def flush() -> None:
+            nonlocal some, size
+            if some:
+                whole = Regions(block << 24 | len(out), *(np.concatenate([r[k] for r in some]) for k in range(4)), b"".join([r[4] for r in some]))
+                out.append(whole.row(None))
+            some, size = [], 0
+
+        for s, (_, least, _) in zip(_slices(docs, later), runs, strict=True):
+            known = shared[at : at + len(least)]
+            at += len(least)
+            if known.any():
+                some.append(s.texts.cut(_within(s.begins[known], s.ends[known], len(s.texts.flat))))
+                size += len(some[-1][4])
+                if size >= UNIT_BYTES:
+                    flush()
+        flush()
+        return _table(out, MARK_NAMES, MARK_TYPES)
+
+    return run
 
 
 class Regions:
-    """Regions of a block one behind the other, with the sampled positions of each."""
+    """Regions of a unit one behind the other, with the sampled positions of each."""
 
-    def __init__(self, row: dict) -> None:
-        self.block, self.text = row["block"], row["bytes"]
-        self.doc, self.h, self.start, self.stop = (np.frombuffer(row[c], np.int64) for c in ("doc", "h", "start", "stop"))
+    def __init__(self, unit: int, doc, h, start, stop, text: bytes, names: np.ndarray | None = None) -> None:
+        self.unit, self.text, self.names = unit, text, names
+        self.doc, self.h, self.start, self.stop = (np.asarray(c, np.int64) for c in (doc, h, start, stop))
         sizes = self.stop - self.start + WINDOW - 1
         self.flat = np.frombuffer(self.text, np.uint8)
         self.base = np.cumsum(sizes) - sizes
         self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.offset = np.arange(len(self.flat), dtype=np.int32) - np.repeat(self.base.astype(np.int32), sizes)
         self.left = np.repeat(sizes.astype(np.int32), sizes) - self.offset
-        self.names = None if row["names"] is None else np.frombuffer(row["names"], np.int64)
 
-    def state(self, names: np.ndarray) -> pa.Table:
-        """The regions as a row again, with names."""
-        return _spans(self.block, REGION, self.doc, self.h, self.start, self.stop, self.text, names)
+    @classmethod
+    def read(cls, row: dict) -> Regions:
+        names = None if row["names"] is None else unsqueezed(row["names"], np.int64).ravel()
+        return cls(row["unit"], *(np.frombuffer(row[c], np.int64) for c in ("doc", "h", "start", "stop")), row["bytes"], names)
+
+    def row(self, names: np.ndarray | None) -> tuple:
+        """The regions as a row of MARKS, with names."""
+        return (self.unit, *(c.tobytes() for c in (self.doc, self.h, self.start, self.stop)), self.text, None if names is None else squeezed(names))
 
     def sampled(self, covers: int) -> np.ndarray:
         """Sampled positions with so many bytes to the end of their region."""
@@ -375,7 +383,6 @@ class Regions:
         out[at] = names
         return out
 
-
     def least_runs(self, h: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where runs of strings with one least hash begin and end, and that hash; ``h`` are the gram hashes."""
         at = self.strings()
@@ -384,24 +391,22 @@ class Regions:
         first = np.flatnonzero(new)
         return at[first], at[first] + np.diff(np.append(first, len(at))), m[first]
 
-    def spans(self, kind: int, mask: np.ndarray) -> pa.Table:
-        """Maximal runs of a mask as a row of MARKS, none beyond its region; regions with the bytes of their strings."""
+    def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of a mask, none beyond its region, and the region of each."""
         edge = self.of[1:] != self.of[:-1]
         begins, ends = mask.copy(), mask.copy()
         begins[1:] &= ~mask[:-1] | edge
         ends[:-1] &= ~mask[1:] | edge
-        a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        of = self.of[a]
-        moved = (self.start - self.base)[of]
-        text = b"".join([self.text[x : y + WINDOW - 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)]) if kind == REGION else b""
-        return _spans(self.block, kind, self.doc[of], self.h[of], a + moved, b + moved, text)
+        a = np.flatnonzero(begins)
+        return a, np.flatnonzero(ends) + 1, self.of[a]
 
-    def long_keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, Asked]:
-        """Where runs of strings with one least hash of long grams begin and end, and these hashes as keys."""
-        begins, ends, least = self.least_runs(gram_hashes(self.text, LONG_GRAM), LONG_GRAM)
-        return begins, ends, Asked(least.reshape(-1, 1), self.doc[self.of[begins]], parts)
+    def cut(self, mask: np.ndarray) -> tuple:
+        """The strings that begin in a mask as regions: document, h, first and last position, bytes."""
+        a, b, of = self.runs(mask)
+        moved = (self.start - self.base)[of]
+        return self.doc[of], self.h[of], a + moved, b + moved, b"".join([self.text[x : y + WINDOW - 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
 
-    def keys(self, depth: int, parts: int) -> tuple[np.ndarray, Asked]:
+    def keys(self, depth: int) -> tuple[np.ndarray, Asked]:
         """Positions and keys of a round: triples of symbols, triples of names, or prefixes of the strings."""
         if depth == 0:
             at, rows = self.first()
@@ -409,73 +414,94 @@ class Regions:
             at, rows = self.second(self.spread(self.sampled(FIRST), self.names))
         else:
             at, rows = self.prefixes(self.spread(self.sampled(SECOND), self.names))
-        return at, Asked(rows, self.doc[self.of[at]], parts)
+        return at, Asked(rows, self.doc[self.of[at]])
 
 
-#: Turns at the regions: the filter by long grams, then the rounds 0, 1 and 2.
-LONG = -1
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Regions]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Regions.read(batch.slice(k, 1).to_pylist()[0])
 
 
-def _ask(depth: int, parts: int):
-    """The keys of each block's regions."""
+def _sample(depth: int, rate: int):
+    """Every ``rate``-th distinct key of some units, as a byte string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                regions = Regions(batch.slice(k, 1).to_pylist()[0])
-                asked = regions.long_keys(parts)[2] if depth == LONG else regions.keys(depth, parts)[1]
-                yield from _asked_table(asked.rows(regions.block, LEAST_HASH if depth == LONG else NAME + depth)).to_batches()
+        for regions in _units(batches):
+            keys = regions.keys(depth)[1].keys
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in keys[regions.unit % rate :: rate].astype(">u8")], pa.binary())], ["key"])
 
     return run
 
 
-def _use(depth: int, parts: int):
-    """What replies make of a block's regions: they are cut down, get names, or turn into covered spans."""
+def _ask(depth: int, splitters: Splitters):
+    """The keys of each unit's regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for regions in _units(batches):
+            yield from _asked_table(regions.keys(depth)[1].rows(regions.unit, splitters, depth == 2)).to_batches()
+
+    return run
+
+
+def _use(depth: int, splitters: Splitters):
+    """What replies make of a unit's regions: they get names, or turn into covered spans."""
 
     def run(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _NO_MARKS
-        regions = Regions(table.to_pylist()[0])
-        if depth == LONG:
-            begins, ends, asked = regions.long_keys(parts)
-            known = asked.replies(reply, LEAST_HASH)[asked.at] > 0
-            return regions.spans(REGION, _within(begins[known], ends[known], len(regions.flat)))
-        at, own = regions.keys(depth, parts)
-        got = own.replies(reply, NAME + depth)[own.at]
+        regions = Regions.read(table.to_pylist()[0])
+        at, own = regions.keys(depth)
+        got = own.replies(reply, splitters, depth == 2)[own.at]
         if depth < 2:
-            return regions.state(regions.spread(at, got)[regions.sampled((FIRST, SECOND)[depth])])
-        hit = np.unique(at[got < regions.doc[regions.of[at]]])
-        return regions.spans(COVERED, _within(hit, hit + WINDOW, len(regions.flat)))
+            return _table([regions.row(regions.spread(at, got)[regions.sampled((FIRST, SECOND)[depth])])], MARK_NAMES, MARK_TYPES)
+        hit = np.unique(at[(got > 0) | (own.docs[own.at] < regions.doc[regions.of[at]])])
+        a, b, of = regions.runs(_within(hit, hit + WINDOW, len(regions.flat)))
+        moved = (regions.start - regions.base)[of]
+        columns = (c.tobytes() for c in (regions.doc[of], regions.h[of], a + moved, b + moved))
+        return _table([(regions.unit, *columns, b"", None)] if len(a) else [], MARK_NAMES, MARK_TYPES)
 
     return run
 
 
 def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
-    """Counts and digests of the documents of a block without their covered bytes."""
+    """Counts and digests of the documents of a block without their covered bytes; a mark without spans covers a whole later copy."""
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for row in zip(*(marks.column(c).to_pylist() for c in ("doc", "h", "start", "stop")), strict=True):
         for d, h, a, b in zip(*(np.frombuffer(c, np.int64).tolist() for c in row), strict=True):
             spans.setdefault((d, h), []).append((a, b))
     out = []
-    for d, h, t in zip(docs.column("doc_id").to_pylist(), docs.column("h").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        t = t or b""
+    for d, h, t in zip(docs.column("doc_id").to_pylist(), docs.column("h").to_pylist(), docs.column("text").cast(pa.binary()), strict=True):
+        t = t.as_py() or b""
         runs: list[list[int]] = []
         for a, b in sorted(spans.get((d, h), ())):
+            b = min(b, len(t))
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], b)
             else:
                 runs.append([a, b])
-        kept, at = [], 0
-        for a, b in runs:
-            kept.append(t[at:a])
+        kept, at = hashlib.sha256(), 0
+        for a, b in [*runs, (len(t), len(t))]:
+            kept.update(t[at:a])
             at = b
-        kept.append(t[at:])
-        out.append((d, len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
+        out.append((d, len(t), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     return _table(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], [pa.int64()] * 4 + [pa.string(), span])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
+def _splitters(regions: DataFrame, depth: int, units: int, parts: int, most: int) -> Splitters:
+    """Ranges of about equal numbers of keys, from a sample of bounded size."""
+    ranges = min(parts, most)
+    if ranges == 1:
+        return Splitters(np.zeros(0, f"S{8 if depth == 2 else 24}"), math.ceil(parts / ranges))
+    some = regions.where(F.pmod(F.xxhash64("unit"), F.lit(max(1, units // SAMPLE_UNITS))) == 0)
+    rate = max(1, 2 * SAMPLE_UNITS * UNIT_BYTES * (2 if depth == 2 else 1) // min(SAMPLE_KEYS, 64 * ranges))
+    keys = np.sort(np.array([r.key for r in some.mapInArrow(_sample(depth, rate), "key binary").limit(2 * SAMPLE_KEYS).collect()], f"S{8 if depth == 2 else 24}"))
+    begins = np.unique(keys[np.linspace(0, len(keys), ranges, endpoint=False)[1:].astype(np.int64)]) if len(keys) else keys
+    return Splitters(begins, math.ceil(parts / ranges))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS, ranges: int = RANGES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans.
 
     A byte is removed if a string of 50 bytes over it also begins in a document with a smaller id;
@@ -483,33 +509,40 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (empty) and rows with a null id lose nothing and take nothing from others; rows with the same id do
     not take from each other. An empty table gives no rows. Other columns are not read.
 
-    Documents are dealt by hash to blocks of bounded bytes and keys to parts of bounded size, so no
-    task sees more of a hot string than one entry from each block.
+    Documents are dealt by hash to blocks of bounded bytes, shared regions to units and keys to parts of bounded
+    size, so no task sees more of a hot string than one entry from each unit. Long texts are read in pieces.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)))
-    parts = lambda keys: max(1, min(1 << 20, math.ceil(keys / part_keys)))
+    parts = lambda keys: max(1, math.ceil(keys / part_keys))
+
+    marked = own.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    marked = durable(marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks))))
+    firsts = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
+    copies = durable(marked.join(firsts, "digest").where("doc_id > first").select("block", "doc_id", "h", "size"))
+    discard(marked)
 
     filter_parts = parts(size / 8)
-    asked = dealt.groupBy("block").applyInArrow(_ask_filter(filter_parts), ASKED)
-    reply = durable(asked.groupBy("part").applyInArrow(_sort_part({LEAST_HASH: 1, CHUNK: 2}), REPLY))
-    marks = durable(dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_mark(filter_parts), MARKS))
+    few = min(filter_parts, ranges)
+    splitters = Splitters(as_text(np.array([(k << 64) // few for k in range(1, few)], _U).reshape(-1, 1)), math.ceil(filter_parts / few))
+    asked = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_ask_filter(splitters), ASKED)
+    reply = durable(asked.groupBy("part").applyInArrow(_merge_part(1, False, splitters.bits), REPLY))
+    told = reply.select(F.col("unit").alias("block"), "part", "reply", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h")).unionByName(copies.select("block", "doc_id", "h"), allowMissingColumns=True)
+    regions = durable(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_mark(splitters), MARKS))
     discard(reply)
 
-    regions = marks.where(F.col("kind") == REGION)
-    for depth in (LONG, 0, 1, 2):
-        size = regions.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-        own_parts = parts(size * {LONG: 1 / 6, 0: 2 / 3, 1: 2 / 3, 2: 2}[depth])
-        kind, width = (LEAST_HASH, 1) if depth == LONG else (NAME + depth, 3 if depth < 2 else 1)
-        asked = regions.mapInArrow(_ask(depth, own_parts), ASKED)
-        reply = durable(asked.groupBy("part").applyInArrow(_sort_part({kind: width}), REPLY))
-        used = durable(regions.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(_use(depth, own_parts), MARKS))
-        discard(reply)
-        if depth > LONG:
-            discard(regions)
+    for depth in range(3):
+        units, size = regions.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
+        splitters = _splitters(regions, depth, units, parts(size * (2 if depth == 2 else 2 / 3)), ranges)
+        asked = regions.mapInArrow(_ask(depth, splitters), ASKED)
+        reply = durable(asked.groupBy("part").applyInArrow(_merge_part(1 if depth == 2 else 3, depth == 2, splitters.bits), REPLY))
+        used = durable(regions.groupBy("unit").cogroup(reply.groupBy("unit")).applyInArrow(_use(depth, splitters), MARKS))
+        discard(reply, regions)
         regions = used
-    all_covered = marks.where(F.col("kind") == COVERED).unionByName(regions).select("block", "doc", "h", "start", "stop")
+    packed_long = lambda c: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8))))
+    whole = copies.select("block", packed_long(F.col("doc_id")).alias("doc"), packed_long(F.col("h")).alias("h"), packed_long(F.lit(0).cast("long")).alias("start"), packed_long(F.col("size")).alias("stop"))
+    covered = regions.select(F.shiftright("unit", 24).alias("block"), "doc", "h", "start", "stop").unionByName(whole)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
-    return dealt.groupBy("block").cogroup(all_covered.groupBy("block")).applyInArrow(_finish, schema)
+    return dealt.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_finish, schema)

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from fixtures import TEXTS, awkward, empty, table
 
 from lumenary.llm import queries
-from lumenary.llm.suffix_dedup import WINDOW, chunks, gram_hashes, least_hashes, remove_repeats
+from lumenary.llm import suffix_dedup
+from lumenary.llm.suffix_dedup import WINDOW, Splitters, as_text, gram_hashes, least_hashes, remove_repeats, sorted_rows, squeezed, unsqueezed
 
 
 def brute(rows):
@@ -49,13 +51,64 @@ def shared_passages(seed, n=60):
     return rows
 
 
-def test_passages_of_all_lengths_in_one_and_many_blocks_and_parts(spark):
+def test_passages_of_all_lengths_in_one_and_many_blocks_and_parts(spark, monkeypatch):
     for seed in (1, 2):
         rows = shared_passages(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         expected = brute(rows)
         assert got(remove_repeats(docs)) == expected
+        monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 5_000)
         assert got(remove_repeats(docs, block_bytes=20_000, part_keys=2_000)) == expected
+        assert got(remove_repeats(docs, block_bytes=20_000, part_keys=2_000, ranges=3)) == expected
+        monkeypatch.undo()
+
+
+def test_all_removed_bytes_come_from_equal_texts_or_shared_names(spark, monkeypatch):
+    """Without the rounds over names only whole later copies are removed."""
+    rows = shared_passages(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    use = suffix_dedup._use
+    monkeypatch.setattr(suffix_dedup, "_use", lambda depth, splitters: use(depth, splitters) if depth < 2 else lambda table, reply: suffix_dedup._NO_MARKS)
+    first = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    for r in remove_repeats(docs).collect():
+        copy = len(rows[r.doc_id][1].encode()) >= WINDOW and first[rows[r.doc_id][1]] < r.doc_id
+        assert r.n_removed == (r.n_bytes if copy else 0)
+
+
+def test_long_texts_are_read_in_pieces_that_have_every_string(monkeypatch):
+    dice = random.Random(7)
+    rows = [(k, k, "".join(dice.choice("abc ") for _ in range(dice.choice([0, 49, 50, 700, 749, 750, 3000])))) for k in range(30)]
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 3000)
+    table = pa.table({"doc_id": [d for d, *_ in rows], "h": [h for _, h, _ in rows], "text": [t for *_, t in rows]})
+    seen = []
+    for s in suffix_dedup._slices(table, set()):
+        for a, b in zip(s.begins.tolist(), s.ends.tolist(), strict=True):
+            of = s.texts.of[a]
+            seen += [(int(s.texts.doc[of]), x - int(s.texts.base[of]) + int(s.texts.start[of]), s.texts.text[x : x + WINDOW].decode()) for x in range(a, b)]
+    assert sorted(seen) == [(d, i, t[i : i + WINDOW]) for d, _, t in rows for i in range(len(t) - WINDOW + 1)]
+
+
+def test_many_copies_of_one_text(spark):
+    base = "the same passage of a text that many documents have, over and over again; "
+    rows = [(k, base * 3) for k in range(40)] + [(k, f"{k} {base} {k * k}") for k in range(40, 80)] + [(7, base * 3), (None, base * 3)]
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_sorted_rows_and_packing():
+    rng = np.random.default_rng(2)
+    for width in (1, 3):
+        for top in (3, 1 << 20, 1 << 48, (1 << 63) - 1):
+            rows = rng.integers(0, top, (500, width), dtype=np.uint64)
+            keys, at = sorted_rows(rows)
+            assert [tuple(k) for k in keys.tolist()] == sorted(set(map(tuple, rows.tolist()))) and (keys[at] == rows).all()
+            assert (unsqueezed(squeezed(keys), np.uint64, width) == keys).all()
+            cut = Splitters(as_text(keys[len(keys) // 3 :: len(keys) // 3]), 2)
+            parts = list(cut.slices(keys))
+            assert sorted(np.concatenate([some for _, some in parts]).tolist()) == list(range(len(keys)))
+            assert all(keys[a].max(0)[0] <= keys[b].min(0)[0] for (p, a), (q, b) in zip(parts, parts[1:]) if p // 2 < q // 2)
 
 
 def test_awkward_rows(spark):
@@ -74,8 +127,6 @@ def test_filter_parts():
     h = gram_hashes(data)
     m = least_hashes(h)
     assert len(m) == len(data) - WINDOW + 1 and all(m[i] == h[i : i + WINDOW - 23].min() for i in range(0, len(m), 97))
-    cut = chunks(h, np.arange(len(data), 0, -1), np.array([0, len(data)]))
-    assert [0, len(data)] in cut.tolist() and len(cut) > 10 and (cut[:, 1] - cut[:, 0] >= WINDOW).all()
 
 
 def test_query_against_brute_force(spark, sf):
