@@ -15,34 +15,48 @@ from pyspark.sql import types as T
 
 from lumenary.llm.arrow import add_columns, byte_texts
 from lumenary.llm.components import stars
-from lumenary.llm.storage import durable
+from lumenary.llm.storage import discard, durable
 
 #: Words of a shingle, seed of the hash, and most differing bits of a link.
 SHINGLE_WORDS, SEED, BUDGET = 3, 42, 2
-#: Fingerprints that one subtree of the trie should hold: sets the depth at which subtrees are dealt to tasks.
-SUBTREE = 8192
+#: Values that one pair of subtrees of the trie should hold: sets the depth at which subtrees are dealt to tasks. Bits by
+#: which a pair that holds several times as many goes deeper.
+SUBTREE, DEEPER = 1 << 15, 4
 #: Node pairs that a task expands at once, and shingles hashed at once.
 BLOCK, CHUNK = 1 << 16, 1 << 15
 
 
+def word_shingles(text: bytes, words: int) -> Iterator[bytes]:
+    """Runs of so many words, A-Z lowered; a text of fewer words is one run, one without words none."""
+    tokens = text.lower().split()
+    if len(tokens) > words:
+        return map(b" ".join, zip(*(islice(tokens, i, None) for i in range(words)), strict=False))
+    return iter([b" ".join(tokens)] if tokens else [])
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of the text's word shingles, some thousands at a time."""
+    shingles = word_shingles(text, words)
+    while len(h := np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in islice(shingles, CHUNK)), np.uint64)):
+        yield h
+
+
+def majority_bits(hashes: Iterator[np.ndarray]) -> int:
+    """64 bits, each set if over half of the hashes have it; zero if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """64 bits, each set if it is set in over half of the hashes of the text's word shingles.
 
     Letters A-Z are lowered; shingles count as often as they occur; a text of fewer words is one
     shingle; without words the fingerprint is zero. Long texts are hashed in chunks.
     """
-    tokens = text.lower().split()
-    if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    shingles = map(b" ".join, zip(*(islice(tokens, i, None) for i in range(words)), strict=False)) if len(tokens) > words else iter([b" ".join(tokens)])
-    ones = np.zeros(64, np.int64)
-    while True:
-        h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in islice(shingles, CHUNK)), np.uint64)
-        if not len(h):
-            break
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return majority_bits(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -122,50 +136,82 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _join_subtrees(budget: int, depth: int):
-    """Links within one pair of subtrees, as a forest: as many rows as linked nodes at most."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the pairs, fewer than n, that connect the same nodes as all of them."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while True:
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low != high
+            if not apart.any():
+                break
+            a, b, low = a[apart], b[apart], low[apart]
+            high, at = np.unique(high[apart], return_index=True)
+            yield a[at], b[at]
+            root[high] = low[at]
+            while not (root[root] == root).all():
+                root = root[root]
+
+
+def _join_subtrees(budget: int):
+    """Links within one pair of subtrees that connect what its links connect: fewer rows than values."""
 
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        p, q, depth = (table.column(c)[0].as_py() for c in ("p", "q", "depth"))
         side = table.column("side").to_numpy()
         left, right = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        if p == q:
-            nodes, pairs = left, trie_links(left, None, depth, 0, budget)
-        else:
-            if not len(left) or not len(right):
-                return empty
-            nodes = np.concatenate([left, right])
-            found = trie_links(left, right, depth, (p ^ q).bit_count(), budget)
-            pairs = ((a, b + len(left)) for a, b in found)
-        root = _forest(len(nodes), pairs)
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.table({"a": nodes[moved].view(np.int64), "b": nodes[root[moved]].view(np.int64)})
+        nodes = np.concatenate([left, right])
+        found = trie_links(left, None, depth, 0, budget) if p == q else ((a, b + len(left)) for a, b in trie_links(left, right, depth, (p ^ q).bit_count(), budget))
+        links = list(_spanning(len(nodes), found))
+        a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in range(2))
+        return pa.table({"a": nodes[a].view(np.int64), "b": nodes[b].view(np.int64)})
 
     return run
 
 
+def _deeper(rows: DataFrame, budget: int, bits: int) -> DataFrame:
+    """Rows (fp, p, q, side, depth) dealt to the pairs that their subtrees form so many bits further down, within the budget."""
+    masks = [sum(1 << b for b in some) for r in range(budget + 1) for some in combinations(range(bits), r)]
+    left = F.lit(budget) - F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
+    own = F.expr(f"shiftrightunsigned(fp, 64 - depth - {bits})").bitwiseAND(F.lit((1 << bits) - 1))
+    same, first = F.col("p") == F.col("q"), F.col("side") == 0
+    made = rows.withColumn("mask", F.explode(F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) <= left)))
+    made = made.withColumn("own", own).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    below = lambda node, bits_of: F.shiftleft(node, bits).bitwiseOR(bits_of)
+    return made.select(
+        "fp",
+        below(F.col("p"), F.when(same, F.least("own", "other")).when(first, F.col("own")).otherwise(F.col("other"))).alias("p"),
+        below(F.col("q"), F.when(same, F.greatest("own", "other")).when(first, F.col("other")).otherwise(F.col("own"))).alias("q"),
+        F.when(same, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"),
+        (F.col("depth") + bits).alias("depth"),
+    )
+
+
 def trie_self_join(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of ``fp`` values that differ in ``budget`` bits at most.
+    """Links (a, b) between ``fp`` values that differ in ``budget`` bits at most; they connect what all such pairs connect.
 
     The top of the trie is met as a table: at a depth where a subtree holds about ``subtree`` values,
     every value goes to each pair of subtrees that its own subtree forms with one within the budget,
-    1 + d + d(d-1)/2 of them for two bits. Each pair is then traversed in a task. Values are made
-    distinct first, so any number of equal texts is one value, and a value has at most
-    C(64,1) + C(64,2) others within two bits, so no subtree pair has a quadratic number of links.
+    1 + d + d(d-1)/2 of them for two bits. A pair that still holds several times as many values, as it
+    is dense, goes further down with what is left of the budget, until none does. Each pair is then
+    traversed in a task. Values are made distinct first, so any number of equal texts is one value.
     """
     values = durable(fps.select("fp").distinct())
-    n = values.count()
-    depth = min(24, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
-    masks = [sum(1 << b for b in bits) for r in range(budget + 1) for bits in combinations(range(depth), r)]
-    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    dealt = (
-        values.select("fp", prefix.alias("own"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
-        .withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
-        .select("fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    )
-    return dealt.groupBy("p", "q").applyInArrow(_join_subtrees(budget, depth), "a long, b long")
+    depth = min(24, max(0, math.ceil(math.log2(max(values.count(), 1) / subtree))))
+    zero = F.lit(0).cast("long")
+    rows = _deeper(values.select("fp", zero.alias("p"), zero.alias("q"), F.lit(0).alias("side"), F.lit(0).alias("depth")), budget, depth)
+    light = None
+    while True:
+        size = rows.groupBy("p", "q", "depth").agg(F.count("*").alias("n"), F.countDistinct("side").alias("sides"))
+        dense = (F.col("n") > 4 * subtree) & (F.col("depth") <= 64 - DEEPER) & ((F.col("p") == F.col("q")) | (F.col("sides") > 1))
+        heavy = durable(size.where(dense).select("p", "q", "depth"))
+        some = not heavy.isEmpty()
+        here = rows.join(heavy, ["p", "q", "depth"], "left_anti").select(*rows.columns) if some else rows
+        light = here if light is None else light.unionByName(here)
+        if not some:
+            return light.groupBy("p", "q", "depth").applyInArrow(_join_subtrees(budget), "a long, b long")
+        rows = durable(_deeper(rows.join(heavy, ["p", "q", "depth"], "left_semi").select(*rows.columns), budget, DEEPER))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:

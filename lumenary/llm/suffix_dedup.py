@@ -520,9 +520,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     marked = own.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("size"))
     marked = durable(marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks))))
-    firsts = marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first")
+    firsts = durable(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("digest", "first"))
     copies = durable(marked.join(firsts, "digest").where("doc_id > first").select("block", "doc_id", "h", "size"))
-    discard(marked)
+    discard(marked, firsts)
 
     filter_parts = parts(size / 8)
     few = min(filter_parts, ranges)

@@ -58,7 +58,7 @@ def near_values(seed, n=600):
     """Values in dense groups, with many links and long chains."""
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
-    flips = [np.bitwise_xor.reduce([np.uint64(1) << np.uint64(b) for b in rng.integers(0, 64, rng.integers(0, 5))], initial=np.uint64(0)) for _ in range(n)]
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 5), dtype=np.uint64), initial=np.uint64(0)) for _ in range(n)]
     return np.unique(rng.choice(centres, n) ^ np.array(flips, np.uint64))
 
 
@@ -72,8 +72,33 @@ def test_trie_finds_each_pair_once():
 def test_subtrees_at_every_depth_give_the_same_components(spark):
     values = near_values(2)
     rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    seen = {tuple(sorted((r.a, r.b) for r in stars(trie_self_join(rows, subtree=s)).collect())) for s in (8192, 64, 8)}
-    assert len(seen) == 1
+    seen = {tuple(sorted((r.a, r.b) for r in stars(trie_self_join(rows, subtree=s)).collect())) for s in (8192, 64)}
+    assert len(seen) == 1 and len(seen.pop()) > 100
+
+
+def test_a_dense_subtree_goes_deeper(spark):
+    """All values under one prefix of 8 bits: only the levels below it can split them."""
+    values = np.unique(np.random.default_rng(4).integers(0, 1 << 16, 500, dtype=np.uint64) << np.uint64(40) | np.uint64(0xAB << 56))
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    found = {frozenset((r.a, r.b)) for r in trie_self_join(rows, budget=4, subtree=40).select("a", "b").collect()}
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    assert all(near(*pair) for pair in found)
+    root = {int(v): int(v) for v in values.view(np.int64)}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    def groups(pairs):
+        for v in root:
+            root[v] = v
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return sorted(sorted(v for v in root if find(v) == r) for r in {find(v) for v in root})
+
+    all_pairs = [(a, b) for a in root for b in root if a < b and near(a, b)]
+    assert groups(map(tuple, found)) == groups(all_pairs) and len(all_pairs) > len(found) > 100
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
