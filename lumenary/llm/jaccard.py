@@ -1,8 +1,11 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a self-join by prefixes of sorted sets."""
+"""SimHash near-duplicates at five words and a similarity of 0.8 or more, none left out.
 
-from __future__ import annotations
+The trie self-join of five-word fingerprints gives candidates, and an exact check of their shingle sets decides.
+Fingerprints of texts at a similarity of 0.8 differ in about ten bits, which no trie can be walked with, so
+a join by prefixes of the sorted sets follows for the links that the trie's budget does not reach.
+"""
 
-from itertools import islice
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,8 @@ from pyspark.sql import types as T
 
 from lumenary.llm.arrow import add_columns, byte_texts
 from lumenary.llm.components import stars
-from lumenary.llm.storage import durable
+from lumenary.llm.simhash import majority_bits, shingle_hashes, trie_self_join
+from lumenary.llm.storage import discard, durable
 
 #: Words of a shingle, seed of its hash, and the least similarity of a link as a fraction.
 SHINGLE_WORDS, SEED, LEAST, OF = 5, 42, 4, 5
@@ -22,17 +26,22 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 500_000
 #: Postings of a task, pairs that a task looks at at once, and partners of a posting in the first round.
 BUCKET, BLOCK, NEAREST = 400_000, 1 << 20, 2
 
-_NODE = [T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+#: Bytes of a sketch: each shingle flips one bit, so sketches differ in no more bits than sets in shingles.
+SKETCH = 32
+
+_NODE = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 _POSTING, _PAIR = "h long, key long, n int, pos int", "a long, b long, na int, nb int"
 
 
 def shingles(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Distinct hashes of the text's word shingles, sorted. A-Z are lowered; fewer words are one shingle, none are no shingle."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    runs = map(b" ".join, zip(*(islice(tokens, i, None) for i in range(words)), strict=False)) if len(tokens) > words else iter([b" ".join(tokens)])
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64))
+    found = list(shingle_hashes(text, words, SEED))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """The parity of how many shingles fall on each bit."""
+    return np.packbits(np.bincount((found & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1).tobytes()
 
 
 def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -54,9 +63,7 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarr
 def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample of the texts, sorted, and their counts."""
     some = texts.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(max(1, n // SAMPLE))) == 0)
-    make = lambda column: [[shingles(t).view(np.int64) for t in byte_texts(column)]]
-    sets = add_columns(some, "text", [T.StructField("h", T.ArrayType(T.LongType()))], make)
-    rows = sets.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    rows = _sets(some).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
     h, c = rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
@@ -84,40 +91,58 @@ def _met(table: pa.Table) -> pa.Table:
     return table.take(pa.array(order[np.cumsum(keep)[:-1] > 0])).select(["h", "key", "n", "pos"])
 
 
+def _partners(n: np.ndarray, run: np.ndarray, end: np.ndarray, own: np.ndarray, step: np.ndarray, first_round: bool):
+    """Blocks (i, j) of places of postings with partners to look at: few at random, or all in another component."""
+    at, width = np.arange(len(n)), np.zeros(len(n), np.int64)
+    if first_round:  # partners that differ by shingle, so that large groups meet at random
+        begin, some = at + 1, np.maximum(end - at - 1, 0)
+        width = np.minimum(some, NEAREST)
+    else:  # who is not in the list's largest component looks at all the others, on both sides
+        code = np.unique(own, return_inverse=True)[1] + run * (len(own) + 1)
+        kinds, of, count = np.unique(code, return_inverse=True, return_counts=True)
+        largest = np.lexsort((count, kinds // (len(own) + 1)))
+        last = np.append(np.diff(kinds[largest] // (len(own) + 1)) != 0, True) if len(kinds) else np.zeros(0, bool)
+        main = np.zeros(len(kinds), bool)
+        main[largest[last]] = True
+        minor = ~main[of]
+        wide = run * (1 << 34) + n
+        begin = np.searchsorted(wide, run * (1 << 34) - (-n * LEAST // OF))
+        width = np.where(minor, end - begin, 0)
+    total, lo = np.concatenate([[0], np.cumsum(width)]), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BLOCK, side="right")) - 1)
+        c = width[lo:hi]
+        i = np.repeat(at[lo:hi], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        if first_round:
+            j = ((step[i] + j.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % some[i] + begin[i]
+        else:
+            j += begin[i]
+            once = (own[i] != own[j]) & (~minor[j] | (i < j))
+            i, j = i[once], j[once]
+        yield i, j
+        lo = hi
+
+
 def _pairs(first_round: bool):
-    """Distinct pairs of keys under a common shingle whose sizes and places in the sets allow the similarity."""
+    """Distinct pairs of keys under a common shingle whose sizes, places in the sets and sketches allow the similarity."""
 
     def run(table: pa.Table) -> pa.Table:
-        order, run, key, n, pos, end = _sorted_postings(table)
-        at = np.arange(len(order))
-        own = np.zeros(len(order), np.int64) if first_round else table.column("component").to_numpy()[order]
-        if not first_round:  # nothing to look for where all partners are in one component already
-            change = np.concatenate([[0], np.cumsum((own[1:] != own[:-1]) | (run[1:] != run[:-1]))]) if len(own) else own
-            end = np.where(change[np.maximum(end - 1, 0)] == change, at, end)
-        count = np.maximum(end - at - 1, 0)
+        order, runs, key, n, pos, end = _sorted_postings(table)
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)[order]
+        own = table.column("component").to_numpy()[order]
         step = table.column("h").to_numpy()[order].view(np.uint64) ^ key.view(np.uint64)
-        if first_round:  # partners that differ by shingle, so that large groups meet at random
-            some = np.minimum(count, NEAREST)
-        else:
-            some = count
-        total = np.concatenate([[0], np.cumsum(some)])
-        out, lo = [np.empty((2, 0), np.int64)], 0
-        while lo < len(order):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BLOCK, side="right")) - 1)
-            c = some[lo:hi]
-            i = np.repeat(at[lo:hi], c)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            if first_round:
-                j = ((step[i] + j.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % count[i]
-            j += i + 1
-            fits = ((LEAST + OF) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= LEAST * (n[i] + n[j])) & (key[i] != key[j])
-            if not first_round:
-                fits &= own[i] != own[j]
+        out = [np.empty((2, 0), np.int64)]
+        for i, j in _partners(n, runs, end, own, step, first_round):
+            least = -(-LEAST * (n[i] + n[j]) // (LEAST + OF))  # shingles that both must have
+            fits = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (own[i] != own[j])
+            i, j, least = i[fits], j[fits], least[fits]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            fits = apart <= n[i] + n[j] - 2 * least
             i, j = i[fits], j[fits]
             if len(i):
                 flip = key[i] > key[j]
                 out.append(np.unique(np.stack([np.where(flip, j, i), np.where(flip, i, j)]), axis=1))
-            lo = hi
         a, b = np.concatenate(out, axis=1)
         if len(a):
             _, once = np.unique(np.stack([key[a], key[b]]), axis=1, return_index=True)
@@ -127,16 +152,21 @@ def _pairs(first_round: bool):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame) -> DataFrame:
+    make = lambda column: [[shingles(t).view(np.int64) for t in byte_texts(column)]]
+    return add_columns(texts, "text", [T.StructField("h", T.ArrayType(T.LongType()))], make)
+
+
+def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, from the shingles of the texts that occur in pairs."""
-    pairs = durable(pairs.distinct())
+    pairs = durable(found.distinct())
     used = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    make = lambda column: [[shingles(t).view(np.int64) for t in byte_texts(column)]]
-    sets = add_columns(texts.join(used, "key", "left_semi"), "text", [T.StructField("h", T.ArrayType(T.LongType()))], make).select("key", "h")
-    sets = durable(sets)
+    sets = durable(_sets(texts.join(used, "key", "left_semi")).select("key", "h"))
     left, right = sets.select(F.col("key").alias("a"), F.col("h").alias("x")), sets.select(F.col("key").alias("b"), F.col("h").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return durable(pairs.join(left, "a").join(right, "b").where(both * (LEAST + OF) >= LEAST * (F.col("na") + F.col("nb"))).select("a", "b"))
+    links = durable(pairs.join(left, "a").join(right, "b").where(both * (LEAST + OF) >= LEAST * (F.col("na") + F.col("nb"))).select("a", "b"))
+    discard(pairs, sets)
+    return links
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,27 +174,43 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is LEAST / OF or
     more, none left out; components follow links. Sets are known by 64-bit hashes of shingles and of
-    themselves; texts without words have the same, empty set. Pairs are looked for in two rounds: few
-    partners of each posting first, at random, then all that are in another component, so that a large group of
-    near copies is not paired with itself.
+    themselves; texts without words have the same, empty set. Candidates are looked for in three rounds: the
+    trie self-join of the five-word SimHash fingerprints; few partners of each posting, at random; and all partners in
+    another component whose sketches allow the similarity, so that a large group of near copies is not
+    paired with itself. Each round's candidates are checked exactly.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     common, count = _common(rows, rows.count())
 
     def make(column: pa.Array) -> list:
-        sets = [shingles(t) for t in byte_texts(column)]
-        return [[np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64) for s in sets], [len(s) for s in sets], [prefix(s, common, count).view(np.int64) for s in sets]]
-
-    nodes = durable(add_columns(rows.withColumn("mark", F.md5("text")), "text", _NODE, make).select("doc_id", "mark", "key", "n", "prefix"))
+        out: list[list] = [[] for _ in _NODE]
+        for t in byte_texts(column):
+            hashes = list(shingle_hashes(t, SHINGLE_WORDS, SEED))
+            s = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+            key, fp = (np.uint64(x).view(np.int64) for x in (xxhash.xxh64_intdigest(s.tobytes(), SEED), majority_bits(iter(hashes))))
+            for o, v in zip(out, (key, fp, len(s), sketch(s), prefix(s, common, count).view(np.int64)), strict=True):
+                o.append(v)
+        return out
+
+    nodes = durable(add_columns(rows.withColumn("mark", F.md5("text")), "text", _NODE, make).select("doc_id", "mark", *(f.name for f in _NODE)))
     of_text = nodes.groupBy("key").agg(F.min("mark").alias("mark"))
-    firsts = nodes.select("key", "n", "prefix").dropDuplicates(["key"])
+    firsts = nodes.groupBy("key").agg(F.min(F.struct("fp", "n", "sketch", "prefix")).alias("s")).select("key", "s.*")
+    sketches = durable(firsts.select("key", "fp", "n", "sketch"))
     buckets = max(1, (firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0) // BUCKET)
     dealt = firsts.select("key", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    met = durable(dealt.groupBy("bucket").applyInArrow(_met, _POSTING)).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    met = durable(dealt.groupBy("bucket").applyInArrow(_met, _POSTING))
+    drawn = durable(met.join(sketches.select("key", "sketch"), "key").withColumn("bucket", F.pmod("h", F.lit(buckets))))
     texts = rows.withColumn("mark", F.md5("text")).join(of_text, "mark").select("key", "text").dropDuplicates(["key"])
-
-    near = _verified(met.groupBy("bucket").applyInArrow(_pairs(True), _PAIR), texts)
-    known = stars(near)
     label = lambda df, links: df.join(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    more = _verified(label(met, known).groupBy("bucket").applyInArrow(_pairs(False), _PAIR), texts)
-    return label(nodes.select("doc_id", "mark", "key"), stars(known.unionByName(more))).select(F.col("doc_id").alias(doc_id), "mark", "component")
+
+    of_fp = sketches.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first"))
+    ends = trie_self_join(sketches).join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    same = sketches.join(of_fp, "fp").where(F.col("key") > F.col("first.key")).select(F.struct("key", "n").alias("x"), F.col("first").alias("y"))
+    candidates = ends.select("x", "y").unionByName(same).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.col("x.key") < F.col("y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.key") < F.col("y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
+    known = stars(_verified(candidates, texts))
+    for first_round in (True, False):
+        more = _verified(label(drawn, known).groupBy("bucket").applyInArrow(_pairs(first_round), _PAIR), texts)
+        before, known = known, stars(known.unionByName(more))
+        discard(before, more)
+    discard(met, drawn, sketches)
+    return label(nodes.select("doc_id", "mark", "key"), known).select(F.col("doc_id").alias(doc_id), "mark", "component")

@@ -72,6 +72,29 @@ def test_prefixes_of_similar_sets_meet_whatever_is_common():
     assert len(shingles(b"")) == 0 and len(shingles(b"one Two")) == 1
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 1 << 62, rng.integers(0, 300), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.8], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)]))
+        bits = [np.frombuffer(jaccard.sketch(x), np.uint64) for x in (base, other)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(base, other))
+
+
+def test_a_large_group_of_near_copies_around_the_limit(spark):
+    """Copies of one text with many or few words changed: some are linked by chains only, some not at all."""
+    rng = random.Random(8)
+    story, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(120):
+        copy = list(story)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(60)}"
+        texts.append(" ".join(copy))
+    expected = brute(texts)
+    assert 2 < len(expected) < 100 and max(map(len, expected)) > 20
+    assert components(spark, texts) == expected
+
+
 def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, sf):
     words = [f"word{k}" for k in range(200)]
     texts = [" ".join(words), " ".join([*words[:50], "x", *words[51:120], "y", *words[121:]]), " ".join(f"other{k}" for k in range(200))]
