@@ -12,11 +12,9 @@ from pyspark.sql import types as T
 
 from lumenary.llm.arrow import add_columns, texts
 
-#: Lines of a sliding window; characters that a window must reach for a surge where nothing marks
-#: the article, or this share of the page's fullest window if that is less.
-WINDOW_LINES, SURGE_CHARS, SURGE_SHARE = 3, 86, 0.2
-#: A marked article with less than this share of the page's weight does not decide where the main text is.
-ARTICLE_SHARE = 0.25
+#: Lines of a sliding window; characters that a window must reach for a surge, or this share of the page's
+#: fullest window if that is less; weight of a character in an article or main element against one elsewhere.
+WINDOW_LINES, SURGE_CHARS, SURGE_SHARE, BONUS = 3, 86, 0.2, 10
 #: A line outside of an article is a menu if links have this share of its characters.
 LINK_SHARE = 0.6
 
@@ -24,6 +22,7 @@ LINK_SHARE = 0.6
 #: mark a menu, notice, advert, form or reader comment (fixed values).
 _DROP = frozenset("nav header footer aside form button select textarea noscript iframe object svg canvas dialog figure menu template head title script style".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+_CONTAINER = frozenset("address article aside details dialog div dl fieldset figure footer form header main nav ol section table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
@@ -54,28 +53,31 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, weight, in article) of each line, and whether the page marks an article.
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, in article) of each line.
 
-    A line is the text between the borders of block elements. Its weight is its characters, or none
-    for lines of menus, notices and the like, which so dive the distribution where they stand.
+    A line is the text between the borders of block elements. Its weight is its characters, times BONUS in an
+    article or main element. Empty lines, as many as a window has, stand where a container begins or ends, so that
+    the distribution dives between containers; within an article they do not. Menus, notices and the like have no weight.
     """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = depth = skip = at = 0
-    skipped, in_link, marked = "", False, False
+    skipped, in_link = "", False
 
-    def close() -> None:
+    def close(dive: bool = False) -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        if text or skip:
+        if text and not skip:
             menu = not depth and linked >= LINK_SHARE * len(text)
-            lines.append((text, 0 if skip or menu else len(text), depth > 0))
+            lines.append((text, 0 if menu else len(text) * (BONUS if depth else 1), depth > 0))
+        if dive and not depth and lines and lines[-1][0]:
+            lines.extend([("", 0, False)] * WINDOW_LINES)
         parts, linked = [], 0
 
     def take(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not skip:
             text = html.unescape(raw)
             parts.append(text)
             if in_link:
@@ -87,17 +89,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if not m[3]:
             continue
         tag, closing = m[3].lower(), bool(m[2])
-        if skip and (tag in ("article", "main", "body") and not _is_noise(tag, m[4], False)):
-            close()  # what was left open ends here
-            skip = 0
+        if skip and tag in ("article", "main", "body") and not _is_noise(tag, m[4], False):
+            skip = 0  # what was left open ends here
         if skip:
-            if tag in _BLOCK:
-                close()
             if tag == skipped and tag not in _VOID:
                 skip += -1 if closing else 1
             continue
         if tag in _BLOCK:
-            close()
+            close(tag in _CONTAINER)
         elif tag in ("br", "td", "th"):
             parts.append(" ")
         if tag == "a":
@@ -105,44 +104,39 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if closing:
             if tag in ("article", "main") and depth:
                 depth -= 1
+                close(True)
         elif _is_noise(tag, m[4], depth > 0):
             if tag not in _VOID and not m[4].endswith("/"):
-                close()
+                close(True)
                 skip, skipped = 1, tag
         elif tag in ("article", "main"):
             depth += 1
-            marked = True
     take(page[at:])
     close()
-    return lines, marked
+    return lines
 
 
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by newlines; empty if there is none.
 
     Sums of the lines' weights over sliding windows surge where the main text begins and dive to
-    nothing where it ends. Between such points all lines with weight are kept. Where an article is
-    marked and has ARTICLE_SHARE of the page's weight, only its lines have weight and any text there
-    is a surge; elsewhere a window must reach SURGE_CHARS, or a share of the fullest one, and text
-    of a smaller article is kept beside that.
+    nothing where it ends; all lines with weight between such points are kept. A window must reach
+    SURGE_CHARS, or a share of the fullest one; where the fullest one is an article's, BONUS times SURGE_CHARS.
     """
-    lines, marked = lines_of(page)
+    lines = lines_of(page)
     weight = np.array([w for _, w, _ in lines], np.int64)
-    inside = np.array([i for _, _, i in lines], bool)
     if not weight.any():
         return ""
-    own = marked and weight[inside].sum() >= ARTICLE_SHARE * weight.sum()
-    if own:
-        weight[~inside] = 0
     window = np.convolve(weight, np.ones(WINDOW_LINES, np.int64))  # sums that end at each line
-    surge = 1 if own else min(SURGE_CHARS, SURGE_SHARE * window.max())
+    fullest = int(window.argmax())
+    marked = any(inside for _, w, inside in lines[max(0, fullest - WINDOW_LINES + 1) : fullest + 1] if w)
+    surge = min(SURGE_CHARS * (BONUS if marked else 1), SURGE_SHARE * window[fullest])
     full = np.concatenate([[0], window > 0, [0]])
     begins, ends = np.flatnonzero(np.diff(full) == 1), np.flatnonzero(np.diff(full) == -1)
     kept = np.zeros(len(lines), bool)
     for a, b in zip(begins, ends, strict=True):
         if window[a:b].max() >= surge:
             kept[a:b] = True
-    kept |= inside
     return "\n".join(lines[k][0] for k in np.flatnonzero(kept & (weight > 0)))
 
 
