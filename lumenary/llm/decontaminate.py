@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,7 +18,7 @@ from lumenary.llm.arrow import add_columns, byte_texts
 from lumenary.llm.storage import durable
 
 #: Words of a window, and bytes of benchmark text that one automaton holds.
-WINDOW, AUTOMATON_BYTES = 10, 32 << 20
+WINDOW, AUTOMATON_BYTES = 10, 2 << 20
 #: Bytes of words, lowered; every other byte becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -30,23 +31,26 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows_of(text: bytes, size: int = WINDOW) -> list[bytes]:
-    """Each run of ``size`` words, space-joined; a shorter text is one window, an empty one none."""
-    w = words_of(text)
-    return [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-
-
 class Scanner:
-    """One automaton; a window is a pattern between spaces, with the numbers of the items that have it."""
+    """One automaton over words; a pattern is a window, with the numbers of the items that have it.
+
+    A word is one symbol, written as the character of its number, so a window makes as many nodes as it
+    has words at most. Benchmark text of AUTOMATON_BYTES has fewer words than there are characters.
+    """
 
     def __init__(self, texts: list[bytes], size: int = WINDOW) -> None:
-        owners: dict[bytes, set[int]] = {}
+        owners: dict[str, set[int]] = {}
+        self.symbol: dict[bytes, str] = {}
         for k, text in enumerate(texts):
-            for w in windows_of(text, size):
-                owners.setdefault(w, set()).add(k)
+            w = "".join([self.symbol.setdefault(x, chr(len(self.symbol) + 2)) for x in words_of(text)])
+            for i in range(max(1, len(w) - size + 1)) if w else ():
+                owners.setdefault(w[i : i + size], set()).add(k)
+        # Children of a node are searched in the order in which they came: unknown words first, then the frequent ones.
+        often = Counter(w[0] for w in owners)
         self.automaton = ahocorasick.Automaton()
-        for w, items in owners.items():
-            self.automaton.add_word(f" {w.decode('latin-1')} ", (len(w) + 2, w.count(b" ") + 1, items))
+        self.automaton.add_word("\0\1", (0, set()))
+        for w, items in sorted(owners.items(), key=lambda x: -often[x[0][0]]):
+            self.automaton.add_word(w, (len(w), items))
         self.automaton.make_automaton()
         self.some = bool(owners)
 
@@ -55,19 +59,14 @@ class Scanner:
         w = words_of(text)
         if not w or not self.some:
             return len(w), [], set()
-        flat = f" {b' '.join(w).decode('latin-1')} "
-        found = [(end, *value) for end, value in self.automaton.iter(flat)]
-        if not found:
-            return len(w), [], set()
-        gaps = np.flatnonzero(np.frombuffer(flat.encode("latin-1"), np.uint8) == 32)
-        last = np.searchsorted(gaps, [f[0] for f in found])  # the window ends before this gap
+        found = [(end + 1, *value) for end, value in self.automaton.iter("".join(map(self.symbol.get, w, repeat("\0"))))]
         runs: list[list[int]] = []
-        for a, b in sorted((int(e) - f[2], int(e)) for e, f in zip(last, found, strict=True)):
+        for a, b in sorted((end - n, end) for end, n, _ in found):
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(b, runs[-1][1])
             else:
                 runs.append([a, b])
-        return len(w), [(a, b) for a, b in runs], set().union(*(f[3] for f in found))
+        return len(w), [(a, b) for a, b in runs], set().union(*(f[2] for f in found))
 
 
 def word_spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
