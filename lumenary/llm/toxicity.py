@@ -16,8 +16,8 @@ from lumenary.llm.arrow import add_columns, texts
 from lumenary.llm.storage import durable
 
 #: Labelled rows that the model is fitted on at most, least toxic texts with a term and how many
-#: times likelier it must be in them, terms considered and kept at most.
-SAMPLE_ROWS, MIN_TEXTS, MIN_LIFT, CANDIDATES, LEXICON = 40_000, 6, 20.0, 20_000, 2_000
+#: times likelier it must be in them.
+SAMPLE_ROWS, MIN_TEXTS, MIN_LIFT = 40_000, 6, 20.0
 #: Letters of a stem, edits allowed in words of so many letters or more, words of context on a side.
 STEM, EDIT_LETTERS, CONTEXT = (4, 5, 6), 5, 4
 #: Share of a hit's weight that is left where the context quotes or reports it.
@@ -124,7 +124,7 @@ def folded(word: str) -> str:
 
 
 class Features:
-    """Features of texts: hits, near hits, weight by context, and longest weight; remembers words."""
+    """Features of texts: whether there is a hit, hits, near hits, and weight by context; remembers words."""
 
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
         self.lexicon = Lexicon(terms)
@@ -157,7 +157,7 @@ class Features:
                 hits += value == 1.0
                 near += value < 1.0
                 weight += own
-        return [1.0, min(hits, 3.0), min(near, 3.0), min(weight, 3.0)]
+        return [1.0, math.log1p(hits), math.log1p(near), math.log1p(weight)]
 
     @staticmethod
     def _quoted(words: list[str], i: int) -> bool:
@@ -203,7 +203,7 @@ def choose_terms(candidates: list[str], found: list[list[int]]) -> list[tuple[st
         for k in ks:
             holders[k].append(d)
     open_texts, chosen = set(range(len(found))), []
-    while left and len(chosen) < LEXICON:
+    while left:
         # Of equals the longer one, a whole word before a stem: it says less about other words.
         best = max(left, key=lambda k: (left[k], len(candidates[k]), candidates[k]))
         if left[best] < MIN_TEXTS:
@@ -233,7 +233,7 @@ def is_training(doc_id: Column, folds: int = 5) -> Column:
 
 
 class Model:
-    """Lexicon and weights; small, as both have fixed bounds."""
+    """Lexicon and weights; small, as the sample that they come from is bounded."""
 
     def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray) -> None:
         self.terms, self.weights = terms, weights
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
 
     The sample's ids are so few that they are broadcast; its distinct texts are written once. Counts
     of words and stems by label are summed by Spark over the sample; what comes to the driver is
-    bounded by the sample and by CANDIDATES.
+    bounded by the sample.
     """
     picked = (
         labels.where("toxic is not null and doc_id is not null")
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
         return Model([], np.array([math.log(share / (1 - share)) if n_other + n_toxic else -5.0, *[0.0] * FEATURES]))
     counts = sample.mapInArrow(_affix_counts, "affix string, n_other long, n_toxic long").groupBy("affix").agg(F.sum("n_other").alias("n_other"), F.sum("n_toxic").alias("n_toxic"))
     lift = (F.col("n_toxic") + 0.5) / n_toxic / ((F.col("n_other") + 0.5) / n_other)
-    candidates = [r.affix for r in counts.where((F.col("n_toxic") >= MIN_TEXTS) & (lift >= MIN_LIFT)).orderBy(F.desc("n_toxic"), "affix").limit(CANDIDATES).collect()]
+    candidates = [r.affix for r in counts.where((F.col("n_toxic") >= MIN_TEXTS) & (lift >= MIN_LIFT)).orderBy(F.desc("n_toxic"), "affix").collect()]
     number = {a: k for k, a in enumerate(candidates)}
 
     def make(column: pa.Array) -> list:
