@@ -44,7 +44,7 @@ WITH RECURSIVE s(it, w, pos, tok, after, next) AS (
 SELECT w, list(tok ORDER BY pos) AS ids FROM s JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) last USING (w, it) GROUP BY w ORDER BY w
 """
 _DECODE = """
-SELECT w, unhex(string_agg(hex, '')) AS bytes FROM (SELECT w, hex FROM tokens JOIN vocabulary USING (id) ORDER BY pos) GROUP BY w ORDER BY w
+SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
 """
 
 
@@ -62,7 +62,7 @@ class Coder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         left, right, rank = np.array(pairs, np.int64).T if pairs else np.zeros((3, 0), np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._table("merges", pair=left << 32 | right, rank=rank.astype(np.int32))
         self._table("vocabulary", id=np.fromiter(ranks.values(), np.int32), hex=[t.hex() for t in ranks])
         #: Words with their ids and the bytes of these: the ones met lately, and those of the time before.
