@@ -157,11 +157,12 @@ def _sets(texts: DataFrame) -> DataFrame:
     return add_columns(texts, "text", [T.StructField("h", T.ArrayType(T.LongType()))], make)
 
 
-def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, from the shingles of the texts that occur in pairs."""
+def _verified(found: DataFrame, rows: DataFrame, of_text: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, from the shingles of the texts that occur in pairs; ``of_text`` has a text's mark for each key."""
     pairs = durable(found.distinct())
     used = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = durable(_sets(texts.join(used, "key", "left_semi")).select("key", "h"))
+    texts = rows.select("text", F.md5("text").alias("mark")).join(of_text.join(used, "key", "left_semi"), "mark").select("key", "text").dropDuplicates(["key"])
+    sets = durable(_sets(texts).select("key", "h"))
     left, right = sets.select(F.col("key").alias("a"), F.col("h").alias("x")), sets.select(F.col("key").alias("b"), F.col("h").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     links = durable(pairs.join(left, "a").join(right, "b").where(both * (LEAST + OF) >= LEAST * (F.col("na") + F.col("nb"))).select("a", "b"))
@@ -193,24 +194,23 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         return out
 
     nodes = durable(add_columns(rows.withColumn("mark", F.md5("text")), "text", _NODE, make).select("doc_id", "mark", *(f.name for f in _NODE)))
-    of_text = nodes.groupBy("key").agg(F.min("mark").alias("mark"))
+    of_text = durable(nodes.groupBy("key").agg(F.min("mark").alias("mark")))
     firsts = nodes.groupBy("key").agg(F.min(F.struct("fp", "n", "sketch", "prefix")).alias("s")).select("key", "s.*")
     sketches = durable(firsts.select("key", "fp", "n", "sketch"))
     buckets = max(1, (firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0) // BUCKET)
     dealt = firsts.select("key", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     met = durable(dealt.groupBy("bucket").applyInArrow(_met, _POSTING))
     drawn = durable(met.join(sketches.select("key", "sketch"), "key").withColumn("bucket", F.pmod("h", F.lit(buckets))))
-    texts = rows.withColumn("mark", F.md5("text")).join(of_text, "mark").select("key", "text").dropDuplicates(["key"])
     label = lambda df, links: df.join(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     of_fp = sketches.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("first"))
     ends = trie_self_join(sketches).join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     same = sketches.join(of_fp, "fp").where(F.col("key") > F.col("first.key")).select(F.struct("key", "n").alias("x"), F.col("first").alias("y"))
     candidates = ends.select("x", "y").unionByName(same).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.col("x.key") < F.col("y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.key") < F.col("y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    known = stars(_verified(candidates, texts))
+    known = stars(_verified(candidates, rows, of_text))
     for first_round in (True, False):
-        more = _verified(label(drawn, known).groupBy("bucket").applyInArrow(_pairs(first_round), _PAIR), texts)
+        more = _verified(label(drawn, known).groupBy("bucket").applyInArrow(_pairs(first_round), _PAIR), rows, of_text)
         before, known = known, stars(known.unionByName(more))
         discard(before, more)
-    discard(met, drawn, sketches)
+    discard(met, drawn, sketches, of_text)
     return label(nodes.select("doc_id", "mark", "key"), known).select(F.col("doc_id").alias(doc_id), "mark", "component")

@@ -6,9 +6,9 @@ import public_tokenizers as P
 import tiktoken
 from fixtures import table
 from test_decontaminate import brute as leaks
+from test_jaccard import brute as near
 from test_quality import brute as counts
 from test_secret_scan import brute as secrets
-from test_simhash import brute as near
 
 from lumenary.llm.bpe import read_ranks
 from lumenary.llm.quality import Ratios, in_band
@@ -18,17 +18,15 @@ def test_stages_against_brute_force(spark, sf):
     docs = [r for r in table(sf, "documents")]
     ratios = Ratios()
     docs = [r for r in docs if not counts(r["text"])[5] and in_band(len(b := r["text"].encode()), *ratios.outside(b))]
-    first = {d for d, _, c in near([(r["doc_id"], r["text"]) for r in docs]) if d == c}
+    first = {min(docs[k]["doc_id"] for k in group) for group in near([r["text"] for r in docs])}
     docs = [r for r in docs if r["doc_id"] in first]
     items = [(r["item_id"], r["text"]) for r in table(sf, "benchmark")]
     assert {t: c for t, c in corpus_pipeline.STAGES}.keys() and len(corpus_pipeline.STAGES) == 5
-    clean = {d for d, _, hit, _ in leaks([(r["doc_id"], r["text"]) for r in docs if len(r["text"]) < 2500], items) if not hit}
+    clean = {d for d, _, hit, _ in leaks([(r["doc_id"], r["text"]) for r in docs], items) if not hit}
     encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert rows.keys() <= first
+    assert rows.keys() == clean
     for r in docs:
-        if len(r["text"]) >= 2500:
-            continue
         assert (r["doc_id"] in rows) == (r["doc_id"] in clean)
         if r["doc_id"] in clean:
             text, at, out = r["text"], 0, ""
