@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: What a Python worker keeps for its next tasks; a step that needs the memory clears it.
+KEPT: dict = {}
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null text is an empty one."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

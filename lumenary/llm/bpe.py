@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenary.llm.arrow import add_columns, texts
+from lumenary.llm.arrow import KEPT, add_columns, texts
 
 #: White space by Unicode's property, as the word pattern means it (fixed values).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -182,14 +182,11 @@ class Coder:
             gc.enable()
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
     """The worker's coder for a rank file; kept, with the words that it knows, for the worker's next tasks."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Coder(read_ranks(path), pattern)
-    return _CODERS[path, pattern]
+    if (path, pattern) not in KEPT:
+        KEPT[path, pattern] = Coder(read_ranks(path), pattern)
+    return KEPT[path, pattern]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", fields: list[T.StructField] | None = None, make=None) -> DataFrame:

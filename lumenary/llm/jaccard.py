@@ -14,20 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenary.llm import arrow
 from lumenary.llm.arrow import add_columns, byte_texts
 from lumenary.llm.components import stars
-from lumenary.llm.simhash import majority_bits, shingle_hashes, trie_self_join
+from lumenary.llm.simhash import majority_bits, shingle_hashes, spanning, trie_self_join
 from lumenary.llm.storage import discard, durable
 
 #: Words of a shingle, seed of its hash, and the least similarity of a link as a fraction.
 SHINGLE_WORDS, SEED, LEAST, OF = 5, 42, 4, 5
 #: Texts counted to find common shingles, texts of these that make one common, and the most that are kept.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 500_000
-#: Postings of a task, pairs that a task looks at at once, and partners of a posting in the first round.
-BUCKET, BLOCK, NEAREST = 400_000, 1 << 20, 2
+SAMPLE, COMMON, MOST_COMMON = 40_000, 2, 1_000_000
+#: Postings of a task, pairs that a task looks at at once, partners of a posting in a random round, and such rounds.
+BUCKET, BLOCK, NEAREST, RANDOM_ROUNDS = 150_000, 1 << 17, 3, 2
 
-#: Bytes of a sketch: each shingle flips one bit, so sketches differ in no more bits than sets in shingles.
-SKETCH = 32
+#: Bytes of a sketch, and of one of a set of more than so many shingles: each shingle flips one bit, so sketches
+#: differ in no more bits than sets in shingles.
+SKETCH, LARGE_SKETCH, LARGE = 32, 128, 300
 
 _NODE = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 _POSTING, _PAIR = "h long, key long, n int, pos int", "a long, b long, na int, nb int"
@@ -41,7 +43,27 @@ def shingles(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 def sketch(found: np.ndarray) -> bytes:
     """The parity of how many shingles fall on each bit."""
-    return np.packbits(np.bincount((found & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1).tobytes()
+    bits = 8 * (LARGE_SKETCH if len(found) > LARGE else SKETCH)
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of two sizes; a large one folds to a small one."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.large = np.array([len(b) > SKETCH for b in sketches], bool)
+        self.row = np.cumsum(self.large) - 1
+        self.wide = np.frombuffer(b"".join([b for b in sketches if len(b) > SKETCH]), np.uint64).reshape(-1, LARGE_SKETCH // 8)
+        self.small = np.empty((len(sketches), SKETCH // 8), np.uint64)
+        self.small[~self.large] = np.frombuffer(b"".join([b for b in sketches if len(b) == SKETCH]), np.uint64).reshape(-1, SKETCH // 8)
+        self.small[self.large] = np.bitwise_xor.reduce(self.wide.reshape(-1, LARGE_SKETCH // SKETCH, SKETCH // 8), axis=1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches at i and j differ."""
+        out = np.bitwise_count(self.small[i] ^ self.small[j]).sum(1, dtype=np.int64)
+        both = np.flatnonzero(self.large[i] & self.large[j])
+        out[both] = np.bitwise_count(self.wide[self.row[i[both]]] ^ self.wide[self.row[j[both]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -91,10 +113,10 @@ def _met(table: pa.Table) -> pa.Table:
     return table.take(pa.array(order[np.cumsum(keep)[:-1] > 0])).select(["h", "key", "n", "pos"])
 
 
-def _partners(n: np.ndarray, run: np.ndarray, end: np.ndarray, own: np.ndarray, step: np.ndarray, first_round: bool):
+def _partners(n: np.ndarray, run: np.ndarray, end: np.ndarray, own: np.ndarray, step: np.ndarray | None):
     """Blocks (i, j) of places of postings with partners to look at: few at random, or all in another component."""
     at, width = np.arange(len(n)), np.zeros(len(n), np.int64)
-    if first_round:  # partners that differ by shingle, so that large groups meet at random
+    if step is not None:  # partners that differ by shingle, so that large groups meet at random
         begin, some = at + 1, np.maximum(end - at - 1, 0)
         width = np.minimum(some, NEAREST)
     else:  # who is not in the list's largest component looks at all the others, on both sides
@@ -114,7 +136,7 @@ def _partners(n: np.ndarray, run: np.ndarray, end: np.ndarray, own: np.ndarray,
         c = width[lo:hi]
         i = np.repeat(at[lo:hi], c)
         j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        if first_round:
+        if step is not None:
             j = ((step[i] + j.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % some[i] + begin[i]
         else:
             j += begin[i]
@@ -124,21 +146,24 @@ def _partners(n: np.ndarray, run: np.ndarray, end: np.ndarray, own: np.ndarray,
         lo = hi
 
 
-def _pairs(first_round: bool):
-    """Distinct pairs of keys under a common shingle whose sizes, places in the sets and sketches allow the similarity."""
+def _pairs(seed: int | None):
+    """Distinct pairs of keys under a common shingle whose sizes, places in the sets and sketches allow the similarity.
+
+    With a seed, partners are drawn, and only pairs that span what the drawn ones connect are returned.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        arrow.KEPT.clear()
         order, runs, key, n, pos, end = _sorted_postings(table)
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)[order]
+        sketches = Sketches(table.column("sketch").take(pa.array(order)).to_pylist())
         own = table.column("component").to_numpy()[order]
-        step = table.column("h").to_numpy()[order].view(np.uint64) ^ key.view(np.uint64)
+        step = None if seed is None else (table.column("h").to_numpy()[order].view(np.uint64) ^ key.view(np.uint64)) + np.uint64(seed)
         out = [np.empty((2, 0), np.int64)]
-        for i, j in _partners(n, runs, end, own, step, first_round):
+        for i, j in _partners(n, runs, end, own, step):
             least = -(-LEAST * (n[i] + n[j]) // (LEAST + OF))  # shingles that both must have
             fits = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (own[i] != own[j])
             i, j, least = i[fits], j[fits], least[fits]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            fits = apart <= n[i] + n[j] - 2 * least
+            fits = sketches.apart(i, j) <= n[i] + n[j] - 2 * least
             i, j = i[fits], j[fits]
             if len(i):
                 flip = key[i] > key[j]
@@ -147,6 +172,11 @@ def _pairs(first_round: bool):
         if len(a):
             _, once = np.unique(np.stack([key[a], key[b]]), axis=1, return_index=True)
             a, b = a[once], b[once]
+        if len(a) and seed is not None:
+            ends = np.unique(key[np.concatenate([a, b])], return_inverse=True)[1]
+            number = {x: k for k, x in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True))}
+            some = [number[x] for left, right in spanning(int(ends.max()) + 1, iter([(ends[: len(a)], ends[len(a) :])])) for x in zip(left.tolist(), right.tolist(), strict=True)]
+            a, b = a[some], b[some]
         return pa.table({"a": key[a], "b": key[b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32)})
 
     return run
@@ -175,7 +205,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is LEAST / OF or
     more, none left out; components follow links. Sets are known by 64-bit hashes of shingles and of
-    themselves; texts without words have the same, empty set. Candidates are looked for in three rounds: the
+    themselves; texts without words have the same, empty set. Candidates are looked for in rounds: the
     trie self-join of the five-word SimHash fingerprints; few partners of each posting, at random; and all partners in
     another component whose sketches allow the similarity, so that a large group of near copies is not
     paired with itself. Each round's candidates are checked exactly.
@@ -184,6 +214,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     common, count = _common(rows, rows.count())
 
     def make(column: pa.Array) -> list:
+        arrow.KEPT.clear()
         out: list[list] = [[] for _ in _NODE]
         for t in byte_texts(column):
             hashes = list(shingle_hashes(t, SHINGLE_WORDS, SEED))
@@ -208,8 +239,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     same = sketches.join(of_fp, "fp").where(F.col("key") > F.col("first.key")).select(F.struct("key", "n").alias("x"), F.col("first").alias("y"))
     candidates = ends.select("x", "y").unionByName(same).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.col("x.key") < F.col("y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.col("x.key") < F.col("y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
     known = stars(_verified(candidates, rows, of_text))
-    for first_round in (True, False):
-        more = _verified(label(drawn, known).groupBy("bucket").applyInArrow(_pairs(first_round), _PAIR), rows, of_text)
+    for seed in (*range(1, 1 + RANDOM_ROUNDS), None):
+        more = _verified(label(drawn, known).groupBy("bucket").applyInArrow(_pairs(seed), _PAIR), rows, of_text)
         before, known = known, stars(known.unionByName(more))
         discard(before, more)
     discard(met, drawn, sketches, of_text)

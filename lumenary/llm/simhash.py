@@ -136,7 +136,7 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Some of the pairs, fewer than n, that connect the same nodes as all of them."""
     root = np.arange(n)
     for a, b in pairs:
@@ -163,7 +163,7 @@ def _join_subtrees(budget: int):
         left, right = np.sort(fp[side == 0]), np.sort(fp[side == 1])
         nodes = np.concatenate([left, right])
         found = trie_links(left, None, depth, 0, budget) if p == q else ((a, b + len(left)) for a, b in trie_links(left, right, depth, (p ^ q).bit_count(), budget))
-        links = list(_spanning(len(nodes), found))
+        links = list(spanning(len(nodes), found))
         a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in range(2))
         return pa.table({"a": nodes[a].view(np.int64), "b": nodes[b].view(np.int64)})
 
