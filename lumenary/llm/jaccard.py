@@ -23,7 +23,7 @@ from lumenary.llm.storage import discard, durable
 #: Words of a shingle, seed of its hash, and the least similarity of a link as a fraction.
 SHINGLE_WORDS, SEED, LEAST, OF = 5, 42, 4, 5
 #: Texts counted to find common shingles, texts of these that make one common, and the most that are kept.
-SAMPLE, COMMON, MOST_COMMON = 40_000, 2, 1_000_000
+SAMPLE, COMMON, MOST_COMMON = 20_000, 2, 1_000_000
 #: Postings of a task, pairs that a task looks at at once, partners of a posting in a random round, and such rounds.
 BUCKET, BLOCK, NEAREST, RANDOM_ROUNDS = 150_000, 1 << 17, 3, 2
 
@@ -183,7 +183,10 @@ def _pairs(seed: int | None):
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    make = lambda column: [[shingles(t).view(np.int64) for t in byte_texts(column)]]
+    def make(column: pa.Array) -> list:
+        arrow.KEPT.clear()
+        return [[shingles(t).view(np.int64) for t in byte_texts(column)]]
+
     return add_columns(texts, "text", [T.StructField("h", T.ArrayType(T.LongType()))], make)
 
 
