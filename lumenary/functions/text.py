@@ -13,10 +13,10 @@ MOST_CHARS, FINGERPRINT_CHARS = 8000, 500
 
 # ---- fixed values
 NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026",
     "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "bulls": "\u2022", "middot": "\u00b7", "eacute": "é",
     "egrave": "è", "agrave": "à", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú", "uuml": "ü", "ouml": "ö", "auml": "ä",
-    "ntilde": "ñ", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "cent": "¢", "amp": "&",
+    "ntilde": "ñ", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "cent": "¢",
 }
 DROPPED_TAGS = ("script", "style", "nav", "aside", "footer", "header", "form", "noscript")
 LIGHT_TAGS = ("script", "style", "nav", "footer", "aside", "form")

@@ -38,7 +38,7 @@ def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def due_sources(sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """Sources never run, or last run at least their frequency ago, by rank of tier then id order of the caller."""
+    """Sources never run, or last run at least their frequency ago; in no order."""
     last = runs.groupBy("source_id").agg(F.max("started_at").alias("last_run"))
     waited = F.timestamp_diff("MINUTE", "last_run", as_of)
     return sources.join(last, "source_id", "left").where(F.col("last_run").isNull() | (waited >= F.col("frequency_min")))

@@ -35,7 +35,10 @@ RAW = (
 )
 MOST_SKILLS = 8
 # ---- fixed values
-NAMED_SKILLS = ("JavaScript", "TypeScript", "Python", "Java", "React", "Angular", "Vue", "Node.js", "PHP", "Ruby", "Go", "C#", ".NET", "SQL", "PostgreSQL", "MongoDB", "AWS", "Azure", "Docker", "Kubernetes", "GraphQL", "Django", "Spring", "Figma")
+NAMED_SKILLS = (
+    "Java", "Python", "JavaScript", "TypeScript", "React", "Angular", "Vue", "Node.js", "NestJS", "Express", "Django", "Flask", "Spring", "Spring Boot",
+    "PostgreSQL", "MySQL", "MongoDB", "Redis", "SQL", "Docker", "Kubernetes", "AWS", "Azure", "GCP", "CI/CD", "GraphQL", "REST", "Git", "Linux", "Microservices",
+)
 JOB_TYPES = {1: "Full Time", 2: "Part Time", 3: "Contract", 4: "Internship"}
 # ----
 

@@ -18,7 +18,7 @@ COMPANIES = (
     r"#([A-Za-z_]+(?:PLC|Ltd|Inc|Corp|SC|Company))",
 )
 DEADLINE = r"(?i)(?:deadline:\s*|by\s+)(\d{1,2})[-/. ]([A-Za-z]{3})[a-z]*[-/. ](\d{4})"
-EMAIL, LINK = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", r"https?://[^\s<>\"]+"
+EMAIL, LINK = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"https?://[^\s<>\"]+"
 # ----
 
 
