@@ -149,23 +149,32 @@ _POST_TITLES = ", ".join(
 )
 
 
+# What a post says of its deadline, and the date that this is; the shapes go round.
+_N, _SHAPE = "(conv_id % 28 + 1)", "(turn + conv_id) % 7 + 1"
+_POST_DEADLINE = f"['deadline: ' || {_N} || ' March 2024', 'Deadline: ' || {_N} || '/9/2024', 'deadline: jun ' || {_N} || ', 2024', 'deadline:' || {_N} || '-November-24', 'deadline: ' || {_N} || ' Xyz 2024', 'closes by ' || {_N} || '.dec.99', 'deadline: 7.' || {_N} || '.2025'][{_SHAPE}]"
+_POST_DATE = f"[make_date(2024, 3, {_N}), CASE WHEN {_N} <= 12 THEN make_date(2024, {_N}, 9) END, make_date(2024, 6, {_N}), make_date(2024, 11, {_N}), NULL, make_date(1999, 12, {_N}), make_date(2025, 7, {_N})][{_SHAPE}]"
+
+
 @query(
     "post_extract",
     f"""WITH p AS (SELECT conv_id, turn, role || ' vacancy: ' || 'Q' || left(text, 24) || '
 Company: ' || left(text, 9) || '
-deadline: ' || (turn + 1) || ' ' || ['March', 'jun', 'Nov.', 'Xyz'][turn % 4 + 1] || ' 2024
+' || {_POST_DEADLINE} || '
 apply ' || (CASE WHEN conv_id % 2 = 0 THEN 'hr' || conv_id || '@firm.example.' ELSE 'https://firm.example/' || conv_id || ' ' END) || text AS text FROM conversations),
     t AS (SELECT *, coalesce({_POST_TITLES}, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x)), lambda x: length(x) BETWEEN 10 AND 100 AND regexp_matches(x, '^[A-Z]'))[1]) AS title
           FROM p WHERE length(text) >= 50 AND regexp_matches(text, {_q(posts.GATE)})),
-    d AS (SELECT *, nullif(regexp_extract(text, {_q(posts.EMAIL)}), '') AS e, regexp_extract(text, {_q(posts.DEADLINE)}, ['day', 'month', 'year']) AS w FROM t WHERE title IS NOT NULL)
+    d AS (SELECT *, nullif(regexp_extract(text, {_q(posts.EMAIL)}), '') AS e FROM t WHERE title IS NOT NULL)
     SELECT conv_id, turn, title, coalesce({', '.join(f"left(trim(nullif(regexp_extract(text, {_q(p)}, 1), '')), 100)" for p in posts.COMPANIES)}, 'Unknown') AS company,
-      make_date(TRY_CAST(w.year AS BIGINT), list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(w.month)), 1) + TRY_CAST(w.day AS INTEGER) - 1 AS deadline,
+      {_POST_DATE} AS deadline,
       e AS apply_email, CASE WHEN e IS NULL THEN nullif(regexp_extract(text, {_q(posts.LINK)}), '') END AS apply_url, {_EXPERIENCE.replace(' t ', ' lower(title) ').replace('(t,', '(lower(title),')} AS experience_level, length(left(text, 2000)) AS n_description FROM d""",
 )
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
     t, turn = F.col("text"), F.col("turn")
+    n = F.col("conv_id") % 28 + 1
+    shapes = (("deadline: ", n, " March 2024"), ("Deadline: ", n, "/9/2024"), ("deadline: jun ", n, ", 2024"), ("deadline:", n, "-November-24"), ("deadline: ", n, " Xyz 2024"), ("closes by ", n, ".dec.99"), ("deadline: 7.", n, ".2025"))
+    said = F.element_at(F.array(*(F.concat(*(x if x is n else F.lit(x) for x in s)) for s in shapes)), ((turn + F.col("conv_id")) % len(shapes) + 1).cast("int"))
     contact = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("hr"), F.col("conv_id"), F.lit("@firm.example."))).otherwise(F.concat(F.lit("https://firm.example/"), F.col("conv_id"), F.lit(" ")))
-    made = F.concat(F.col("role"), F.lit(" vacancy: Q"), F.substring(t, 1, 24), F.lit("\nCompany: "), F.substring(t, 1, 9), F.lit("\ndeadline: "), turn + 1, F.lit(" "), R.pick(("March", "jun", "Nov.", "Xyz"), turn), F.lit(" 2024\napply "), contact, t)
+    made = F.concat(F.col("role"), F.lit(" vacancy: Q"), F.substring(t, 1, 24), F.lit("\nCompany: "), F.substring(t, 1, 9), F.lit("\n"), said, F.lit("\napply "), contact, t)
     found = posts.parse_posts(read_table(spark, sf, "conversations").select("conv_id", "turn", made.alias("text")))
     return found.select("conv_id", "turn", "title", "company", "deadline", "apply_email", "apply_url", "experience_level", F.length("description").alias("n_description"))
 

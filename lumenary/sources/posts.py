@@ -17,7 +17,12 @@ COMPANIES = (
     r"(?:at|@)\s+([A-Z][A-Za-z\s&]+(?:PLC|Ltd|Inc|Corp|SC|S\.C\.|Company|Organization))",
     r"#([A-Za-z_]+(?:PLC|Ltd|Inc|Corp|SC|Company))",
 )
-DEADLINE = r"(?i)(?:deadline:\s*|by\s+)(\d{1,2})[-/. ]([A-Za-z]{3})[a-z]*[-/. ](\d{4})"
+DEADLINES = (
+    r"(?i)deadline:\s*(\d{1,2}[-/.]\w+[-/.]\d{2,4})",
+    r"(?i)deadline:\s*(\w+\s+\d{1,2},?\s*\d{4})",
+    r"(?i)deadline:\s*(\d{1,2}\s+\w+\s+\d{4})",
+    r"(?i)by\s+(\d{1,2}[-/.]\w+[-/.]\d{2,4})",
+)
 EMAIL, LINK = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"https?://[^\s<>\"]+"
 # ----
 
@@ -26,6 +31,29 @@ def _some(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def loose_date(text: Column) -> Column:
+    """A date as posts write it: numbers with the month first, or a month's name before or after the day.
+
+    Years of two digits are of 2000 up to 49, else of 1900. A day beyond its month, up to 31, runs into the
+    next one; other days, months beyond 12 and words that begin with no month's name give null.
+    """
+    names = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)))
+    named = lambda word: F.try_element_at(names, F.lower(F.substring(word, 1, 3)))
+
+    def date(pattern: str, day: int, month: int, by_name: bool) -> Column:
+        at = lambda g: F.regexp_extract(text, pattern, g)
+        d, y = at(day).try_cast("int"), at(3).try_cast("int")
+        m = named(at(month)) if by_name else at(month).try_cast("int")
+        year = F.when(F.length(at(3)) > 2, y).when(y < 50, y + 2000).otherwise(y + 1900)
+        return F.when(d.between(1, 31) & m.between(1, 12) & (year > 0), F.date_add(F.make_date(year, m, F.lit(1)), d - 1))
+
+    return F.coalesce(
+        date(r"\A(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\z", 2, 1, False),
+        date(r"\A(\d{1,2})[-/.\s]+([A-Za-z]+)[-/.\s]+(\d{2,4})\z", 1, 2, True),
+        date(r"\A([A-Za-z]+)\s+(\d{1,2}),?\s*(\d{4})\z", 2, 1, True),
+    )
+
+
 def title(text: Column) -> Column:
     """First pattern that gives 5 to 120 characters, else the first line or sentence of 10 to 100 that begins with a capital."""
 
@@ -45,9 +73,7 @@ def parse_posts(posts: DataFrame, text: str = "text") -> DataFrame:
     A post needs 50 characters, a word of work and a title. Null texts are no postings.
     """
     t = F.col(text)
-    month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)))
-    day = lambda g: _some(t, DEADLINE, g)
-    deadline = F.date_add(F.make_date(day(3).try_cast("int"), F.try_element_at(month, F.lower(day(2))), F.lit(1)), day(1).try_cast("int") - 1)
+    deadline = F.coalesce(*(loose_date(F.regexp_extract(t, p, 1)) for p in DEADLINES))
     email = _some(t, EMAIL, 0)
     found = posts.where((F.length(t) >= LEAST_CHARS) & t.rlike(GATE)).withColumn("title", title(t)).where(F.col("title").isNotNull())
     return found.select(
