@@ -42,6 +42,9 @@ SELECT source_id, number, {pick(R.TIERS, 'number')} AS tier, {pick(R.FREQUENCIES
        CASE number % 3 WHEN 0 THEN ['ethiopian', 'ngo'] WHEN 1 THEN ['remote'] ELSE CAST([] AS VARCHAR[]) END AS default_tags,
        {pick(R.LOCATION_CLASSES, 'number')} AS default_location_class
 FROM (SELECT DISTINCT source AS source_id, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS number FROM documents)
+""",
+    "job_link": f"""
+SELECT *, {pick(R.APPLY_METHODS, 'job_id // 5')} AS apply_method, CASE WHEN job_id % 4 > 0 THEN {pick(R.URL_STATUSES, 'job_id // 3')} END AS url_status FROM job
 """,
     "source_run": """
 SELECT 'src' || user_id AS source_id, event_id AS run_id, ts AS started_at, CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'OK' END AS status,

@@ -31,6 +31,8 @@ EVENT_STAGES = (("view", "SAVED"), ("click", "APPLIED"), ("signup", "INTERVIEW")
 TIERS = ("ETHIOPIA", "INTERNATIONAL", "OTHER")
 FREQUENCIES = (30, 60, 240, 1440)
 PRIORITIES = ("HIGH", "MEDIUM", "LOW")
+APPLY_METHODS = ("ONLINE_URL", "ONLINE_URL", "EMAIL")
+URL_STATUSES = ("OK", "NOT_FOUND", "ERROR", "REDIRECTED", "TIMEOUT")
 KEYWORDS = ("developer", "nurse", "data", "officer", "designer")
 
 
@@ -97,6 +99,12 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with how they are answered and the state of their link, null where it was never checked."""
+    i = F.col("job_id")
+    return job(spark, sf_dir).withColumns({"apply_method": pick(APPLY_METHODS, F.floor(i / 5)), "url_status": F.when(i % 4 > 0, pick(URL_STATUSES, F.floor(i / 3)))})
+
+
 def source_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return read_table(spark, sf_dir, "events").select(

@@ -44,6 +44,19 @@ def due_sources(sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame
     return sources.join(last, "source_id", "left").where(F.col("last_run").isNull() | (waited >= F.col("frequency_min")))
 
 
+def due_deep(sources: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Sources with a time for deep collection (deep_every_min) whose last deep run, failed or not, is that long ago, or that had none."""
+    last = runs.where("mode = 'DEEP'").groupBy("source_id").agg(F.max("started_at").alias("last_deep"))
+    waited = F.timestamp_diff("MINUTE", "last_deep", as_of)
+    return sources.where("deep_every_min > 0").join(last, "source_id", "left").where(F.col("last_deep").isNull() | (waited >= F.col("deep_every_min")))
+
+
+def queue_order(due: DataFrame, ranks: dict[str, int], last_rank: int) -> DataFrame:
+    """Due sources with the ``queue_rank`` of their tier, as they are worked on: by rank, then by id."""
+    rank = F.coalesce(*(F.when(F.col("tier") == t, n) for t, n in ranks.items()), F.lit(last_rank))
+    return due.withColumn("queue_rank", rank).orderBy("queue_rank", "source_id")
+
+
 def run_rollup(runs: DataFrame) -> DataFrame:
     """Counters over the runs of a source and mode."""
     return runs.groupBy("source_id", "mode").agg(

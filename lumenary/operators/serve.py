@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Score floors of a saved search by tier; matches that a digest lists.
 SEARCH_FLOOR: dict[str, int] = {"HIGH": 80, "MEDIUM": 70, "LOW": 60}
 DIGEST_TOP = 8
+#: Link states by which a posting is not sent.
+DEAD_LINKS = ("NOT_FOUND", "ERROR")
 
 
 def browse(jobs: DataFrame, sources: DataFrame, *, q: str | None = None, tag: str | None = None, tier: str | None = None, work_place: str | None = None, employment_type: str | None = None, show_dead: bool = False) -> DataFrame:
@@ -34,10 +36,14 @@ def unseen(matches: DataFrame, notifications: DataFrame) -> DataFrame:
 
 
 def deliverable(matches: DataFrame, users: DataFrame, jobs: DataFrame, notifications: DataFrame) -> DataFrame:
-    """Matches to deliver: over the user's threshold, user not paused, posting active, not told before; a pair once, with its best score."""
+    """Matches to deliver: over the user's threshold, user not paused, posting active, not told before; a pair once, with its best score.
+
+    A posting that is answered online goes if its link was found dead; one that was never checked stays.
+    """
     best = matches.groupBy("user_id", "job_id").agg(F.max("score").alias("score"))
     ready = users.where(~F.col("paused")).select("user_id", "threshold")
-    live = jobs.where("status = 'ACTIVE'").select("job_id")
+    dead = F.coalesce((F.col("apply_method") == "ONLINE_URL") & F.col("url_status").isin(*DEAD_LINKS), F.lit(False))
+    live = jobs.where((F.col("status") == "ACTIVE") & ~dead).select("job_id")
     return unseen(best.join(ready, "user_id").where("score >= threshold").join(live, "job_id", "left_semi"), notifications).select("user_id", "job_id", "score")
 
 

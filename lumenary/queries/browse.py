@@ -25,7 +25,7 @@ _TAGGED = {"tagged": _TAGS}
 def _browse(spark: SparkSession, sf: str) -> DataFrame:
     sources = R.source(spark, sf)
     # The filter takes the class that the posting came with.
-    jobs = tagged(spark, sf).drop("location_class").join(R.job(spark, sf).select("job_id", "location_class"), "job_id")
+    jobs = tagged(spark, sf).drop("location_class").withColumnRenamed("given_class", "location_class")
     found = op.browse(jobs, sources, q="Developer", tag="tech", tier="INTERNATIONAL", work_place="REMOTE")
     return found.join(F.broadcast(sources.select("source_id", "tier")), "source_id").select("job_id", "title", "company", "tier")
 
@@ -61,6 +61,13 @@ def _page2(spark: SparkSession, sf: str) -> DataFrame:
     return page(rows, "posted_at", "job_id", 50, (last.posted_at, last.job_id))
 
 
+@query("jobs_page_total", with_("job") + "SELECT *, (SELECT count(*) FROM job WHERE status = 'ACTIVE') AS total FROM (" + _NEWEST + " OFFSET 50)")
+def _page_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page with the number of all rows that the filters keep, whatever the cursor."""
+    total = R.job(spark, sf).where("status = 'ACTIVE'").agg(F.count(F.lit(1))).scalar()
+    return _page2(spark, sf).withColumn("total", total)
+
+
 @query("jobs_keyset_deadline_nulls", with_("job") + "SELECT job_id, deadline FROM job WHERE (deadline IS NULL AND job_id > 30) OR deadline IS NOT NULL ORDER BY deadline NULLS FIRST, job_id LIMIT 101")
 def _page_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """By deadline, postings without one first, from a cursor among these."""
@@ -112,11 +119,12 @@ def _board(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "notify_candidates",
-    with_("match", "app_user", "job", "notification")
-    + """SELECT user_id, job_id, max(score) AS score FROM match JOIN app_user USING (user_id) ANTI JOIN notification USING (user_id, job_id) SEMI JOIN (SELECT job_id FROM job WHERE status = 'ACTIVE') USING (job_id) WHERE NOT paused AND score >= threshold GROUP BY 1, 2""",
+    with_("match", "app_user", "job", "job_link", "notification")
+    + """SELECT user_id, job_id, max(score) AS score FROM match JOIN app_user USING (user_id) ANTI JOIN notification USING (user_id, job_id)
+    SEMI JOIN (SELECT job_id FROM job_link WHERE status = 'ACTIVE' AND (apply_method <> 'ONLINE_URL' OR url_status IS NULL OR url_status NOT IN ('NOT_FOUND', 'ERROR'))) USING (job_id) WHERE NOT paused AND score >= threshold GROUP BY 1, 2""",
 )
 def _notify(spark: SparkSession, sf: str) -> DataFrame:
-    return op.deliverable(R.match(spark, sf), R.app_user(spark, sf), R.job(spark, sf), R.notification(spark, sf))
+    return op.deliverable(R.match(spark, sf), R.app_user(spark, sf), R.job_link(spark, sf), R.notification(spark, sf))
 
 
 @query(

@@ -28,9 +28,9 @@ _TAGS = f"""SELECT *, CASE WHEN remote AND home AND contains(first, 'ETHIOPIA')
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings with the tags of their source and their own."""
+    """Postings with the tags of their source and their own; ``given_class`` is the class that they came with."""
     sources = R.source(spark, sf).select("source_id", "default_tags", "default_location_class")
-    return op.classify(R.job(spark, sf).join(sources, "source_id"))
+    return op.classify(R.job(spark, sf).withColumn("given_class", F.col("location_class")).join(sources, "source_id"))
 
 
 @query("classify_jobs", with_("job", "source", more={"tagged": _TAGS}) + "SELECT job_id, refined AS location_class, array_to_string(tags, ',') AS tags FROM tagged")

@@ -96,3 +96,21 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """Skills of postings that the first users' dictionary lacks."""
     known = R.app_user(spark, sf).where("user_id < 3").select(F.explode("skills").alias("s")).select(F.lower("s").alias("skill"))
     return op.append_new(known, R.job(spark, sf).select(F.explode("skills").alias("s")).select(F.lower("s").alias("skill")), ["skill"])
+
+
+_MATCHED = "SELECT job_id FROM match WHERE match_id % 10 = 0"
+
+
+@query(
+    "match_batch_oldest",
+    with_("job", "match") + f"SELECT job_id, posted_at FROM job ANTI JOIN ({_MATCHED}) USING (job_id) WHERE status = 'ACTIVE' ORDER BY posted_at NULLS FIRST, job_id LIMIT 250",
+)
+def _oldest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the next cycle matches: postings that earlier ones left, the oldest first."""
+    return op.unmatched_batch(R.job(spark, sf).select("job_id", "posted_at", "status"), R.match(spark, sf).where("match_id % 10 = 0")).select("job_id", "posted_at")
+
+
+@query("match_batch_newest", with_("job") + "SELECT job_id, posted_at FROM job WHERE status = 'ACTIVE' ORDER BY posted_at DESC NULLS LAST, job_id LIMIT 1000")
+def _newest(spark: SparkSession, sf: str) -> DataFrame:
+    """What a recalculation of one user looks at."""
+    return op.newest_batch(R.job(spark, sf).select("job_id", "posted_at", "status")).select("job_id", "posted_at")
