@@ -7,6 +7,12 @@ files and look-ahead (9), zstandard (10), HTML (4). Tests hold those against bru
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII ``text``, bit by bit."""
+    step = "lambda c, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT)), {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
 _DECONTAMINATE = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -47,4 +53,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY 1
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT}
+#: Runs by pairs of equal windows of five words, joined to islands by distance; of the periods of one stretch the smallest counts.
+_RUNS = f"""
+WITH d AS (SELECT doc_id, h, h // 10 AS g, w, CAST(len(w) AS BIGINT) AS n FROM (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w, {_crc32('CAST(doc_id AS VARCHAR)')} AS h FROM documents)),
+e AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM d),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM e),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS key FROM (SELECT *, unnest(range(0, n - 4)) AS i FROM t WHERE n > 5)),
+q AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.key = y.key AND x.i < y.i),
+s AS (SELECT doc_id, p, min(i) AS start, max(i) - min(i) + 5 + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM q) GROUP BY doc_id, p, island),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s WHERE length >= 4 * p AND length >= 6 GROUP BY 1, 2, 3),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS kept FROM (SELECT doc_id, w, unnest(range(0, n)) AS i FROM t WHERE doc_id IN (SELECT doc_id FROM r)) ANTI JOIN x USING (doc_id, i) GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), (-length, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT, "op11_periodic_runs": _RUNS}

@@ -16,6 +16,7 @@ from lumenary.llm.chat_format import format_chat, read_back, text_parts
 from lumenary.llm.decontaminate import decontaminate
 from lumenary.llm.html_text import extract_text
 from lumenary.llm.oracles import ORACLES  # noqa: F401
+from lumenary.llm.periodic_runs import periodic_runs, plant_repeats, run_digests
 from lumenary.llm.ppm import lm_scores
 from lumenary.llm.quality import quality_rules
 from lumenary.llm.secret_scan import secret_scan
@@ -96,6 +97,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(plant_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -107,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
