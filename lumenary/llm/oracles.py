@@ -4,6 +4,10 @@ The others are out of its reach: XXH64 (1), PPM (5), nested decoding (6), learne
 files and look-ahead (9), zstandard (10), HTML (4). Tests hold those against brute force.
 """
 
+import re
+
+from lumenary.llm.license_scan import BASE, PHRASE_SCORE, RARE, SLACK, TEMPLATES
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -70,4 +74,37 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT, "op11_periodic_runs": _RUNS}
+def _licences() -> str:
+    """Word by word: each indexed place of a template votes for the place of the file where the template would begin."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    tokens = lambda text: re.findall("[a-z0-9]+", text.lower())
+    rows = []
+    for k, (label, notice, phrases) in enumerate(TEMPLATES):
+        words = tokens(notice)
+        starts = [next(i for i in range(len(words)) if words[i : i + len(tokens(p))] == tokens(p)) for p in phrases]
+        rows.append(f"({k}, '{label}', {listed(words)}, [{', '.join(f'{{w: {listed(tokens(p))}, s: {s}}}' for p, s in zip(phrases, starts, strict=True))}])")
+    base = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+u AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM d)),
+base AS (SELECT doc_id, i, label FROM u JOIN (VALUES {base}) b(phrase, label) ON u.word = b.phrase[1] JOIN d USING (doc_id) WHERE w[i + 1:i + len(phrase)] = phrase),
+t(template, label, notice, phrases) AS (VALUES {", ".join(rows)}),
+p AS (SELECT template, pos, notice[pos + 1] AS word FROM (SELECT *, unnest(range(0, len(notice))) AS pos FROM t)),
+f AS (SELECT word, count(DISTINCT doc_id) AS files FROM u WHERE word IN (SELECT word FROM p) GROUP BY 1),
+x AS (SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(files, 0), word) AS k FROM (SELECT DISTINCT template, word FROM p) LEFT JOIN f USING (word)),
+ix AS (SELECT template, word, pos FROM x JOIN p USING (template, word) WHERE k <= {RARE}),
+h AS (SELECT * FROM u WHERE word IN (SELECT word FROM ix)),
+v AS (SELECT doc_id, template, i - pos AS place, count(*) AS votes FROM h JOIN ix USING (word) WHERE doc_id IN (SELECT doc_id FROM h GROUP BY 1 HAVING count(DISTINCT word) > 1) GROUP BY 1, 2, 3),
+c AS (SELECT doc_id, template, place, label, notice, phrases, w FROM v JOIN (SELECT template, count(*) AS indexed FROM ix GROUP BY 1) USING (template) JOIN t USING (template) JOIN d USING (doc_id) WHERE votes >= greatest(2, ceil(indexed / 2))),
+g AS (SELECT doc_id, label, len(list_filter(range(0, len(notice)), lambda i: place + i >= 0 AND w[greatest(place + i, 0) + 1] = notice[i + 1])) / len(notice) AS share FROM c
+  WHERE len(list_filter(phrases, lambda q: len(list_filter(range(-{SLACK}, {SLACK} + 1), lambda s: place + q.s + s >= 0 AND w[greatest(place + q.s + s, 0) + 1:greatest(place + q.s + s, 0) + len(q.w)] = q.w)) > 0)) = len(phrases)),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM g) GROUP BY 1),
+s AS (SELECT doc_id, max(share) AS share FROM g GROUP BY 1)
+SELECT doc_id, n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN {PHRASE_SCORE} ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT, "op11_periodic_runs": _RUNS, "op12_license_scan": _licences()}

@@ -15,6 +15,7 @@ from lumenary.llm import bpe
 from lumenary.llm.chat_format import format_chat, read_back, text_parts
 from lumenary.llm.decontaminate import decontaminate
 from lumenary.llm.html_text import extract_text
+from lumenary.llm.license_scan import license_scan
 from lumenary.llm.oracles import ORACLES  # noqa: F401
 from lumenary.llm.periodic_runs import periodic_runs, plant_repeats, run_digests
 from lumenary.llm.ppm import lm_scores
@@ -101,6 +102,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(plant_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.at").alias("first_word"),
+        F.array_max("places.at").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -113,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
     "pipeline": corpus_pipeline.run,
 }
