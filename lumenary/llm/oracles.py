@@ -107,4 +107,43 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (
 """
 
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT, "op11_periodic_runs": _RUNS, "op12_license_scan": _licences()}
+def _repair() -> str:
+    """From the last row to the first, for each of the four states the least (cost, edits, repaired text) to the end."""
+    follows, role = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    cost = lambda v, c, letter, text: f"{{c: {v}.c + {c}, a: '{letter}' || {v}.a, t: {text} || {v}.t}}"
+    line = lambda who, text: f"chr(10) || {who} || ':' || {text}"
+    keeps = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+
+    def raw(s: int) -> str:
+        kept = "".join(f" WHEN initial = '{i}' THEN {cost(f'v[{to[s] + 1}]', 'cut', 'K', line('role', 'text'))}" for i, to in keeps.items() if s in to)
+        reroled = cost(f"v[{follows[s] + 1}]", "2 + cut", "R", line(f"'{role[s]}'", "text"))
+        removed = cost(f"v[{s + 1}]", 3, "D", "''")
+        return f"list_min(list_filter([{removed}, CASE WHEN NOT forced THEN {reroled} END{f', CASE WHEN forced THEN NULL{kept} END' if kept else ''}], lambda x: x IS NOT NULL))"
+
+    def closed(s: int) -> str:
+        t = follows[s]
+        one, two = (line(f"'{role[x]}'", "''") for x in (s, t))
+        return f"list_min([w[{s + 1}], {cost(f'w[{t + 1}]', 2, 'I', one)}, {cost(f'w[{follows[t] + 1}]', 4, 'II', f'{one} || {two}')}])"
+
+    user, assistant = line("'user'", "''"), line("'assistant'", "''")
+    end = f"[{{c: 0::BIGINT, a: '', t: ''}}, {{c: 4::BIGINT, a: 'II', t: {user} || {assistant}}}, {{c: 2::BIGINT, a: 'I', t: {assistant}}}, {{c: 0::BIGINT, a: '', t: ''}}]"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(key)} % 20 AS k FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(0, CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 100), md5(text)) AS n, count(*) OVER (PARTITION BY conv_id) AS size FROM e),
+o AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS open FROM n),
+f AS (SELECT *, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND open AS truncated, blank OR seen AS forced, CASE WHEN NOT blank AND NOT seen AND open THEN 1 ELSE 0 END AS cut FROM o),
+z AS (SELECT conv_id, max(size) AS n, {end} AS v FROM f GROUP BY 1
+  UNION ALL SELECT conv_id, n, [{", ".join(map(closed, range(4)))}] FROM (SELECT z.conv_id, z.n - 1 AS n, [{", ".join(map(raw, range(4)))}] AS w FROM z JOIN f ON f.conv_id = z.conv_id AND f.n = z.n)),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(v[1].c, 0) AS cost, coalesce(v[1].a, '') AS audit, sha256(substr(coalesce(v[1].t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN s USING (conv_id) LEFT JOIN (SELECT * FROM z WHERE n = 0) USING (conv_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_decontaminate": _DECONTAMINATE, "op3_suffix_dedup": _REPEATS, "op8_chat_format": _CHAT, "op11_periodic_runs": _RUNS, "op12_license_scan": _licences(), "op13_conversation_repair": _repair()}

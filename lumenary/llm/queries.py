@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from lumenary.llm import bpe
 from lumenary.llm.chat_format import format_chat, read_back, text_parts
+from lumenary.llm.conversation_repair import damage_turns, repair_conversations, repaired_digests
 from lumenary.llm.decontaminate import decontaminate
 from lumenary.llm.html_text import extract_text
 from lumenary.llm.license_scan import license_scan
@@ -116,6 +117,16 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = repair_conversations(damage_turns(rows))
+    digests = repaired_digests(repair.placed, repair.edits).withColumnRenamed("conv_id", "_d")
+    every = rows.select(F.col("conv_id").alias("_c")).distinct()
+    found = every.join(repair.summary, F.col("_c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").join(digests, F.col("_c").eqNullSafe(F.col("_d")), "left")
+    longs = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("_c").alias("conv_id"), *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -129,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_license_scan": op12_license_scan,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
