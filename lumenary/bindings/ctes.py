@@ -30,7 +30,8 @@ SELECT d.doc_id AS job_id, d.source AS source_id, CAST(d.doc_id // 40 AS VARCHAR
        list_transform(range(1, d.doc_id % 6 + 1), lambda k: {pick(R.RAW_SKILLS, 'd.doc_id * 7 + k * k * 3 + k')}) AS skills,
        d.text AS description,
        {NOW} - INTERVAL 2000 HOUR + to_hours(CAST(d.doc_id * 37 % 2000 AS INTEGER)) AS posted_at,
-       CASE WHEN d.doc_id % 3 > 0 THEN {NOW} + to_days(CAST(d.doc_id * 13 % 60 - 20 AS INTEGER)) END AS deadline
+       CASE WHEN d.doc_id % 3 > 0 THEN {NOW} + to_days(CAST(d.doc_id * 13 % 60 - 20 AS INTEGER)) END AS deadline,
+       {NOW} - INTERVAL 2000 HOUR + to_hours(CAST(d.doc_id * 37 % 2000 + d.doc_id * 7 % 48 AS INTEGER)) AS first_seen_at
 FROM documents d JOIN part ON p_partkey = d.doc_id % (SELECT count(*) FROM part)
 JOIN supplier ON s_suppkey = d.doc_id % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey
 """

@@ -82,6 +82,7 @@ def job(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("description"),
         moved("HOUR", "doc_id * 37 % 2000", f"timestamp_ntz'{AS_OF}' - interval 2000 hours").alias("posted_at"),
         F.when(i % 3 > 0, moved("DAY", "doc_id * 13 % 60 - 20", f"timestamp_ntz'{AS_OF}'")).alias("deadline"),
+        moved("HOUR", "doc_id * 37 % 2000 + doc_id * 7 % 48", f"timestamp_ntz'{AS_OF}' - interval 2000 hours").alias("first_seen_at"),
     )
     return out.withColumn("skills", F.expr("slice(skill_slots, 1, n_skills)")).drop("skill_slots", "n_skills")
 

@@ -85,12 +85,6 @@ def replace_children(stored: DataFrame, new: DataFrame, parent: str) -> DataFram
     return stored.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
-def unmatched_batch(jobs: DataFrame, matches: DataFrame, n: int = 250) -> DataFrame:
-    """The ``n`` active postings without a match that were seen first, a top-k; ties go to the smaller id."""
-    new = jobs.where("status = 'ACTIVE'").join(matches.select("job_id"), "job_id", "left_anti")
-    return new.orderBy(F.asc_nulls_first("posted_at"), "job_id").limit(n)
-
-
 def newest_batch(jobs: DataFrame, n: int = 1000) -> DataFrame:
-    """The ``n`` active postings seen last, for a recalculation; ties go to the smaller id."""
-    return jobs.where("status = 'ACTIVE'").orderBy(F.desc_nulls_last("posted_at"), "job_id").limit(n)
+    """The ``n`` active postings that were first seen last, for a recalculation; ties go to the smaller id."""
+    return jobs.where("status = 'ACTIVE'").orderBy(F.desc_nulls_last("first_seen_at"), "job_id").limit(n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenary.bindings import relations as R
 from lumenary.bindings.ctes import NOW, with_
 from lumenary.operators import ingest as op
+from lumenary.operators.matching import next_batch
 from lumenary.queries.register import query
 
 
@@ -103,14 +104,14 @@ _MATCHED = "SELECT job_id FROM match WHERE match_id % 10 = 0"
 
 @query(
     "match_batch_oldest",
-    with_("job", "match") + f"SELECT job_id, posted_at FROM job ANTI JOIN ({_MATCHED}) USING (job_id) WHERE status = 'ACTIVE' ORDER BY posted_at NULLS FIRST, job_id LIMIT 250",
+    with_("job", "match") + f"SELECT job_id, first_seen_at FROM job ANTI JOIN ({_MATCHED}) USING (job_id) WHERE status = 'ACTIVE' ORDER BY first_seen_at NULLS FIRST, job_id LIMIT 250",
 )
 def _oldest(spark: SparkSession, sf: str) -> DataFrame:
-    """What the next cycle matches: postings that earlier ones left, the oldest first."""
-    return op.unmatched_batch(R.job(spark, sf).select("job_id", "posted_at", "status"), R.match(spark, sf).where("match_id % 10 = 0")).select("job_id", "posted_at")
+    """What the next cycle matches: postings that earlier ones have not taken, the first seen first."""
+    return next_batch(R.job(spark, sf).select("job_id", "first_seen_at", "status"), R.match(spark, sf).where("match_id % 10 = 0")).select("job_id", "first_seen_at")
 
 
-@query("match_batch_newest", with_("job") + "SELECT job_id, posted_at FROM job WHERE status = 'ACTIVE' ORDER BY posted_at DESC NULLS LAST, job_id LIMIT 1000")
+@query("match_batch_newest", with_("job") + "SELECT job_id, first_seen_at FROM job WHERE status = 'ACTIVE' ORDER BY first_seen_at DESC NULLS LAST, job_id LIMIT 1000")
 def _newest(spark: SparkSession, sf: str) -> DataFrame:
     """What a recalculation of one user looks at."""
-    return op.newest_batch(R.job(spark, sf).select("job_id", "posted_at", "status")).select("job_id", "posted_at")
+    return op.newest_batch(R.job(spark, sf).select("job_id", "first_seen_at", "status")).select("job_id", "first_seen_at")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import dims
 from lumenary.bindings import relations as R
 from lumenary.bindings.ctes import NOW, with_
 from lumenary.functions.phrases import experience
+from lumenary.operators import matching
 from lumenary.operators import skills as op
 from lumenary.operators.score import candidates, score
 from lumenary.queries.register import query
@@ -146,9 +147,52 @@ def _total(spark: SparkSession, sf: str) -> DataFrame:
 @query("score_best8", _EVERY + "SELECT user_id, job_id, score, rn AS place FROM (SELECT user_id, job_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rn FROM scored WHERE NOT excluded) WHERE rn <= 8")
 def _best(spark: SparkSession, sf: str) -> DataFrame:
     """The eight best postings of each user."""
-    scored = score(jobs(spark, sf), users(spark, sf), R.now(), spark).where(F.size("excluded") == 0)
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "job_id")
-    return scored.select("user_id", "job_id", "score", F.row_number().over(order).alias("place")).where("place <= 8")
+    return matching.best_matches(jobs(spark, sf), users(spark, sf), R.now(), spark)
+
+
+#: Matching cycles: each takes the postings seen first that none before it has taken, and skips pairs that are stored.
+_CYCLES = {
+    "batch1": "SELECT job_id, first_seen_at FROM job WHERE status = 'ACTIVE' ORDER BY first_seen_at NULLS FIRST, job_id LIMIT 250",
+    "batch2": "SELECT job_id, first_seen_at FROM job ANTI JOIN batch1 USING (job_id) WHERE status = 'ACTIVE' ORDER BY first_seen_at NULLS FIRST, job_id LIMIT 250",
+    "fresh": "SELECT s.user_id, s.job_id, s.score, s.score >= u.threshold AS above FROM scored s JOIN app_user u USING (user_id) ANTI JOIN match m ON m.user_id = s.user_id AND m.job_id = s.job_id WHERE NOT excluded",
+}
+_CYCLE = lambda k: with_("job", "app_user", "match", more=_ALL | _CYCLES) + f"SELECT job_id, count(user_id) AS n_matches, count(*) FILTER (above) AS n_above, max(score) AS best FROM batch{k} LEFT JOIN fresh USING (job_id) GROUP BY 1"
+
+
+def _cycle(spark: SparkSession, sf: str, processed: DataFrame) -> dict[str, DataFrame]:
+    return matching.cycle(jobs(spark, sf), users(spark, sf), processed, R.match(spark, sf), R.now(), spark)
+
+
+def _summed(made: dict[str, DataFrame]) -> DataFrame:
+    sums = made["matches"].groupBy("job_id").agg(F.count("*").alias("n_matches"), F.count_if("above").alias("n_above"), F.max("score").alias("best"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return made["processed"].select("job_id").join(sums, "job_id", "left").select("job_id", zero("n_matches"), zero("n_above"), "best")
+
+
+@query("match_cycle_1", _CYCLE(1))
+def _cycle_1(spark: SparkSession, sf: str) -> DataFrame:
+    """A cycle that finds nothing processed: its 250 postings, those that suit nobody too."""
+    return _summed(_cycle(spark, sf, R.job(spark, sf).select("job_id").limit(0)))
+
+
+@query("match_cycle_2", _CYCLE(2))
+def _cycle_2(spark: SparkSession, sf: str) -> DataFrame:
+    """The cycle after it, which takes other postings whether or not those before had a match."""
+    first = matching.next_batch(jobs(spark, sf), R.job(spark, sf).select("job_id").limit(0))
+    return _summed(_cycle(spark, sf, first.select("job_id")))
+
+
+@query(
+    "match_recalculate_all",
+    with_("job", "app_user", "notification", more=_ALL | {
+        "newest": "SELECT job_id FROM job WHERE status = 'ACTIVE' ORDER BY first_seen_at DESC NULLS LAST, job_id LIMIT 500",
+        "active": "SELECT user_id, threshold FROM app_user WHERE status = 'ACTIVE' AND (len(skills) > 0 OR len(role1) > 0 OR len(role2) > 0)",
+        "pairs": "SELECT s.user_id, s.score >= a.threshold AS above, EXISTS (SELECT 1 FROM notification n WHERE n.user_id = s.user_id AND n.job_id = s.job_id) AS known FROM scored s JOIN newest USING (job_id) JOIN active a ON a.user_id = s.user_id WHERE NOT excluded",
+    }) + "SELECT a.user_id, count(p.user_id) AS n_matches, count(*) FILTER (above) AS n_above, count(*) FILTER (above AND NOT known) AS n_notify FROM active a LEFT JOIN pairs p USING (user_id) GROUP BY 1",
+)
+def _recalculate(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of all active users against the 500 newest active postings, made anew."""
+    return matching.recalculate_all(jobs(spark, sf), users(spark, sf), R.notification(spark, sf), R.now(), spark)
 
 
 @query("score_reasons")
