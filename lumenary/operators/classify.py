@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenary import dims
+from lumenary.dictionary import PAY, REMEMBERED, SUPPLIED, Dictionary, row_function
 from lumenary.functions.money import half_up, percentile_in
-from lumenary.functions.phrases import contains_any, label
+from lumenary.functions.phrases import contains_any
 
 
 def classify(jobs: DataFrame) -> DataFrame:
@@ -39,53 +41,28 @@ def classify(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"tags": tags, "location_class": then})
 
 
-def _by_keywords(text: Column) -> Column:
-    """Categories with a keyword in a lower-case text, in order."""
-    return F.array_compact(F.array(*(F.when(contains_any(text, words), cat) for cat, _, words in dims.TAXONOMY)))
-
-
-def _by_alias(name: Column) -> Column:
-    """Categories with an alias that contains a label or is in it, in order."""
-    hit = lambda aliases: F.exists(F.array(*(F.lit(a) for a in aliases)), lambda a: name.contains(a) | a.contains(name))
-    return F.array_compact(F.array(*(F.when(hit(aliases), cat) for cat, aliases, _ in dims.TAXONOMY)))
+def map_categories(source: Column, labels: Column, title: Column, skills: Column, words: Dictionary = SUPPLIED) -> Column:
+    """Categories by the source's catalogue, by alias, by keywords of the labels, and by keywords of title and skills; each once, in that order."""
+    seen: dict[str, tuple] = {}
 
+    def by_label(label: str) -> tuple:
+        if label not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen[label] = words.by_label(label)
+        return seen[label]
 
-def map_categories(source: Column, labels: Column, title: Column, skills: Column) -> Column:
-    """Categories by the source's catalogue, by alias, by keywords of the labels, and by keywords of title and skills; each once, in that order."""
-    exact = F.flatten(
-        F.transform(
-            labels,
-            lambda x: F.flatten(
-                F.array(
-                    *(
-                        F.when((source == s) & label(x).isin(i, lab.lower()), F.array(*map(F.lit, cats))).otherwise(F.array().cast("array<string>"))
-                        for s, i, lab, cats in dims.CATALOGUE
-                    )
-                )
-            ),
-        )
-    )
-    alias = F.flatten(F.transform(labels, lambda x: _by_alias(label(x))))
-    named = F.flatten(F.transform(labels, lambda x: _by_keywords(F.lower(x))))
-    about = _by_keywords(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.array_join(skills, " "))))
-    return F.array_distinct(F.concat(exact, alias, named, about))
+    return row_function(lambda *row: words.categories(*row, by_label), T.ArrayType(T.StringType()), source, labels, title, skills)
 
 
-def valid_labels(source: Column, labels: Column) -> Column:
+def valid_labels(source: Column, labels: Column, words: Dictionary = SUPPLIED) -> Column:
     """Labels that are ids of the source's catalogue; none for a source without one."""
-    ids = F.create_map(*(x for s in dict.fromkeys(r[0] for r in dims.CATALOGUE) for x in (F.lit(s), F.array(*(F.lit(r[1]) for r in dims.CATALOGUE if r[0] == s)))))
-    return F.array_intersect(labels, F.coalesce(F.try_element_at(ids, source), F.array().cast("array<string>")))
+    return row_function(words.valid_labels, T.ArrayType(T.StringType()), source, labels)
 
 
-def benchmark(title: Column, level: Column) -> Column:
+def benchmark(title: Column, level: Column, words: Dictionary = SUPPLIED) -> Column:
     """The pay benchmark of a title and level, as a struct: of the first role that the title contains, at the level or else at the role's first one."""
-    low = F.trim(F.lower(title))
-    role = F.coalesce(*(F.when(low.contains(alias), name) for alias, name in dims.SALARY_ROLES))
-    of = F.coalesce(*(F.when(F.upper(level) == k, v) for k, v in dims.LEVEL_OF.items()), level)
-    fields = ("role", "level", "local_low", "local_mid", "local_high", "foreign_low", "foreign_mid", "foreign_high")
-    row = lambda r: F.struct(*(F.lit(v).alias(n) for n, v in zip(fields, r, strict=True)))
-    first = {r[0]: r for r in reversed(dims.SALARIES)}
-    return F.coalesce(*(F.when((role == r[0]) & (of == r[1]), row(r)) for r in dims.SALARIES), *(F.when(role == name, row(r)) for name, r in first.items()))
+    return row_function(words.pay, PAY, title, level)
 
 
 def compare_pay(amount: Column, currency: Column, bench: Column) -> dict[str, Column]:

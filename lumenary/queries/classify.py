@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenary import dims
 from lumenary.bindings import relations as R
 from lumenary.bindings.ctes import listed, with_
+from lumenary.bindings.relations import pick
+from lumenary.dictionary import Dictionary
 from lumenary.functions.phrases import experience
 from lumenary.operators import classify as op
 from lumenary.queries.register import query
@@ -113,3 +115,64 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
     pay = F.nullif("salary", F.lit(0))
     jobs = R.job(spark, sf).withColumn("b", op.benchmark(F.col("title"), experience(F.col("title"))))
     return jobs.select("job_id", "b.role", "b.level", *(c.alias(n) for n, c in op.compare_pay(pay, F.coalesce("currency", F.lit("")), F.col("b")).items()))
+
+
+def loaded(spark: SparkSession, sf: str) -> Dictionary:
+    """A dictionary out of the tables: a node for each type of part, below one for its first two words, and a pay range for each type and level."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    kind, above = F.lower("p_type"), F.substring_index(F.lower("p_type"), " ", 2)
+    leaves = part.select(F.translate(kind, " ", ".").alias("category"), F.translate(above, " ", ".").alias("parent"), F.array(F.substring_index(kind, " ", -1)).alias("aliases"), F.array(kind).alias("keywords")).distinct()
+    nodes = part.select(F.translate(above, " ", ".").alias("category"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("aliases"), F.array(above).alias("keywords")).distinct()
+    place = F.row_number().over(Window.orderBy(F.col("category"))) - 1
+    labels = R.job(spark, sf).select(F.col("source_id").alias("source"), F.col("labels")[0].alias("label")).distinct()
+    catalogue = labels.select((F.row_number().over(Window.orderBy("source", "label")) - 1).alias("ord"), "source", F.concat(F.lit("id-"), F.lower("label")).alias("id"), "label", F.array(F.concat(F.lit("label."), F.col("label"))).alias("categories"))
+    roles = part.select(kind.alias("phrase"), F.col("p_type").alias("role")).distinct()
+    pay = part.groupBy(F.col("p_type").alias("role"), pick(("ENTRY", "MID", "SENIOR"), F.col("p_size")).alias("level")).agg(F.floor(F.min("p_retailprice")).alias("low"), F.floor(F.max("p_retailprice")).alias("high"))
+    mid = F.floor((F.col("low") + F.col("high")) / 2)
+    amounts = [F.col("low").alias("local_low"), mid.alias("local_mid"), F.col("high").alias("local_high"), F.col("low").alias("foreign_low"), mid.alias("foreign_mid"), F.col("high").alias("foreign_high")]
+    return Dictionary.of(
+        {
+            "taxonomy": leaves.union(nodes).withColumn("ord", place),
+            "catalogue": catalogue,
+            "pay_roles": roles.withColumn("ord", F.row_number().over(Window.orderBy("phrase")) - 1),
+            "pay": pay.select((F.row_number().over(Window.orderBy("role", "level")) - 1).alias("ord"), "role", "level", *amounts),
+        }
+    )
+
+
+_ABOVE = "array_to_string(string_split(lower(p_type), ' ')[1:2], ' ')"
+_LOADED = {
+    "nodes": f"""SELECT *, row_number() OVER (ORDER BY cat) AS ord FROM (SELECT DISTINCT replace(lower(p_type), ' ', '.') AS cat, string_split(lower(p_type), ' ')[-1] AS alias, lower(p_type) AS keyword FROM part
+      UNION ALL SELECT DISTINCT replace({_ABOVE}, ' ', '.'), NULL, {_ABOVE} FROM part)""",
+    "lab": "SELECT job_id, source_id, unnest(labels) AS l, unnest(range(len(labels))) AS pos FROM job",
+    "hits": f"""SELECT job_id, cat, min(prio) AS prio FROM (
+      SELECT job_id, 'label.' || k.l AS cat, pos * 100000 AS prio FROM lab JOIN (SELECT DISTINCT source_id, labels[1] AS l FROM job) k ON k.source_id = lab.source_id AND trim(regexp_replace(lower(k.l), '[^a-z0-9\\s-]', '', 'g')) = {_NORM.replace('lower(l)', 'lower(lab.l)')}
+      UNION ALL SELECT job_id, cat, 1000000 + pos * 100000 + ord FROM lab JOIN nodes ON contains({_NORM}, alias) OR contains(alias, {_NORM})
+      UNION ALL SELECT job_id, cat, 2000000 + pos * 100000 + ord FROM lab JOIN nodes ON contains(lower(l), keyword)
+      UNION ALL SELECT job_id, cat, 3000000 + ord FROM job JOIN nodes ON contains(lower(title || ' ' || array_to_string(skills, ' ')), keyword)) GROUP BY 1, 2""",
+}
+
+
+@query("map_categories_loaded", with_("job", more=_LOADED) + "SELECT job_id, coalesce(string_agg(cat, ',' ORDER BY prio), '') AS categories FROM job LEFT JOIN hits USING (job_id) GROUP BY 1")
+def _map_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories by a dictionary that is loaded from tables."""
+    found = op.map_categories(F.col("source_id"), F.col("labels"), F.col("title"), F.col("skills"), loaded(spark, sf))
+    return R.job(spark, sf).select("job_id", F.array_join(found, ",").alias("categories"))
+
+
+@query(
+    "salary_benchmark_loaded",
+    with_(
+        "job",
+        more={
+            "pay": "SELECT p_type AS role, ['ENTRY', 'MID', 'SENIOR'][CAST(p_size % 3 AS BIGINT) + 1] AS level, CAST(floor(min(p_retailprice)) AS BIGINT) AS low, CAST(floor(max(p_retailprice)) AS BIGINT) AS high FROM part GROUP BY 1, 2",
+            "b": "SELECT *, row_number() OVER (ORDER BY role, level) AS n FROM pay",
+            "j": f"SELECT job_id, CASE {_LEVEL} WHEN 'INTERN' THEN 'ENTRY' ELSE {_LEVEL} END AS want, (SELECT arg_min(p_type, lower(p_type)) FROM part WHERE contains(lower(title), lower(p_type))) AS role FROM job",
+        },
+    )
+    + "SELECT job_id, b.role AS role, arg_min(b.level, CASE WHEN b.level = want THEN n ELSE 100000 + n END) AS level, arg_min((b.low + b.high) // 2, CASE WHEN b.level = want THEN n ELSE 100000 + n END) AS mid FROM j LEFT JOIN b ON b.role = j.role GROUP BY 1, 2",
+)
+def _benchmark_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Pay ranges by a dictionary that is loaded from tables."""
+    jobs = R.job(spark, sf).select("job_id", op.benchmark(F.col("title"), experience(F.col("title")), loaded(spark, sf)).alias("b"))
+    return jobs.select("job_id", "b.role", "b.level", F.col("b.local_mid").alias("mid"))

@@ -13,6 +13,7 @@ from lumenary.operators import matching
 from lumenary.operators import skills as op
 from lumenary.operators.score import candidates, score
 from lumenary.queries.register import query
+from lumenary.storage import result, workspace
 
 _NAMES = {s.lower(): s for s in dims.SKILLS} | dims.ALIASES
 _LEVEL = """CASE WHEN regexp_matches(lower(title), '\\b(intern|graduate|trainee|apprentice)\\b') THEN 'INTERN'
@@ -147,7 +148,7 @@ def _total(spark: SparkSession, sf: str) -> DataFrame:
 @query("score_best8", _EVERY + "SELECT user_id, job_id, score, rn AS place FROM (SELECT user_id, job_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rn FROM scored WHERE NOT excluded) WHERE rn <= 8")
 def _best(spark: SparkSession, sf: str) -> DataFrame:
     """The eight best postings of each user."""
-    return matching.best_matches(jobs(spark, sf), users(spark, sf), R.now(), spark)
+    return matching.best_matches(jobs(spark, sf).drop("description"), users(spark, sf), R.now(), spark)
 
 
 #: Matching cycles: each takes the postings seen first that none before it has taken, and skips pairs that are stored.
@@ -159,27 +160,25 @@ _CYCLES = {
 _CYCLE = lambda k: with_("job", "app_user", "match", more=_ALL | _CYCLES) + f"SELECT job_id, count(user_id) AS n_matches, count(*) FILTER (above) AS n_above, max(score) AS best FROM batch{k} LEFT JOIN fresh USING (job_id) GROUP BY 1"
 
 
-def _cycle(spark: SparkSession, sf: str, processed: DataFrame) -> dict[str, DataFrame]:
-    return matching.cycle(jobs(spark, sf), users(spark, sf), processed, R.match(spark, sf), R.now(), spark)
-
-
-def _summed(made: dict[str, DataFrame]) -> DataFrame:
-    sums = made["matches"].groupBy("job_id").agg(F.count("*").alias("n_matches"), F.count_if("above").alias("n_above"), F.max("score").alias("best"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return made["processed"].select("job_id").join(sums, "job_id", "left").select("job_id", zero("n_matches"), zero("n_above"), "best")
+def _cycle(spark: SparkSession, sf: str, processed: DataFrame) -> DataFrame:
+    """Matches of a cycle's postings, counted; a posting without any is processed too."""
+    with workspace(spark) as work:
+        made = matching.cycle(jobs(spark, sf).drop("description"), users(spark, sf), processed, R.match(spark, sf), R.now(), work)
+        sums = made["matches"].groupBy("job_id").agg(F.count("*").alias("n_matches"), F.count_if("above").alias("n_above"), F.max("score").alias("best"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return result(made["processed"].select("job_id").join(sums, "job_id", "left").select("job_id", zero("n_matches"), zero("n_above"), "best"))
 
 
 @query("match_cycle_1", _CYCLE(1))
 def _cycle_1(spark: SparkSession, sf: str) -> DataFrame:
     """A cycle that finds nothing processed: its 250 postings, those that suit nobody too."""
-    return _summed(_cycle(spark, sf, R.job(spark, sf).select("job_id").limit(0)))
+    return _cycle(spark, sf, R.job(spark, sf).select("job_id").limit(0))
 
 
 @query("match_cycle_2", _CYCLE(2))
 def _cycle_2(spark: SparkSession, sf: str) -> DataFrame:
     """The cycle after it, which takes other postings whether or not those before had a match."""
-    first = matching.next_batch(jobs(spark, sf), R.job(spark, sf).select("job_id").limit(0))
-    return _summed(_cycle(spark, sf, first.select("job_id")))
+    return _cycle(spark, sf, matching.next_batch(jobs(spark, sf), R.job(spark, sf).select("job_id").limit(0)).select("job_id"))
 
 
 @query(
@@ -192,7 +191,8 @@ def _cycle_2(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _recalculate(spark: SparkSession, sf: str) -> DataFrame:
     """Matches of all active users against the 500 newest active postings, made anew."""
-    return matching.recalculate_all(jobs(spark, sf), users(spark, sf), R.notification(spark, sf), R.now(), spark)
+    with workspace(spark) as work:
+        return result(matching.recalculate_all(jobs(spark, sf).drop("description"), users(spark, sf), R.notification(spark, sf), R.now(), work))
 
 
 @query("score_reasons")
