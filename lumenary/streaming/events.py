@@ -6,14 +6,14 @@ column. Watermarks are additions: nothing upstream defines lateness, so the call
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from lumenary.streaming.streaks import streaks
+
 
 def rate_windows(events: DataFrame, most: int, minutes: int = 10, late: str | None = None) -> DataFrame:
     """Events of each user in tumbling windows, and whether they are more than ``most``."""
@@ -33,24 +33,22 @@ def first_delivery(events: DataFrame, keys: list[str], at: str, within: str) ->
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
-def failure_streaks(runs: DataFrame) -> DataFrame:
-    """Failures in a row of each source, kept as state: (source_id, streak, longest) after each batch.
+def failure_streaks(runs: DataFrame, late: str) -> DataFrame:
+    """Failures in a row of each source: (source_id, streak, longest) after each batch, of runs (source_id, run_id, started_at, status) in any order."""
+    rows = runs.select(F.col("source_id").alias("key"), F.col("run_id").alias("id"), F.col("started_at").cast("timestamp").alias("at"), (F.col("status") == "FAIL").alias("failed"))
+    return streaks(rows, late).withColumnRenamed("key", "source_id")
 
-    ``runs`` has source_id, run_id, started_at and status. Within a batch runs are ordered by start;
-    the state of a source is two numbers.
-    """
-    schema = "source_id string, streak long, longest long"
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(chunks)).sort_values(["started_at", "run_id"])
-        for failed in rows["status"] == "FAIL":
-            streak = streak + 1 if failed else 0
-            longest = max(longest, streak)
-        state.update((int(streak), int(longest)))
-        yield pd.DataFrame({"source_id": [key[0]], "streak": [int(streak)], "longest": [int(longest)]})
+def sliding_digest(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Events and their summed value of each user in the 24 hours before every full hour: (user_id, upto, n_events, total).
 
-    return runs.groupBy("source_id").applyInPandasWithState(step, schema, "streak long, longest long", "update", GroupStateTimeout.NoTimeout)
+    On a stream ``late`` says how late events may be: an addition, as nothing upstream defines it. An hour is
+    given out once it cannot change any more.
+    """
+    if late is not None:
+        events = events.withWatermark("ts", late)
+    sums = events.groupBy("user_id", F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.count("*").alias("n_events"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
+    return sums.select("user_id", F.col("w.end").cast("timestamp_ntz").alias("upto"), "n_events", "total")
 
 
 def read_folder(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -66,19 +64,24 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def append_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch that appends rows with new keys to a table; a batch that is run again adds nothing."""
+def append_once(path: str, keys: list[str], day: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that appends rows with new keys to a table by day; a batch that is run again adds nothing.
+
+    ``day`` is a date column that is decided by the keys, so that a row has been stored on its own
+    day or not at all: only the days of a batch are read. A batch writes partitions of its own,
+    over those of an attempt that failed.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
-        try:
-            stored = spark.read.parquet(path).select(*keys)
-        except Exception as missing:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            new = new.join(stored.distinct(), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+        days = [r[0] for r in new.select(F.col(day).cast("string")).distinct().collect()]
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(root):
+            stored = spark.read.schema(f"{batch.select(*keys).schema.toDDL()}, _day string, _batch long").parquet(path)
+            before = stored.where(F.col("_day").isin(days) & (F.col("_batch") != batch_id)).select(*keys)
+            new = new.join(before, keys, "left_anti")
+        rows = new.withColumns({"_day": F.col(day).cast("string"), "_batch": F.lit(batch_id)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "_batch").parquet(path)
 
     return write

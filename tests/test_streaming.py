@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lumenary.operators import ingest
 from lumenary.operators.runs import failure_streaks as batch_streaks
 from lumenary.streaming import events as S
+from lumenary.streaming.streaks import STATE_STORE
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -42,19 +43,38 @@ def test_first_delivery(spark, sf, tmp_path):
 
 
 def test_streaks(spark, sf, tmp_path):
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     folder = land(spark, sf, tmp_path)
     as_runs = lambda df: df.select(F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "error", "FAIL").otherwise("OK").alias("status"))
-    rows = collected(S.failure_streaks(as_runs(S.read_folder(spark, folder, SCHEMA))), tmp_path, "update")
+    rows = collected(S.failure_streaks(as_runs(S.read_folder(spark, folder, SCHEMA)), "400 days"), tmp_path, "update")
     got = {r.source_id: (r.streak, r.longest) for r in rows}
     assert got == {r.source_id: (r.current_streak, r.longest_streak) for r in batch_streaks(as_runs(spark.read.parquet(folder))).collect()}
+    for k in STATE_STORE:
+        spark.conf.unset(k)
+
+
+def test_sliding_digest(spark, tmp_path):
+    rows = [(1 + k % 2, f"2024-01-0{1 + k // 12} {k % 12 + 3:02d}:30:00", float(k)) for k in range(40)]
+    events = spark.createDataFrame(rows, "user_id long, at string, value double").select("user_id", F.col("at").cast("timestamp").alias("ts"), "value")
+    ahead = spark.createDataFrame([(9, "2024-03-01 00:00:00", 0.0)], "user_id long, at string, value double").select("user_id", F.col("at").cast("timestamp").alias("ts"), "value")
+    folder = str(tmp_path / "in")
+    for part in (events.where("value < 20"), events.where("value >= 20"), ahead):  # the last one moves the watermark past all before it
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = S.sliding_digest(S.read_folder(spark, folder, events.schema, 1), "12 hours")
+    got = {tuple(r) for r in collected(stream, tmp_path, "append") if r.user_id < 9}
+    assert got == {tuple(r) for r in S.sliding_digest(events).collect()} and len(got) > 60
 
 
 def test_append_once(spark, tmp_path):
-    write, path = S.append_once(str(tmp_path / "table"), ["user_id", "job_id"]), str(tmp_path / "table")
-    batch = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "user_id long, job_id long")
-    for k, rows in enumerate((batch, batch, batch.union(spark.createDataFrame([(2, 2)], batch.schema)))):
+    write, path = S.append_once(str(tmp_path / "table"), ["user_id", "job_id"], "day"), str(tmp_path / "table")
+    made = lambda *rows: spark.createDataFrame(rows, "user_id long, job_id long").withColumn("day", F.make_date(F.lit(2024), F.lit(1), (F.col("job_id")).cast("int")))
+    first = made((1, 2), (1, 2), (1, 3))
+    for k, rows in ((0, first), (0, first), (1, first.union(made((2, 2)))), (2, made((5, 9)))):
         write(rows, k)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 2), (1, 3), (2, 2)]
+    stored = spark.read.parquet(path)
+    assert sorted((r.user_id, r.job_id) for r in stored.collect()) == [(1, 2), (1, 3), (2, 2), (5, 9)]
+    assert {(str(r._day), r._batch) for r in stored.select("_day", "_batch").collect()} == {("2024-01-02", 0), ("2024-01-03", 0), ("2024-01-02", 1), ("2024-01-09", 2)}
 
 
 def test_missed_cycles(spark):
