@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +27,42 @@ def blocked_ranges() -> list[tuple[int, int]]:
     return [(ipv4(base), ipv4(base) | (1 << 32 - bits) - 1) for base, bits in BLOCKED_V4]
 
 
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, so that an expression does not grow with each mention of it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _whole(digits: Column, base: int, most: int) -> Column:
+    """Digits of a base as a number; null if there are more than ``most`` besides leading zeros, or others than the base has."""
+    valid = digits.rlike({8: r"\A[0-7]*\z", 10: r"\A[0-9]+\z", 16: r"\A[0-9a-f]*\z"}[base])
+    number = lambda short: F.when(valid & (F.length(short) <= most), F.conv(F.concat(F.lit("0"), short), base, 10).cast("long"))
+    return _let(F.regexp_replace(digits, r"\A0+", ""), number)
+
+
+def _part_number(part: Column) -> Column:
+    """A part of an IPv4 host: hexadecimal behind 0x, octal behind 0, else decimal; null if it is none."""
+    return (
+        F.when(part.startswith("0x"), _whole(F.substring(part, 3, 1 << 30), 16, 8))
+        .when(part.startswith("0") & (F.length(part) > 1), _whole(F.substring(part, 2, 1 << 30), 8, 11))
+        .otherwise(_whole(part, 10, 10))
+    )
+
+
+#: A lower-case host whose last part is a number, so that it must be an IPv4 address; a final dot does not count.
+_NUMERIC = r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z"
+
+
 def ipv4_number(host: Column) -> Column:
-    """An IPv4 literal as a number; null for any other host."""
-    p = F.transform(F.split(host, r"\."), lambda x: x.try_cast("long"))
-    literal = host.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z") & F.forall(p, lambda x: x <= 255)
-    return F.when(literal, ((p[0] * 256 + p[1]) * 256 + p[2]) * 256 + p[3])
+    """A lower-case IPv4 host as a number, in any form that a URL may have: one to four parts, of which the last fills the rest; null for any other host."""
+    room = F.array(*(F.lit(256**k) for k in (4, 3, 2, 1))).cast("array<bigint>")
+
+    def whole(n: Column) -> Column:
+        before = F.slice(n, 1, F.greatest(F.lit(0), F.size(n) - 1))
+        sums = F.aggregate(before, F.lit(0).cast("long"), lambda a, x: F.when((x <= 255), a * 256 + x))  # null from the first part that is no byte
+        return _let(F.get(room, F.size(n) - 1), lambda most: F.when(F.element_at(n, -1) < most, sums * most + F.element_at(n, -1)))
+
+    parts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+    return F.when(host.rlike(_NUMERIC), _let(F.transform(parts, _part_number), whole))
 
 
 def blocked_ipv4(n: Column) -> Column:
@@ -38,28 +71,53 @@ def blocked_ipv4(n: Column) -> Column:
     return F.coalesce(F.exists(ranges, lambda r: n.between(r["a"], r["b"])), F.lit(False))
 
 
-def blocked_ipv6(host: Column) -> Column:
-    """Whether an IPv6 literal is loopback, unique local, link-local, multicast or a mapped blocked IPv4 address."""
-    h = F.lower(host)
-    mapped = F.nullif(F.regexp_extract(h, r"\A::(?:ffff:)?(\d{1,3}(?:\.\d{1,3}){3})\z", 1), F.lit(""))
-    first = F.conv(F.nullif(F.regexp_extract(h, r"\A([0-9a-f]{1,4})", 1), F.lit("")), 16, 10).cast("long")
+def ipv6_groups(host: Column) -> Column:
+    """The eight numbers of a lower-case IPv6 literal, ``::`` expanded and a dotted end read as two; null if it is none."""
+    dotted = F.regexp_extract(host, r"\A(?:.*:)?([^:]*)\z", 1)
+    four = F.when(dotted.rlike(r"\A(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})\z"), ipv4_number(dotted))
+    tail = _let(four, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+    plain = F.when(host.contains("."), F.concat(F.regexp_extract(host, r"\A(.*:)?[^:]*\z", 1), tail)).otherwise(host)
+    side = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def joined(sides: Column) -> Column:
+        """One side without ``::``, or two around it."""
+        gap = 8 - F.size(F.flatten(sides))
+        return F.when(F.size(sides) == 1, sides[0]).when((F.size(sides) == 2) & (gap > 0), F.concat(sides[0], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), gap)), F.try_element_at(sides, F.lit(2))))
+
+    numbers = lambda every: F.when((F.size(every) == 8) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
+    return _let(_let(F.transform(F.split(plain, "::"), side), joined), numbers)
+
+
+def blocked_ipv6(groups: Column) -> Column:
+    """Whether the numbers of an IPv6 address are loopback, unique local, link-local, multicast, or an IPv4 address that is blocked."""
+    first = groups[0]
     local = (first.bitwiseAND(0xFE00) == 0xFC00) | (first.bitwiseAND(0xFFC0) == 0xFE80) | (first.bitwiseAND(0xFF00) == 0xFF00)
-    return h.isin("::", "::1") | F.coalesce(blocked_ipv4(ipv4_number(mapped)), F.lit(False)) | F.coalesce(local, F.lit(False))
+    zero = F.forall(F.slice(groups, 1, 5), lambda g: g == 0)
+    four = groups[6] * 65536 + groups[7]
+    inner = zero & groups[5].isin(0, 0xFFFF) & (blocked_ipv4(four) | ((groups[5] == 0) & (four <= 1)))
+    return local | inner
 
 
 def unsafe_reason(url: Column) -> Column:
     """Why a URL must not be fetched: scheme, credentials, port, host or address; null if nothing speaks against it."""
     part = lambda g: F.regexp_extract(url, r"\A([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d+))?", g)
-    scheme, host, port = F.lower(part(1)), F.lower(part(3)), part(4)
-    six = F.regexp_extract(host, r"\A\[(.*)\]\z", 1)
+    scheme, port = F.lower(part(1)), part(4)
+    four = lambda n: F.when(n.isNull(), "INVALID").when(blocked_ipv4(n), "ADDRESS")
+    six = lambda groups: F.when(groups.isNull(), "INVALID").when(blocked_ipv6(groups), "ADDRESS")
+
+    def by_host(host: Column) -> Column:
+        return (
+            F.when((host == "") | (host == "localhost") | host.endswith(".localhost"), "HOST")
+            .when(host.startswith("["), _let(ipv6_groups(F.regexp_extract(host, r"\A\[(.*)\]\z", 1)), six))
+            .when(host.rlike(_NUMERIC), _let(ipv4_number(host), four))
+        )
+
     return (
         F.when(scheme == "", "INVALID")
         .when(~scheme.isin("http", "https"), "SCHEME")
         .when(part(2) != "", "CREDENTIALS")
         .when((port != "") & ~port.isin("80", "443"), "PORT")
-        .when((host == "") | (host == "localhost") | host.endswith(".localhost"), "HOST")
-        .when(blocked_ipv4(ipv4_number(host)), "ADDRESS")
-        .when((six != "") & blocked_ipv6(six), "ADDRESS")
+        .otherwise(_let(F.lower(part(3)), by_host))
     )
 
 

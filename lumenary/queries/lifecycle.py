@@ -11,7 +11,8 @@ from lumenary.bindings.ctes import NOW, with_
 from lumenary.functions.times import fresh_since
 from lumenary.operators import lifecycle as op
 from lumenary.queries.register import query
-from lumenary.streaming.events import event_counts, rate_windows
+from lumenary.streaming.events import event_counts, rate_windows, sliding_digest
+from lumenary.streaming.limiter import limited, window_counts
 
 _LEGAL = dims.values(dims.TRANSITIONS, "a, b")
 
@@ -127,6 +128,33 @@ def _limits(spark: SparkSession, sf: str) -> DataFrame:
     return rate_windows(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts"), most=1)
 
 
+_DAY_MS = 24 * 3600 * 1000
+
+
+@query(
+    "rate_limit_anchored",
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t FROM events),
+    w AS (SELECT user_id, min(t) AS s FROM e GROUP BY 1 UNION ALL SELECT w.user_id, min(e.t) FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.s + {_DAY_MS} GROUP BY w.user_id, w.s)
+    SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(least(n, 2)) AS BIGINT) AS n_allowed, count(*) AS n_windows
+    FROM (SELECT w.user_id, w.s, count(*) AS n FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.s AND e.t < w.s + {_DAY_MS} GROUP BY 1, 2) GROUP BY 1""",
+)
+def _anchored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two events a day let through, by windows that begin at a user's first event after the last one."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return window_counts(limited(events, "user_id", "event_id", "ts", 2, 24 * 3600)).withColumnRenamed("key", "user_id")
+
+
+@query(
+    "digest_sliding",
+    """SELECT user_id, upto, count(*) AS n_events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total
+    FROM (SELECT *, date_trunc('hour', ts) + to_hours(CAST(k AS INTEGER)) AS upto FROM events, (SELECT unnest(range(1, 25)) AS k)) GROUP BY 1, 2""",
+)
+def _sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """What happened to each user in the 24 hours before every full hour."""
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sliding_digest(events)
+
+
 @query("event_counts_batch", "SELECT event_type, count(*) AS n_events FROM events GROUP BY 1")
 def _event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return event_counts(spark.read.parquet(f"{sf}/events.parquet"))

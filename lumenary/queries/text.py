@@ -90,7 +90,13 @@ def _url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A page's address and, from its number, variants that must not be fetched.
-_VARIANTS = ("{u}", "ftp://h/{i}", "http://a:b@h.example/{i}", "http://10.{i}.0.1/", "http://100.64.{i}.9:80/x", "https://172.{i}.3.4/", "http://h.example:8080/", "http://localhost/", "http://[::1]/", "http://[fd00::1]/", "http://8.8.{i}.8/", "http://[::ffff:192.168.0.1]/", "no url", "http://192.0.2.{i}/")
+_VARIANTS = (
+    "{u}", "ftp://h/{i}", "http://a:b@h.example/{i}", "http://10.{i}.0.1/", "http://100.64.{i}.9:80/x", "https://172.{i}.3.4/", "http://h.example:8080/", "http://localhost/", "http://[::1]/", "http://[fd00::1]/", "http://8.8.{i}.8/",
+    "http://[::ffff:192.168.0.1]/", "no url", "http://192.0.2.{i}/",
+)
+#: The number of a page's address, and the forms that a URL may give it.
+_NUMBER = "page_id * 7919 * 65537 % 4294967296"
+_FORMS = {"plain": "http://{d}/", "hex": "http://0X{x}/", "octal": "http://0{o}/", "short": "http://{a}.{r}/", "mixed": "http://0x{ax}.0{bo}.{c}/", "end": "http://{d}./", "mapped": "http://[::ffff:{h}:{l}]/", "spelt": "http://[0:0:0:0:0:ffff:{h}:{l}]/", "high": "http://9{d}000000000/", "group": "http://[{h}::{l}:1]/", "loop": "http://[0:0:0:0:0:0:0:1]/", "odd": "http://[1::{h}::{l}]/", "name": "http://{d}.example/", "digit": "http://a.{a}/"}
 
 
 @query(
@@ -100,15 +106,34 @@ _VARIANTS = ("{u}", "ftp://h/{i}", "http://a:b@h.example/{i}", "http://10.{i}.0.
       lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)) AS host,
       regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\\[[^\\]]*\\]|[^/?#:]*):(\\d+)', 1) AS port FROM v),
     n AS (SELECT *, CASE WHEN regexp_full_match(host, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') THEN list_reduce(list_transform(string_split(host, '.'), lambda s: CAST(s AS BIGINT)), lambda a, b: a * 256 + b) END AS ip FROM x),
-    b AS (SELECT * FROM (VALUES {', '.join(map(str, urls.blocked_ranges()))}) AS r(lo, hi))
-    SELECT page_id, CAST(k AS INTEGER) AS k, CASE WHEN scheme = '' THEN 'INVALID' WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN cred <> '' THEN 'CREDENTIALS' WHEN port NOT IN ('', '80', '443') THEN 'PORT'
-      WHEN host IN ('', 'localhost') THEN 'HOST' WHEN EXISTS (SELECT 1 FROM b WHERE ip BETWEEN lo AND hi) THEN 'ADDRESS' WHEN host IN ('[::1]', '[fd00::1]', '[::ffff:192.168.0.1]') THEN 'ADDRESS' END AS reason FROM n""",
+    b AS (SELECT * FROM (VALUES {', '.join(map(str, urls.blocked_ranges()))}) AS r(lo, hi)),
+    f AS (SELECT page_id, ip, ip // 65536 AS h, ip % 65536 AS l, EXISTS (SELECT 1 FROM b WHERE ip BETWEEN lo AND hi) AS bad FROM (SELECT page_id, {_NUMBER} AS ip FROM pages))
+    SELECT page_id, CAST(k AS VARCHAR) AS k, CASE WHEN scheme = '' THEN 'INVALID' WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN cred <> '' THEN 'CREDENTIALS' WHEN port NOT IN ('', '80', '443') THEN 'PORT'
+      WHEN host IN ('', 'localhost') THEN 'HOST' WHEN EXISTS (SELECT 1 FROM b WHERE ip BETWEEN lo AND hi) THEN 'ADDRESS' WHEN host IN ('[::1]', '[fd00::1]', '[::ffff:192.168.0.1]') THEN 'ADDRESS' END AS reason FROM n
+    UNION ALL SELECT page_id, k, CASE WHEN bad THEN 'ADDRESS' END FROM f, (SELECT unnest({[k for k in _FORMS if k not in ("high", "group", "loop", "odd", "name", "digit")]}) AS k)
+    UNION ALL SELECT page_id, 'high', 'INVALID' FROM f UNION ALL SELECT page_id, 'odd', 'INVALID' FROM f UNION ALL SELECT page_id, 'loop', 'ADDRESS' FROM f UNION ALL SELECT page_id, 'name', NULL FROM f UNION ALL SELECT page_id, 'digit', 'INVALID' FROM f
+    UNION ALL SELECT page_id, 'group', CASE WHEN h BETWEEN 64512 AND 65023 OR h BETWEEN 65152 AND 65215 OR h >= 65280 THEN 'ADDRESS' WHEN h = 0 AND EXISTS (SELECT 1 FROM b WHERE l * 65536 + 1 BETWEEN lo AND hi) THEN 'ADDRESS' END FROM f""",
 )
 def _safety(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants of a page's URL, and its number as an address in all forms that a URL may give it."""
     i = (F.col("page_id") % 256).cast("string")
     fill = lambda v: F.replace(F.replace(F.lit(v), F.lit("{u}"), F.col("url")), F.lit("{i}"), i)
-    rows = read_table(spark, sf, "pages").select("page_id", F.posexplode(F.array(*map(fill, _VARIANTS))).alias("k", "u"))
-    return rows.select("page_id", "k", urls.unsafe_reason(F.col("u")).alias("reason"))
+    pages = read_table(spark, sf, "pages")
+    rows = pages.select("page_id", F.posexplode(F.array(*map(fill, _VARIANTS))).alias("k", "u")).withColumn("k", F.col("k").cast("string"))
+    n = F.expr(_NUMBER)
+    base = lambda x, b: F.lower(F.conv(x.cast("string"), 10, b))
+    octet = lambda k: F.shiftright(n, 8 * (3 - k)).bitwiseAND(255)
+    said = {"{d}": n, "{x}": base(n, 16), "{o}": base(n, 8), "{a}": octet(0), "{r}": n.bitwiseAND((1 << 24) - 1), "{ax}": base(octet(0), 16), "{bo}": base(octet(1), 8), "{c}": n.bitwiseAND(65535), "{h}": base(F.shiftright(n, 16), 16), "{l}": base(n.bitwiseAND(65535), 16)}
+
+    def form(pattern: str):
+        out = F.lit(pattern)
+        for name, value in said.items():
+            if name in pattern:
+                out = F.replace(out, F.lit(name), value.cast("string"))
+        return out
+
+    forms = pages.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), form(p).alias("u")) for k, p in _FORMS.items()))).alias("f")).select("page_id", "f.k", "f.u")
+    return rows.unionByName(forms).select("page_id", "k", urls.unsafe_reason(F.col("u")).alias("reason"))
 
 
 @query(
