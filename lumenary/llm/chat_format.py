@@ -11,7 +11,7 @@ PAGE_TOKENS, TEXT_CHARS, PATCH, AUDIO_RATE = 512, 4, 28, 25
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: What may not occur in an escaped text: "[INST]", "[/INST]", "<s>", "</s>", "<<" and "<|".
 _CONTROL_ANGLE, _CONTROL_SQUARE = r"(?=\\*(?:/?s>|<|\|))", r"(?=\\*/?INST\])"
-_PLAIN_ROLE = "^[A-Za-z0-9_.-]{1,64}$"
+_PLAIN_ROLE = r"\A[A-Za-z0-9_.-]{1,64}\z"
 _TURN = r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>|<<[A-Za-z0-9_.=-]*>>.*?<</>>"
 
 
@@ -102,7 +102,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     open_role = lambda t: F.regexp_extract(t, "^<<([A-Za-z0-9_.=-]*)>>", 1)
 
     def turn(t: Column) -> Column:
-        other = F.when(open_role(t).startswith("="), F.decode(F.unhex(F.substring(open_role(t), 2, 1 << 20)), "UTF-8")).otherwise(open_role(t))
+        other = F.when(open_role(t).startswith("="), F.decode(F.unhex(F.substring(open_role(t), F.lit(2), F.length(open_role(t)))), "UTF-8")).otherwise(open_role(t))
         role = F.when(t.startswith("[INST]"), "user").when(t.startswith("<s>"), "assistant").otherwise(other)
         body = F.regexp_replace(t, r"^(?:\[INST\]|<s>|<<[A-Za-z0-9_.=-]*>>)|(?:\[/INST\]|</s>|<</>>)\z", "")
         return F.struct(role.alias("role"), unescape(body).alias("text"))

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from lumenary.llm.arrow import add_columns, byte_texts
 from lumenary.llm.storage import durable
 
-#: Words of a window, and bytes of benchmark text that one automaton holds.
-WINDOW, AUTOMATON_BYTES = 10, 2 << 20
+#: Words of a window, bytes of benchmark text that one automaton holds, and words after which an item is split.
+WINDOW, AUTOMATON_BYTES, PIECE_WORDS = 10, 2 << 20, 4096
 #: Bytes of words, lowered; every other byte becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -109,6 +109,14 @@ def _merged(spans: str) -> F.Column:
     return F.expr(step.format(spans))
 
 
+def _pieces(bench: DataFrame, size: int, words: int = PIECE_WORDS) -> DataFrame:
+    """Rows (item, text) whose texts have a bounded number of words: an item's windows are dealt to pieces, of which each ends with the start of the next."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = bench.select("item", F.regexp_extract_all(low, F.lit(_WORD.pattern.decode()), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1), F.lit(words))
+    return split.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, words + size - 1), " "))).alias("text"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, items and hit_spans; ``text`` is the column scanned.
 
@@ -118,16 +126,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id
     repeated rows change nothing. Columns of ``docs`` with these names are replaced.
 
     The benchmark's bytes are summed first. Up to ``automaton_bytes`` it is broadcast as one
-    automaton and the documents are read once, without a shuffle. Beyond that it is dealt by id to
-    blocks of that size, every block scans all documents, and the hits of a row are then united.
+    automaton and the documents are read once, without a shuffle. Beyond that its items, the long ones
+    in pieces, are dealt to blocks of that size, every block scans all documents, and the hits of a row are then united.
     """
-    bench = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    bench = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    bench = _pieces(bench, size).distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    automaton_bytes = min(automaton_bytes, AUTOMATON_BYTES)  # more words might not fit the characters that stand for them
     blocks = max(1, math.ceil(2 * total / automaton_bytes)) if total > automaton_bytes else 1
     item_type = bench.schema["item"].dataType
 
     def block(k: int) -> tuple[list, list[bytes]]:
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         rows = part.collect()
         return [r.item for r in rows], [r.text.encode() for r in rows]
 

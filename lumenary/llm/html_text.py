@@ -21,6 +21,8 @@ LINK_SHARE = 0.6
 #: Elements without main text, elements that begin a line, and words of a class, id or role that
 #: mark a menu, notice, advert, form or reader comment (fixed values).
 _DROP = frozenset("nav header footer aside form button select textarea noscript iframe object svg canvas dialog figure menu template head title script style".split())
+#: Of these, what is never the page itself.
+_NEVER = _DROP - {"form"}
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _CONTAINER = frozenset("address article aside details dialog div dl fieldset figure footer form header main nav ol section table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +31,10 @@ _NOISE = frozenset(
     "footer header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion "
     "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside one of these in a name, like comment-list; beside any other word, as in has-sidebar, a name marks nothing.
+_BESIDE = frozenset("area bar block body bottom box btn button buttons col column container content entry form group header icons inner item items left link links list main menu outer panel post posts right row section text title top wrap wrapper".split())
+#: A marked element stays if its characters are so many times those of all else, and there is no article.
+WHOLE_PAGE = 3
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -44,25 +50,41 @@ _MARK = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I
 def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _DROP:
         return not (tag in ("header", "figure") and in_article)
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in _MARK.finditer(attributes):
-        words = re.split(r"[\s_-]+", m[2].strip("\"'").lower())
-        if (_NOISE_ROLES if m[1].lower() == "role" else _NOISE).intersection(words):
+        names = m[2].strip("\"'").lower().split()
+        if m[1].lower() == "role":
+            if _NOISE_ROLES.intersection(names):
+                return True
+        elif any(_NOISE.intersection(parts := re.split("[_-]+", n)) and all(p in _NOISE or p in _BESIDE or p.isdigit() for p in parts) for n in names):
             return True
     return False
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in article) of each line.
+    """(text, weight, in article) of each line; an element that is marked as no main text, but holds nearly all of it, is none."""
+    wrappers: set[int] = set()
+    while True:
+        lines, left_out = _lines_of(page, wrappers)
+        kept = sum(len(t) for t, w, _ in lines if w)
+        whole = {at for at, n in left_out.items() if n > WHOLE_PAGE * kept}
+        if not whole or any(inside for _, _, inside in lines):
+            return lines
+        wrappers |= whole
+
+
+def _lines_of(page: str, wrappers: set[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int]]:
+    """Lines, and the characters of each element that was left out, by its place; those at ``wrappers`` are not.
 
     A line is the text between the borders of block elements. Its weight is its characters, times BONUS in an
     article or main element. Empty lines, as many as a window has, stand where a container begins or ends, so that
     the distribution dives between containers; within an article they do not. Menus, notices and the like have no weight.
     """
     lines: list[tuple[str, int, bool]] = []
+    left_out: dict[int, int] = {}
     parts: list[str] = []
-    linked = depth = skip = at = 0
+    linked = depth = skip = at = skipped_at = 0
     skipped, in_link = "", False
 
     def close(dive: bool = False) -> None:
@@ -82,6 +104,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
+        elif raw and skipped not in _NEVER:
+            left_out[skipped_at] = left_out.get(skipped_at, 0) + len(raw.strip())
 
     for m in _TOKEN.finditer(page):
         take(page[at : m.start()])
@@ -105,15 +129,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag in ("article", "main") and depth:
                 depth -= 1
                 close(True)
-        elif _is_noise(tag, m[4], depth > 0):
+        elif _is_noise(tag, m[4], depth > 0) and m.start() not in wrappers:
             if tag not in _VOID and not m[4].endswith("/"):
                 close(True)
-                skip, skipped = 1, tag
+                skip, skipped, skipped_at = 1, tag, m.start()
         elif tag in ("article", "main"):
             depth += 1
     take(page[at:])
     close()
-    return lines
+    return lines, left_out
 
 
 def main_text(page: str) -> str:

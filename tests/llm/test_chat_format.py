@@ -74,3 +74,10 @@ def test_query_against_brute_force(spark, sf):
         said = "".join(f"{role}\n{t}\n" for role, t in ts)
         r = rows[k]
         assert (r.n_turns, r.loss_chars, r.loss_sha256, r.turns_sha256) == (len(ts), len(loss), hashlib.sha256(loss.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_roles_that_end_in_a_line_end_are_read_back(spark):
+    roles = ["tool\n", "assistant\n", "user\r\n", "sys\u2028", "sys\u0085", "\n", "a" * 64, "a" * 65, "x" * 1_200_000]
+    rows = spark.createDataFrame([(1, k, r, f"text {k}") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    (read,) = read_back(format_chat(text_parts(rows))).collect()
+    assert [(t.role, t.text) for t in read.turns] == [(r, f"text {k}") for k, r in enumerate(roles)]

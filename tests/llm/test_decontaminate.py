@@ -61,3 +61,12 @@ def test_query_against_brute_force(spark, sf):
     expected = {d: (n, h, len(i), hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest(), h > 0) for d, n, h, i in brute(docs, items)}
     rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op2_decontaminate(spark, sf).collect()}
     assert len(rows) == 200 and {d: rows[d] for d in expected} == expected
+
+
+def test_an_item_of_more_words_than_there_are_characters(spark):
+    words = [f"w{k}" for k in range(1_200_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one short item")], "item_id long, text string")
+    texts = [" ".join(words[k : k + 12]) + " and more" for k in (0, 4090, 600_000, 1_199_988)] + ["w1 w2 w3 w5 w6 w7 w8 w9 w10 w11 w12", "one short item here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == {**{k: (12, [1]) for k in range(4)}, 4: (0, []), 5: (3, [2])}

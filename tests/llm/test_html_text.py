@@ -78,3 +78,30 @@ def test_article_text_is_kept_by_its_windows_only():
     assert "Teaser of ten" in main_text(f"<article><p>Teaser of ten</p></article><div>{long}</div>")
     assert main_text(f"<article></article><div>{long}</div>").count("First paragraph") == 5
     assert main_text(f"<article>{long}</article><div>A line of the page's own that says little.</div>").count("\n") == 4
+
+
+STORY = [f"Paragraph {k} of a story, long enough to be taken for prose by the sums over windows." for k in range(6)]
+
+
+def test_names_that_only_mention_a_sidebar_or_an_advert_drop_nothing():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    for page in (
+        f'<div class="layout has-sidebar"><div>{body}</div></div>',
+        f'<div class="post ad-free">{body}</div>',
+        f'<article class="search">{body}</article>',
+        f'<form id="aspnetForm" class="form"><ul><li><a href="/">Home</a></li></ul><div>{body}</div></form>',
+        f'<article><section class="related-work">{body[: len(body) // 2]}</section>{body[len(body) // 2 :]}</article>',
+        f'<article><p>{STORY[0]}</p><div id="banner-history"><p>{STORY[1]}</p></div>{"".join(f"<p>{p}</p>" for p in STORY[2:])}</article>',
+    ):
+        assert main_text(f"<html><body><nav>Menu</nav>{page}<footer>Imprint</footer></body></html>").replace("\n", " ").split() == " ".join(STORY).split(), page
+
+
+def test_marked_boxes_still_go():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    boxes = "".join(f'<div class="{c}"><p>{"Some words of a box that is about as long as a paragraph of the story is. " * 2}</p></div>' for c in ("comment-list", "related-posts", "cookie_notice", "sidebar", "share-buttons top", "ad-container-2", "newsletter signup"))
+    assert main_text(f"<html><body>{boxes}<div>{body}</div>{boxes}</body></html>").split("\n") == STORY
+
+
+def test_a_very_long_page():
+    story = [f"Line {k} of a page that goes on and on, with words enough for prose." for k in range(40_000)]
+    assert main_text("<body><div class='menu'>x</div><div>" + "".join(f"<p>{p}</p>" for p in story) + "</div></body>") == "\n".join(story)
