@@ -52,6 +52,11 @@ SELECT 'src' || user_id AS source_id, event_id AS run_id, ts AS started_at, CASE
        CASE WHEN event_id // 7 % 2 = 0 THEN 'FAST' ELSE 'DEEP' END AS mode, CAST(floor(value) AS BIGINT) AS jobs_fetched,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS quality, event_id % 9 AS link_checks, event_id % 9 % 4 AS link_failures
 FROM events
+""",
+    "run_category": f"""
+SELECT run_id, source_id, lower({pick(R.LABELS, 'run_id + k')}) AS category, run_id * (k + 1) % 7 + 1 AS pages_fetched, run_id * (k + 3) % 50 AS jobs_fetched,
+       CAST(CASE WHEN run_id % 5 = 0 THEN k ELSE 0 END AS BIGINT) AS errors, {pick(R.STOPPED, 'run_id + k')} AS stopped_reason
+FROM source_run, (SELECT unnest(range(3)) AS k)
 """,
     "app_user": f"""
 SELECT c_custkey AS user_id, CAST(55 + c_custkey % 4 * 5 AS INTEGER) AS threshold,

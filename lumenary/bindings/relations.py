@@ -121,6 +121,25 @@ def source_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Why a run stopped in a category.
+STOPPED = ("WINDOW_END", "LAST_PAGE", "PAGE_LIMIT", "ERROR")
+
+
+def run_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run did in its three categories."""
+    k = F.col("k")
+    run = F.col("run_id")
+    return source_run(spark, sf_dir).select("run_id", "source_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(
+        "run_id",
+        "source_id",
+        F.lower(pick(LABELS, run + k)).alias("category"),
+        (run * (k + 1) % 7 + 1).alias("pages_fetched"),
+        (run * (k + 3) % 50).alias("jobs_fetched"),
+        F.when(run % 5 == 0, k).otherwise(0).cast("long").alias("errors"),
+        pick(STOPPED, run + k).alias("stopped_reason"),
+    )
+
+
 def app_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("c_custkey")
     return read_table(spark, sf_dir, "customer").select(

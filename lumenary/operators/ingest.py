@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenary.storage import workspace
+
 #: Cycles without a posting after which it is removed.
 MISSED_CYCLES = 3
 
@@ -85,6 +87,28 @@ def replace_children(stored: DataFrame, new: DataFrame, parent: str) -> DataFram
     return stored.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
+def bucket_of(parent: str, buckets: int) -> Column:
+    """The bucket of a parent's children."""
+    return F.pmod(F.xxhash64(parent), F.lit(buckets)).cast("int")
+
+
+def write_children(spark: SparkSession, path: str, new: DataFrame, parent: str, buckets: int = 64) -> None:
+    """replace_children() on a stored table, partitioned by bucket of the parent: only buckets with a parent in ``new`` are read and written.
+
+    ``new`` is written once to the shared folder, as is what the buckets become, so that no bucket is read
+    while it is overwritten and a job that is run again ends in the same table.
+    """
+    with workspace(spark) as work:
+        rows = work.table(new.withColumn("bucket", bucket_of(parent, buckets)))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made = rows
+        if root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(root):
+            stored = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+            made = work.table(replace_children(stored.select(rows.columns), rows, parent))
+        made.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def newest_batch(jobs: DataFrame, n: int = 1000) -> DataFrame:
     """The ``n`` active postings that were first seen last, for a recalculation; ties go to the smaller id."""
     return jobs.where("status = 'ACTIVE'").orderBy(F.desc_nulls_last("first_seen_at"), "job_id").limit(n)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lumenary.operators.committed import CommittedBatches
 
 #: Failures from which a source is left alone for a while, and the longest such time in hours.
 BACKOFF_FROM, BACKOFF_MOST_HOURS = 3, 24
@@ -102,3 +105,37 @@ def newest(rows: DataFrame, n: int, key: str, at: str, tie: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie).desc())
     return rows.withColumn("recency", F.row_number().over(order)).where(F.col("recency") <= n)
+
+
+RUNS = T.StructType().add("run_id", "long").add("source_id", "string").add("started_at", "timestamp_ntz").add("status", "string").add("mode", "string")
+CATEGORIES = T.StructType().add("run_id", "long").add("source_id", "string").add("category", "string").add("pages_fetched", "long").add("jobs_fetched", "long").add("errors", "long").add("stopped_reason", "string")
+TOTALS = ("pages_fetched", "jobs_fetched", "errors")
+
+
+def with_totals(runs: DataFrame, categories: DataFrame) -> DataFrame:
+    """Runs with what their categories add up to: pages_fetched, jobs_fetched, errors, categories_searched; zeros for a run without any."""
+    sums = categories.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in TOTALS), F.count("*").alias("categories_searched"))
+    names = (*TOTALS, "categories_searched")
+    return runs.drop(*names).join(sums, "run_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+
+
+def run_log(spark: SparkSession, root: str) -> CommittedBatches:
+    """Runs and their category rows, appended as one: neither is seen without the other."""
+    parent = T.StructType(RUNS.fields)
+    for c in (*TOTALS, "categories_searched"):
+        parent = parent.add(c, "long")
+    return CommittedBatches(spark, root, {"runs": parent, "categories": CATEGORIES})
+
+
+def log_runs(log: CommittedBatches, batch: int, runs: DataFrame, categories: DataFrame) -> bool:
+    """Append the runs of a collection cycle with their category rows; category rows of other runs are left out, and a cycle that is logged already adds nothing."""
+    own = categories.join(runs.select("run_id"), "run_id", "left_semi")
+    return log.commit(batch, {"runs": with_totals(runs, own), "categories": own})
+
+
+def coverage(sources: DataFrame, runs: DataFrame, categories: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each source with its active postings, its latest deep run and a row for each category of that; one row with nulls where there is none."""
+    active = jobs.groupBy("source_id").agg(F.count_if(F.col("status") == "ACTIVE").alias("active_jobs"))
+    deep = latest(runs.where("mode = 'DEEP'").select("source_id", "run_id", "started_at"), "source_id", "started_at", "run_id").withColumnRenamed("started_at", "last_deep")
+    rows = sources.select("source_id").join(active, "source_id", "left").join(deep, "source_id", "left").join(categories.drop("source_id"), "run_id", "left")
+    return rows.select("source_id", F.coalesce("active_jobs", F.lit(0)).alias("active_jobs"), "last_deep", "category", *TOTALS, "stopped_reason")

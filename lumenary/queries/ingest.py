@@ -115,3 +115,15 @@ def _oldest(spark: SparkSession, sf: str) -> DataFrame:
 def _newest(spark: SparkSession, sf: str) -> DataFrame:
     """What a recalculation of one user looks at."""
     return op.newest_batch(R.job(spark, sf).select("job_id", "first_seen_at", "status")).select("job_id", "first_seen_at")
+
+
+@query(
+    "children_replaced",
+    with_("match", "application")
+    + """, new AS (SELECT user_id, job_id, CAST(version AS INTEGER) AS score FROM application WHERE user_id % 4 = 0)
+    SELECT user_id, job_id, score FROM match WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new""",
+)
+def _children(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches after those of every fourth user are made anew."""
+    new = R.application(spark, sf).where("user_id % 4 = 0").select("user_id", "job_id", F.col("version").alias("score"))
+    return op.replace_children(R.match(spark, sf).select("user_id", "job_id", "score"), new, "user_id")

@@ -130,20 +130,29 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "coverage_report",
-    with_("source_run", "job")
+    with_("source", "source_run", "run_category", "job")
     + """,
-    d AS (SELECT source_id, max(started_at) AS last_deep FROM source_run WHERE mode = 'DEEP' GROUP BY 1),
-    c AS (SELECT source_id, lower(label) AS category, count(DISTINCT job_id) AS n_jobs, count(DISTINCT job_id) FILTER (WHERE status = 'ACTIVE') AS n_active
-          FROM (SELECT job_id, source_id, status, unnest(labels) AS label FROM job) GROUP BY 1, 2)
-    SELECT c.*, d.last_deep FROM c LEFT JOIN d USING (source_id)
+    d AS (SELECT source_id, arg_max(run_id, (started_at, run_id)) AS run_id, max(started_at) AS last_deep FROM source_run WHERE mode = 'DEEP' GROUP BY 1),
+    a AS (SELECT source_id, count(*) FILTER (status = 'ACTIVE') AS active_jobs FROM job GROUP BY 1)
+    SELECT source_id, coalesce(active_jobs, 0) AS active_jobs, last_deep, c.category, c.pages_fetched, c.jobs_fetched, c.errors, c.stopped_reason
+    FROM source LEFT JOIN a USING (source_id) LEFT JOIN d USING (source_id) LEFT JOIN run_category c ON c.run_id = d.run_id
     """,
 )
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings per source and category, with the source's latest deep run."""
-    deep = R.source_run(spark, sf).where("mode = 'DEEP'").groupBy("source_id").agg(F.max("started_at").alias("last_deep"))
-    labels = R.job(spark, sf).select("source_id", "status", F.explode(F.array_distinct(F.transform("labels", lambda x: F.lower(x)))).alias("category"))
-    per = labels.groupBy("source_id", "category").agg(F.count("*").alias("n_jobs"), F.count_if(F.col("status") == "ACTIVE").alias("n_active"))
-    return per.join(deep, "source_id", "left")
+    """Active postings of each source, and what its latest deep run did in each category."""
+    return op.coverage(R.source(spark, sf), R.source_run(spark, sf), R.run_category(spark, sf), R.job(spark, sf).select("source_id", "status"))
+
+
+@query(
+    "run_log_write",
+    with_("source_run", "run_category")
+    + """SELECT r.run_id, r.source_id, r.mode, CAST(sum(c.pages_fetched) AS BIGINT) AS pages_fetched, CAST(sum(c.jobs_fetched) AS BIGINT) AS jobs_fetched, CAST(sum(c.errors) AS BIGINT) AS errors, count(c.run_id) AS categories_searched
+    FROM source_run r LEFT JOIN run_category c USING (run_id) GROUP BY 1, 2, 3""",
+)
+def _run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs as they are logged, with the sums of their category rows."""
+    runs = R.source_run(spark, sf).select("run_id", "source_id", "started_at", "status", "mode")
+    return op.with_totals(runs, R.run_category(spark, sf)).select("run_id", "source_id", "mode", *op.TOTALS, "categories_searched")
 
 
 @query(
