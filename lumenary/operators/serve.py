@@ -82,3 +82,34 @@ def completion(users: DataFrame) -> Column:
         + F.when(F.col("min_salary") > 0, 10).otherwise(0)
         + F.when(size("employment_types") > 0, 10).otherwise(0)
     )
+
+
+def nested_jobs(matches: DataFrame, jobs: DataFrame, sources: DataFrame, applications: DataFrame) -> DataFrame:
+    """(user_id, job_id, view) of each user's matched postings; view nests source, skills, the first match, and whether it is saved and where the application stands.
+
+    The many sides become one struct a pair before they are joined, so nothing is multiplied. ``jobs`` has the columns of the
+    view and benchmark, a struct or null.
+    """
+    first = matches.groupBy("user_id", "job_id").agg(F.min_by(F.struct("match_id", "score"), "match_id").alias("match"))
+    filed = applications.groupBy("user_id", "job_id").agg(F.max(F.col("stage") == "SAVED").alias("saved"), F.min_by(F.struct("stage", "version"), "application_id").alias("application"))
+    whole = jobs.join(sources.select("source_id", "tier"), "source_id", "left")
+    rows = first.join(whole, "job_id").join(filed, ["user_id", "job_id"], "left")
+    view = F.struct(
+        "title", "company", F.struct(F.col("source_id").alias("id"), "tier").alias("source"), "skills", "status", F.coalesce("saved", F.lit(False)).alias("saved"), "application", "match", "benchmark"
+    )
+    return rows.select("user_id", "job_id", view.alias("view"))
+
+
+def assembled_profiles(users: DataFrame, skills: DataFrame, roles: DataFrame, locations: DataFrame) -> DataFrame:
+    """Users with skills and target roles as arrays in order and location tiers as a map, from a row each (user_id, ord, skill), (user_id, ord, role, priority), (user_id, region, tier).
+
+    A region named twice keeps its greatest tier name; a user without rows has empty collections.
+    """
+    inorder = lambda *fields: F.transform(F.array_sort(F.collect_list(F.struct("ord", *fields))), lambda x: x[fields[0]] if len(fields) == 1 else F.struct(*(x[f].alias(f) for f in fields)))
+    own_skills = skills.groupBy("user_id").agg(inorder("skill").alias("skills"))
+    own_roles = roles.groupBy("user_id").agg(inorder("role", "priority").alias("target_roles"))
+    tiers = locations.groupBy("user_id", "region").agg(F.max("tier").alias("tier")).groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "tier")))).alias("location_tiers"))
+    out = users.join(own_skills, "user_id", "left").join(own_roles, "user_id", "left").join(tiers, "user_id", "left")
+    empty = {"skills": "array<string>", "target_roles": "array<struct<role:string,priority:string>>"}
+    filled = {c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()} | {"location_tiers": F.coalesce("location_tiers", F.create_map().cast("map<string,string>"))}
+    return out.withColumns(filled)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lumenary.bindings import relations as R
 from lumenary.bindings.ctes import NOW, with_
-from lumenary.functions.phrases import band
+from lumenary.functions.phrases import band, experience
+from lumenary.functions.variant import strings_at
 from lumenary.operators import serve as op
+from lumenary.operators.classify import benchmark
 from lumenary.operators.keyset import page
-from lumenary.queries.classify import _TAGS, tagged
+from lumenary.queries.classify import _PAY, _TAGS, tagged
 from lumenary.queries.register import query
 
 _TAGGED = {"tagged": _TAGS}
@@ -172,3 +174,60 @@ def _preview(spark: SparkSession, sf: str) -> DataFrame:
 def _latest(spark: SparkSession, sf: str) -> DataFrame:
     """The thirty newest, a top-k."""
     return R.notification(spark, sf).select("notification_id", "user_id", "channel", "created_at").orderBy(F.desc("created_at"), F.desc("notification_id")).limit(30)
+
+
+@query(
+    "job_nested",
+    with_(
+        "job", "source", "match", "application",
+        more={
+            "roles": _PAY["roles"], "bench": _PAY["bench"],
+            "j": _PAY["j"], "p": "SELECT j.job_id, arg_min(b, CASE WHEN b.level = want THEN n ELSE 100 + n END) AS b FROM j LEFT JOIN bench b ON b.role = j.role GROUP BY 1",
+            "f": "SELECT user_id, job_id, arg_min(struct_pack(match_id, score), match_id) AS m FROM match GROUP BY 1, 2",
+            "a": "SELECT user_id, job_id, bool_or(stage = 'SAVED') AS saved, arg_min(struct_pack(stage, version), application_id) AS app FROM application GROUP BY 1, 2",
+        },
+    )
+    + """SELECT f.user_id, f.job_id, CAST(json_object('title', title, 'company', company, 'source', json_object('id', source_id, 'tier', tier), 'skills', skills, 'status', status, 'saved', coalesce(saved, FALSE),
+      'application', CASE WHEN app IS NOT NULL THEN json_object('stage', app.stage, 'version', app.version) END, 'match', json_object('match_id', m.match_id, 'score', m.score),
+      'benchmark', CASE WHEN p.b.role IS NOT NULL THEN json_object('role', p.b.role, 'level', p.b.level, 'mid', p.b.lm) END) AS VARCHAR) AS view
+    FROM f JOIN job USING (job_id) LEFT JOIN source USING (source_id) LEFT JOIN a ON a.user_id = f.user_id AND a.job_id = f.job_id LEFT JOIN p ON p.job_id = f.job_id""",
+)
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' matched postings as they are served, as JSON."""
+    pay = benchmark(F.col("title"), experience(F.col("title")))
+    jobs = R.job(spark, sf).drop("description").withColumn("b", pay).withColumn("benchmark", F.when(F.col("b").isNotNull(), F.struct("b.role", "b.level", F.col("b.local_mid").alias("mid"))))
+    found = op.nested_jobs(R.match(spark, sf), jobs, R.source(spark, sf), R.application(spark, sf))
+    return found.select("user_id", "job_id", F.to_json("view", {"ignoreNullFields": "false"}).alias("view"))
+
+
+@query(
+    "profile_assembled",
+    with_("app_user")
+    + """SELECT user_id, CAST(to_json(skills) AS VARCHAR) AS skills, CAST(to_json(list_concat(list_transform(role1, lambda r: {'role': r, 'priority': priority1}), list_transform(role2, lambda r: {'role': r, 'priority': 'LOW'}))) AS VARCHAR) AS target_roles,
+      array_to_string(list_sort(list_filter([CASE WHEN home_tier IS NOT NULL THEN 'Ethiopia=' || home_tier END, CASE WHEN city_tier IS NOT NULL THEN 'addis_ababa=' || city_tier END, CASE WHEN remote_tier IS NOT NULL THEN 'Remote=' || remote_tier END, region || '=' || region_tier], lambda x: x IS NOT NULL)), ',') AS tiers FROM app_user""",
+)
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles put together from a row for each skill, role and region."""
+    users = R.app_user(spark, sf)
+    skills = users.select("user_id", F.posexplode("skills").alias("ord", "skill"))
+    roles = users.select("user_id", F.posexplode("role1").alias("ord", "role"), F.col("priority1").alias("priority")).unionByName(users.select("user_id", F.posexplode("role2").alias("ord", "role"), F.lit("LOW").alias("priority")).withColumn("ord", F.col("ord") + 1))
+    named = {"Ethiopia": "home_tier", "addis_ababa": "city_tier", "Remote": "remote_tier"}
+    places = F.array(*(F.struct(F.lit(k).alias("region"), F.col(c).alias("tier")) for k, c in named.items()), F.struct("region", F.col("region_tier").alias("tier")))
+    locations = users.select("user_id", F.inline(places)).where("tier IS NOT NULL")
+    found = op.assembled_profiles(users.select("user_id"), skills, roles, locations)
+    tiers = F.array_join(F.array_sort(F.transform(F.map_entries("location_tiers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return found.select("user_id", F.to_json("skills").alias("skills"), F.to_json("target_roles").alias("target_roles"), tiers.alias("tiers"))
+
+
+_RAW = {0: """'{"sourceCategories":' || to_json(labels) || '}'""", 1: """'{"sourceCategories":"' || labels[1] || '","x":[1]}'""", 2: """'{"meta":{"sourceCategories":["' || labels[2] || '",7,{"a":1},null]}}'""", 3: "'{\"sourceCategories\":' || job_id || '}'", 4: "'{\"sourceCategories\":{\"a\":[1]}}'", 5: "'no json'"}
+
+
+@query(
+    "raw_data_pick",
+    with_("job") + "SELECT job_id, CASE job_id % 6 WHEN 0 THEN array_to_string(labels, '|') WHEN 1 THEN labels[1] WHEN 2 THEN labels[2] || '|7' WHEN 3 THEN CAST(job_id AS VARCHAR) ELSE '' END AS categories FROM job",
+)
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Source categories out of raw data of six shapes."""
+    raw = f"CASE job_id % 6 {' '.join(f'WHEN {k} THEN {e}' for k, e in _RAW.items())} END".replace("labels[1]", "get(labels, 0)").replace("labels[2]", "get(labels, 1)")
+    rows = R.job(spark, sf).select("job_id", F.expr(raw).alias("raw"))
+    return rows.select("job_id", F.array_join(strings_at(F.col("raw"), "$.sourceCategories", "$.meta.sourceCategories"), "|").alias("categories"))
