@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenary.functions.bind import let
 from lumenary.functions.phrases import word
 
 MOST_CHARS, FINGERPRINT_CHARS = 8000, 500
@@ -37,6 +38,8 @@ BOILERPLATE = (
     r"\.\.\.\s*\z",
     r"(?md)^\s*\.{3}\s*",
 )
+#: In lower case, one of these is in every text that some pattern of BOILERPLATE is found in.
+BOILERPLATE_WORDS = ("apply", "share", "©", "rights", "cookie", "privacy", "terms", "sign", "follow", "social", "...")
 LEGAL_SUFFIX = r"(?i)\s*,?\s*(PLC|LLC|Inc\.?|Ltd\.?|Corp\.?|Co\.?|SA|AG|BV|GmbH|Pty\.?)\z"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 IN_PERSON = ("apply in person", "submit at office", "submit in person", "drop off", "walk-in")
@@ -82,16 +85,20 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"&#\d+;", ""), r"[\s\u00a0]+", " "))
 
 
+def _has_boilerplate_word(text: Column) -> Column:
+    """A plain search that tells most texts without boilerplate."""
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (low.contains(w) for w in BOILERPLATE_WORDS)))
+
+
 def clean_description(raw: Column) -> Column:
-    """Page furniture, mojibake and boilerplate gone; white space collapsed, line by line."""
-    t = without_tags(F.coalesce(raw, F.lit("")), DROPPED_TAGS)
-    for bad, good in MOJIBAKE:
-        t = F.replace(t, F.lit(bad), F.lit(good))
-    for pattern in BOILERPLATE:
-        t = F.regexp_replace(t, pattern, "")
+    """Page furniture, mojibake and boilerplate gone; white space collapsed, line by line. Patterns are tried where a plain search finds what each needs."""
+    replaced = lambda t: reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, t)
+    without = lambda t: reduce(lambda x, pattern: F.regexp_replace(x, pattern, ""), BOILERPLATE, t)
+    t = let(F.coalesce(raw, F.lit("")), lambda t: F.when(t.contains("<"), without_tags(t, DROPPED_TAGS)).otherwise(t))
+    t = let(t, lambda t: F.when(t.contains("â") | t.contains("Ã"), replaced(t)).otherwise(t))
+    t = let(t, lambda t: F.when(_has_boilerplate_word(t), without(t)).otherwise(t))
     t = F.regexp_replace(t, r"[^\S\n]+", " ")
-    t = F.regexp_replace(t, r"\n\s*\n\s*\n", "\n\n")
-    t = F.regexp_replace(t, r"(?md)^\s+|\s+$", "")
+    t = let(t, lambda t: F.when(t.contains("\n"), F.regexp_replace(F.regexp_replace(t, r"\n\s*\n\s*\n", "\n\n"), r"(?md)^\s+|\s+$", "")).otherwise(t))
     return F.regexp_replace(t, r"\A\s+|\s+\z", "")
 
 
@@ -106,14 +113,13 @@ def truncate_html(html: Column, most: int = MOST_CHARS) -> Column:
 
 def quality(text: Column) -> Column:
     """0 to 100 by length, truncation, boilerplate, mojibake and structure."""
-    n = F.length(text)
-    hits = sum((F.when(text.rlike(p), 1).otherwise(0) for p in BOILERPLATE), F.lit(0))
-    cut = text.rlike(r"\.{3}|…|(?i:/more)")
+    hits = F.when(_has_boilerplate_word(text), sum((F.when(text.rlike(p), 1).otherwise(0) for p in BOILERPLATE), F.lit(0))).otherwise(0)
+    cut = text.contains("...") | text.contains("…") | text.rlike("(?i:/more)")
     points = (
-        F.when(n >= 300, 30).when(n >= 200, 20).when(n >= 100, 10).otherwise(5)
+        let(F.length(text), lambda n: F.when(n >= 300, 30).when(n >= 200, 20).when(n >= 100, 10).otherwise(5))
         + F.when(cut, 5).otherwise(20)
-        + F.when(hits == 0, 20).when(hits <= 2, 12).otherwise(5)
-        + F.when(text.rlike("â€|Ã"), 0).otherwise(15)
+        + let(hits, lambda n: F.when(n == 0, 20).when(n <= 2, 12).otherwise(5))
+        + F.when(text.contains("â€") | text.contains("Ã"), 0).otherwise(15)
         + F.when(text.rlike(r"(?md)^#{1,6}\s|^[A-Z][A-Za-z\s]{2,}:$"), 5).otherwise(0)
         + F.when(text.rlike(r"(?md)^[\s]*[-*•]\s|^[\s]*\d+[.)]\s"), 5).otherwise(0)
         + F.when(F.regexp_count(text, F.lit("\n")) >= 3, 5).otherwise(0)

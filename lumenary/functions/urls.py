@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenary.functions.bind import let
+
 # ---- fixed values
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "ref", "source", "via", "sharer", "share_source")
 BLOCKED_V4 = (
@@ -27,16 +29,11 @@ def blocked_ranges() -> list[tuple[int, int]]:
     return [(ipv4(base), ipv4(base) | (1 << 32 - bits) - 1) for base, bits in BLOCKED_V4]
 
 
-def _let(value: Column, make: Callable[[Column], Column]) -> Column:
-    """``make`` of a value that is worked out once, so that an expression does not grow with each mention of it."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def _whole(digits: Column, base: int, most: int) -> Column:
     """Digits of a base as a number; null if there are more than ``most`` besides leading zeros, or others than the base has."""
     valid = digits.rlike({8: r"\A[0-7]*\z", 10: r"\A[0-9]+\z", 16: r"\A[0-9a-f]*\z"}[base])
     number = lambda short: F.when(valid & (F.length(short) <= most), F.conv(F.concat(F.lit("0"), short), base, 10).cast("long"))
-    return _let(F.regexp_replace(digits, r"\A0+", ""), number)
+    return let(F.regexp_replace(digits, r"\A0+", ""), number)
 
 
 def _part_number(part: Column) -> Column:
@@ -59,10 +56,10 @@ def ipv4_number(host: Column) -> Column:
     def whole(n: Column) -> Column:
         before = F.slice(n, 1, F.greatest(F.lit(0), F.size(n) - 1))
         sums = F.aggregate(before, F.lit(0).cast("long"), lambda a, x: F.when((x <= 255), a * 256 + x))  # null from the first part that is no byte
-        return _let(F.get(room, F.size(n) - 1), lambda most: F.when(F.element_at(n, -1) < most, sums * most + F.element_at(n, -1)))
+        return let(F.get(room, F.size(n) - 1), lambda most: F.when(F.element_at(n, -1) < most, sums * most + F.element_at(n, -1)))
 
     parts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
-    return F.when(host.rlike(_NUMERIC), _let(F.transform(parts, _part_number), whole))
+    return F.when(host.rlike(_NUMERIC), let(F.transform(parts, _part_number), whole))
 
 
 def blocked_ipv4(n: Column) -> Column:
@@ -75,7 +72,7 @@ def ipv6_groups(host: Column) -> Column:
     """The eight numbers of a lower-case IPv6 literal, ``::`` expanded and a dotted end read as two; null if it is none."""
     dotted = F.regexp_extract(host, r"\A(?:.*:)?([^:]*)\z", 1)
     four = F.when(dotted.rlike(r"\A(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})\z"), ipv4_number(dotted))
-    tail = _let(four, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+    tail = let(four, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
     plain = F.when(host.contains("."), F.concat(F.regexp_extract(host, r"\A(.*:)?[^:]*\z", 1), tail)).otherwise(host)
     side = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
 
@@ -85,7 +82,7 @@ def ipv6_groups(host: Column) -> Column:
         return F.when(F.size(sides) == 1, sides[0]).when((F.size(sides) == 2) & (gap > 0), F.concat(sides[0], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), gap)), F.try_element_at(sides, F.lit(2))))
 
     numbers = lambda every: F.when((F.size(every) == 8) & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
-    return _let(_let(F.transform(F.split(plain, "::"), side), joined), numbers)
+    return let(let(F.transform(F.split(plain, "::"), side), joined), numbers)
 
 
 def blocked_ipv6(groups: Column) -> Column:
@@ -108,8 +105,8 @@ def unsafe_reason(url: Column) -> Column:
     def by_host(host: Column) -> Column:
         return (
             F.when((host == "") | (host == "localhost") | host.endswith(".localhost"), "HOST")
-            .when(host.startswith("["), _let(ipv6_groups(F.regexp_extract(host, r"\A\[(.*)\]\z", 1)), six))
-            .when(host.rlike(_NUMERIC), _let(ipv4_number(host), four))
+            .when(host.startswith("["), let(ipv6_groups(F.regexp_extract(host, r"\A\[(.*)\]\z", 1)), six))
+            .when(host.rlike(_NUMERIC), let(ipv4_number(host), four))
         )
 
     return (
@@ -117,7 +114,7 @@ def unsafe_reason(url: Column) -> Column:
         .when(~scheme.isin("http", "https"), "SCHEME")
         .when(part(2) != "", "CREDENTIALS")
         .when((port != "") & ~port.isin("80", "443"), "PORT")
-        .otherwise(_let(F.lower(part(3)), by_host))
+        .otherwise(let(F.lower(part(3)), by_host))
     )
 
 

@@ -72,14 +72,14 @@ def _due(spark: SparkSession, sf: str) -> DataFrame:
     with_("source", "source_run")
     + f""",
     l AS (SELECT source_id, max(started_at) AS last_deep FROM source_run WHERE mode = 'DEEP' GROUP BY 1),
-    s AS (SELECT source_id, CASE WHEN number % 4 <> 1 THEN (number % 3 + 1) * 14400 END AS deep_every_min FROM source)
+    s AS (SELECT source_id, CASE WHEN number % 4 <> 1 THEN (number % 3 + 1) * 1440 END AS deep_every_min FROM source)
     SELECT source_id, deep_every_min, last_deep FROM s LEFT JOIN l USING (source_id)
     WHERE deep_every_min IS NOT NULL AND (last_deep IS NULL OR date_sub('minute', last_deep, {NOW}) >= deep_every_min) ORDER BY source_id
     """,
 )
 def _due_deep(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("number")
-    sources = R.source(spark, sf).withColumn("deep_every_min", F.when(number % 4 != 1, (number % 3 + 1) * 14400)).drop("tier")
+    sources = R.source(spark, sf).withColumn("deep_every_min", F.when(number % 4 != 1, (number % 3 + 1) * 1440)).drop("tier")
     due = op.due_deep(sources, R.source_run(spark, sf), R.now()).withColumn("tier", F.lit("DEEP"))
     return op.queue_order(due, TIER_RANK, LAST_RANK).select("source_id", "deep_every_min", "last_deep")
 

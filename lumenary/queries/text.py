@@ -204,7 +204,17 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("conv_id", "turn", "title", "company", "deadline", "apply_email", "apply_url", "experience_level", F.length("description").alias("n_description"))
 
 
-@query("entity_decode")
+_NAMES = "map {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in text.NAMED_ENTITIES.items()) + "}"
+_POINT = lambda n: f"CASE WHEN {n} BETWEEN 1 AND 1114111 AND NOT {n} BETWEEN 55296 AND 57343 THEN chr(CAST({n} AS INTEGER)) ELSE p END"
+
+
+@query(
+    "entity_decode",
+    f"""WITH s AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(&(?:#\\d{{2,6}}|#x[0-9a-f]{{2,6}}|[a-z]{{2,8}});)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS ps FROM pages),
+    d AS (SELECT page_id, array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_full_match(p, '&#\\d{{2,6}};') THEN {_POINT("CAST(p[3:-2] AS BIGINT)")} WHEN regexp_full_match(p, '(?i)&#x[0-9a-f]{{2,6}};') THEN {_POINT("CAST('0x' || p[4:-2] AS BIGINT)")}
+      WHEN regexp_full_match(p, '(?i)&[a-z]{{2,8}};') THEN coalesce(({_NAMES})[lower(p[2:-2])], p) ELSE p END), '') AS h FROM s)
+    SELECT page_id, length(h) AS n_chars, md5(h) AS html_md5 FROM d""",
+)
 def _entities(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with their character references decoded; tests hold the rule against Python's own table."""
     return read_table(spark, sf, "pages").select("page_id", text.decode_entities(F.col("html")).alias("h")).select("page_id", F.length("h").alias("n_chars"), F.md5(F.col("h").cast("binary")).alias("html_md5"))
