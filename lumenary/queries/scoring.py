@@ -32,7 +32,7 @@ _BASE = {
     "reach": "SELECT user_id, skill, 1.0 AS t, TRUE AS same, FALSE AS rel FROM us UNION ALL SELECT user_id, b, t, FALSE, rel FROM us JOIN transfer ON a = skill",
     "sig": "SELECT user_id, job_id, js.skill, bool_or(same) AS same, max(t) AS t, bool_or(rel) AS rel FROM js JOIN reach ON lower(js.skill) = lower(reach.skill) AND (NOT same OR lower(js.skill) = lower(reach.skill)) GROUP BY ALL",
     "kinds": "SELECT *, CASE WHEN same THEN 'direct' WHEN t >= 0.6 THEN 'transferable' WHEN rel THEN 'related' END AS kind, CASE WHEN same THEN 1.0 WHEN t >= 0.6 THEN t ELSE 0.3 END AS earned FROM sig WHERE same OR t >= 0.6 OR rel",
-    "bys": "SELECT user_id, job_id, sum(CAST(round(earned * 1e6) AS BIGINT)) AS earned, count(*) AS n, count(*) FILTER (WHERE kind = 'direct') AS n_direct, count(*) FILTER (WHERE kind = 'transferable') AS n_transferable, count(*) FILTER (WHERE kind = 'related') AS n_related FROM kinds GROUP BY ALL",
+    "bys": "SELECT user_id, job_id, sum(CAST(round(earned * 1e6) AS BIGINT)) AS earned, count(*) AS n, count(*) FILTER (WHERE kind = 'direct') AS n_direct, count(*) FILTER (WHERE kind = 'transferable') AS n_transferable, count(*) FILTER (WHERE kind = 'related') AS n_related, string_agg(skill, ', ' ORDER BY skill) FILTER (WHERE kind = 'transferable') AS transferable, string_agg(skill, ', ' ORDER BY skill) FILTER (WHERE kind = 'related') AS related FROM kinds GROUP BY ALL",
     "wants": """SELECT user_id, 0 AS ord, trim(replace(regexp_replace(lower(role1[1]), '["'']', '', 'g'), '_', ' ')) AS role, priority1 AS priority FROM app_user WHERE len(role1) > 0
       UNION ALL SELECT user_id, 1, trim(replace(regexp_replace(lower(role2[1]), '["'']', '', 'g'), '_', ' ')), 'LOW' FROM app_user WHERE len(role2) > 0""",
     "syn": f"SELECT * FROM {dims.values(dims.role_phrases(), 'role, phrase')}",
@@ -40,7 +40,7 @@ _BASE = {
     "sim": f"""SELECT t.title, r.role, max(CASE WHEN contains({_WORDS('title')}, {_WORDS('r.role')}) THEN CAST(1.0 AS DOUBLE) WHEN s.phrase IS NOT NULL AND contains({_WORDS('title')}, {_WORDS('s.phrase')}) THEN 0.75
       WHEN len(list_filter(string_split({_WORDS('title')}, ' '), lambda w: length(w) > 3 AND (contains(lower(c.skill), w) OR contains(w, lower(c.skill))))) > 0 THEN 0.35 ELSE 0.0 END) AS similarity
       FROM (SELECT DISTINCT title FROM job) t CROSS JOIN (SELECT DISTINCT role FROM wants) r LEFT JOIN syn s ON s.role = r.role LEFT JOIN core c ON c.role = r.role GROUP BY ALL HAVING similarity > 0""",
-    "byr": f"""SELECT user_id, job_id, max_by(role, (w, -ord)) AS role_target, max(w) AS w FROM (SELECT user_id, job_id, role, ord, similarity * CASE priority WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.72 ELSE 0.45 END AS w
+    "byr": f"""SELECT user_id, job_id, max_by(role, (w, -ord)) AS role_target, max_by(priority, (w, -ord)) AS role_priority, max(w) AS w FROM (SELECT user_id, job_id, role, ord, priority, similarity * CASE priority WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.72 ELSE 0.45 END AS w
       FROM wants JOIN sim USING (role) JOIN job USING (title)) GROUP BY 1, 2""",
     "prof": f"""SELECT title, min_by(role, ord) AS role FROM (SELECT DISTINCT title FROM job) JOIN (SELECT * FROM {dims.values(_PHRASES, 'role, ord, phrase')}) ON contains({_WORDS('title')}, {_WORDS('phrase')}) GROUP BY 1""",
     "cover": "SELECT user_id, role, count(DISTINCT core.skill) / CAST(max(n) AS DOUBLE) AS coverage FROM core JOIN us ON us.skill = core.skill OR EXISTS (SELECT 1 FROM transfer WHERE a = us.skill AND b = core.skill AND rel) GROUP BY 1, 2",
@@ -53,6 +53,9 @@ _PARTS = f"""SELECT u.user_id, j.job_id, j.title, n_skills, role_target, greates
   greatest(0.05, exp(-(epoch({NOW}) - epoch(posted_at)) / 3600.0 / 72)) AS freshness_part,
   CASE WHEN salary IS NULL OR salary = 0 THEN 0.55 WHEN salary >= min_salary THEN 1.0 ELSE greatest(0.2, salary / CAST(greatest(1, min_salary) AS DOUBLE)) END AS salary_part,
   (remote AND work_place = 'ONSITE') OR (exclude_onsite AND work_place = 'ONSITE' AND NOT contains(location_class, 'LOCAL')) OR (exclude_entry AND level IN ('ENTRY', 'INTERN')) AS excluded,
+  coalesce(CASE WHEN coverage > 0.5 THEN coverage END, 0.0) AS cov, role_priority, transferable, related, need, level, location_class, (epoch({NOW}) - epoch(posted_at)) / 3600.0 AS hours,
+  list_filter([CASE WHEN remote AND work_place = 'ONSITE' THEN 'On-site role, you only want remote work' END, CASE WHEN exclude_onsite AND work_place = 'ONSITE' AND NOT contains(location_class, 'LOCAL') THEN 'International on-site role, you excluded on-site work' END,
+    CASE WHEN exclude_entry AND level IN ('ENTRY', 'INTERN') THEN 'Entry-level role, you hide entry-level jobs' END], lambda x: x IS NOT NULL) AS why_not,
   parse_confidence, years, regexp_matches(lower(j.title), '\\b(senior|lead|principal|head)\\b') AND years < 4 AS too_senior, coalesce(pen, 0) AS negative
 FROM app_user_x u CROSS JOIN job_x j LEFT JOIN bys USING (user_id, job_id) LEFT JOIN byr USING (user_id, job_id) LEFT JOIN prof ON prof.title = j.title LEFT JOIN cover ON cover.user_id = u.user_id AND cover.role = prof.role
 LEFT JOIN pens ON pens.user_id = u.user_id AND pens.title = j.title
@@ -195,9 +198,24 @@ def _recalculate(spark: SparkSession, sf: str) -> DataFrame:
         return result(matching.recalculate_all(jobs(spark, sf).drop("description"), users(spark, sf), R.notification(spark, sf), R.now(), work))
 
 
-@query("score_reasons")
+_SAID = """list_filter([CASE WHEN cov > 0.5 THEN 'Strong role profile match (' || CAST(floor(cov * 100 + 0.5) AS BIGINT) || '% of core skills)' END,
+  CASE WHEN role_part >= 0.9 THEN 'Matches your "' || role_target || '" goal (' || role_priority || ' priority)' WHEN role_part >= 0.6 THEN 'Closely related to your "' || role_target || '" goal' END,
+  CASE WHEN n_direct > 0 THEN n_direct || ' direct skill matches' END, 'Transferable: ' || transferable, 'Related via graph: ' || related,
+  CASE WHEN years >= need THEN 'Experience fits (' || years || ' yrs vs ' || need || '+ required)' WHEN need - years >= 2 THEN 'Requires ' || need || '+ yrs, you have ' || years END,
+  CASE WHEN location_part >= 0.9 THEN CASE WHEN location_class = 'ETHIOPIA_LOCAL' THEN 'In your top market' WHEN contains(location_class, 'REMOTE') THEN 'Remote' ELSE 'On-site abroad' END END,
+  CASE WHEN hours <= 12 THEN 'Very fresh, posted ' || CAST(floor(hours + 0.5) AS BIGINT) || 'h ago' END, CASE WHEN negative > 0 THEN 'Your skills are weakly aligned with this role' END,
+  CASE WHEN too_senior THEN 'Seniority above your stated experience (-5)' END, CASE WHEN parse_confidence < 40 THEN 'Low parse confidence, details may be incomplete' END], lambda x: x IS NOT NULL)"""
+_BITS = """list_filter(['matches your ' || role_target || ' goal', CASE WHEN n_skills > 0 THEN (n_direct + n_transferable) || ' of ' || n_skills || ' skills' END, CASE WHEN n_transferable > 0 THEN n_transferable || ' transferable' END,
+  CASE WHEN contains(location_class, 'REMOTE') THEN 'remote' WHEN location_class = 'ETHIOPIA_LOCAL' THEN 'local' END, CASE WHEN level = 'ENTRY' THEN 'junior level' END], lambda x: x IS NOT NULL)"""
+
+
+@query(
+    "score_reasons",
+    _EVERY + f"""SELECT user_id, job_id, score, array_to_string(list_concat({_SAID}, why_not), '; ') AS reasons,
+    CASE WHEN excluded THEN array_to_string(why_not, '; ') || '.' ELSE 'Matches your profile: ' || array_to_string({_BITS}, ', ') || '.' END AS summary FROM scored""",
+)
 def _reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Reasons and summary of every relevant pair; tests hold them against examples."""
+    """Reasons and summary of every relevant pair."""
     scored = score(jobs(spark, sf), users(spark, sf), R.now(), spark)
     return scored.select("user_id", "job_id", "score", F.array_join("reasons", "; ").alias("reasons"), "summary")
 
