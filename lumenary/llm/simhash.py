@@ -188,6 +188,10 @@ def _deeper(rows: DataFrame, budget: int, bits: int) -> DataFrame:
     )
 
 
+#: What names a pair of subtrees.
+_PAIR = ["p", "q", "depth"]
+
+
 def trie_self_join(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
     """Links (a, b) between ``fp`` values that differ in ``budget`` bits at most; they connect what all such pairs connect.
 
@@ -195,7 +199,8 @@ def trie_self_join(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE)
     every value goes to each pair of subtrees that its own subtree forms with one within the budget,
     1 + d + d(d-1)/2 of them for two bits. A pair that still holds several times as many values, as it
     is dense, goes further down with what is left of the budget, until none does. Each pair is then
-    traversed in a task. Values are made distinct first, so any number of equal texts is one value.
+    traversed in a task; one without values on its second side holds no link and goes no further. Values
+    are made distinct first, so any number of equal texts is one value.
     """
     values = durable(fps.select("fp").distinct())
     depth = min(24, max(0, math.ceil(math.log2(max(values.count(), 1) / subtree))))
@@ -203,15 +208,15 @@ def trie_self_join(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE)
     rows = _deeper(values.select("fp", zero.alias("p"), zero.alias("q"), F.lit(0).alias("side"), F.lit(0).alias("depth")), budget, depth)
     light = None
     while True:
-        size = rows.groupBy("p", "q", "depth").agg(F.count("*").alias("n"), F.countDistinct("side").alias("sides"))
-        dense = (F.col("n") > 4 * subtree) & (F.col("depth") <= 64 - DEEPER) & ((F.col("p") == F.col("q")) | (F.col("sides") > 1))
-        heavy = durable(size.where(dense).select("p", "q", "depth"))
-        some = not heavy.isEmpty()
-        here = rows.join(heavy, ["p", "q", "depth"], "left_anti").select(*rows.columns) if some else rows
+        size = rows.groupBy(*_PAIR).agg(F.count("*").alias("n"), F.countDistinct("side").alias("sides"))
+        dense = (F.col("n") > 4 * subtree) & (F.col("depth") <= 64 - DEEPER)
+        live = durable(size.where((F.col("p") == F.col("q")) | (F.col("sides") > 1)).select(*_PAIR, dense.alias("dense")))
+        of = lambda kind: rows.join(live.where(kind).select(*_PAIR), _PAIR, "left_semi").select(*rows.columns)  # noqa: B023, E731
+        here = of("NOT dense")
         light = here if light is None else light.unionByName(here)
-        if not some:
-            return light.groupBy("p", "q", "depth").applyInArrow(_join_subtrees(budget), "a long, b long")
-        rows = durable(_deeper(rows.join(heavy, ["p", "q", "depth"], "left_semi").select(*rows.columns), budget, DEEPER))
+        if live.where("dense").isEmpty():
+            return light.groupBy(*_PAIR).applyInArrow(_join_subtrees(budget), "a long, b long")
+        rows = durable(_deeper(of("dense"), budget, DEEPER))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
