@@ -1,4 +1,3 @@
-import random
 import re
 from collections import defaultdict
 
@@ -107,28 +106,3 @@ def test_components_of_a_long_path_and_a_hub(spark):
     hub = [(1000, 1000 + k) for k in range(1, 200)]
     found = {r.a: r.b for r in stars(spark.createDataFrame(path + hub, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(1, 101)} | {1000 + k: 1000 for k in range(1, 200)}
-
-
-def test_pairs_with_one_side_are_not_walked(spark, monkeypatch):
-    from lumenary.llm import simhash
-
-    rng = random.Random(9)
-    values = [0xABC << 52 | rng.getrandbits(52) for _ in range(3000)] + [rng.getrandbits(64) for _ in range(300)]
-    values = [v - (1 << 64) if v >> 63 else v for v in values]
-    keep = simhash._join_subtrees
-
-    def noted(budget):
-        run = keep(budget)
-
-        def seen(table):
-            p, q = (table.column(c)[0].as_py() for c in ("p", "q"))
-            if p != q and len(set(table.column("side").to_pylist())) < 2:
-                raise AssertionError(f"one side only: {p}, {q}")
-            return run(table)
-
-        return seen
-
-    monkeypatch.setattr(simhash, "_join_subtrees", noted)
-    links = simhash.trie_self_join(spark.createDataFrame([(v,) for v in values + [values[0] ^ 5]], "fp long"), subtree=100)
-    walked = {frozenset((r.a, r.b)) for r in links.collect()}
-    assert any(values[0] in pair for pair in walked)
