@@ -16,7 +16,8 @@ A name that only one document has ends there: no string over it can be in anothe
 
 Sorting is distributed by ranges: a bounded sample gives splitters, a unit of regions sorts its distinct keys and
 sends each range to the task that merges it, and takes ranks back. So ranks order keys across all tasks.
-Keys travel as compressed binary columns, so Spark moves few rows.
+Keys travel as compressed binary columns, so Spark moves few rows. Every unit writes to every part; as the input grows,
+both get larger up to a bound and are sorted piece by piece, so that the messages stay few.
 
 Two things choose the work and remove nothing by themselves. Of equal texts (SHA-256) only the first
 document's goes through the method; the others are covered by it whole. And most text is in one document
@@ -28,7 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ from lumenary.llm.storage import discard, durable
 
 #: Bytes of a string, of a gram of the filter, of a block's text, of a unit of regions; keys that a sorting task should get.
 WINDOW, GRAM, BLOCK_BYTES, UNIT_BYTES, PART_KEYS = 50, 24, 6 << 20, 768 << 10, 600_000
+#: From so many blocks or parts on these get larger, with the units of a block: blocks and parts up to so many times.
+MANY, LARGER_BLOCKS, LARGER_PARTS = 64, 4, 8
 #: Bytes of texts that the filter takes together, so that its arrays stay in the processor's cache, and of a piece of a longer text.
 SLICE_BYTES, PIECE_BYTES = 96 << 10, 1 << 20
 #: Bytes of a symbol, of a triple of symbols, distance of names, and bytes of a triple of names.
@@ -97,41 +101,55 @@ def least_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """A sorting order, the rank of each value among the distinct ones, and how many these are."""
-    order = np.argsort(code)
-    ordered = code[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    rank = np.empty(len(code), _U)
-    rank[order] = np.cumsum(new, dtype=np.int64) - 1
-    return order, rank, int(new.sum())
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where another value than the one before begins."""
+    return np.append(True, ordered[1:] != ordered[:-1])
 
 
 def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in lexicographic order, and where each row is among them.
 
-    As many bits as fit are packed into one number from the left; where more follow, the number is
-    replaced by its rank, so only plain numbers are sorted. It ends early where all rows differ.
+    As many bits as fit are packed into one number from the left, and only plain numbers are sorted. Rows that
+    are equal so far are sorted again, by the number of their group and the bits that follow.
     """
-    if not len(rows):
+    n = len(rows)
+    if not n:
         return rows, np.zeros(0, np.int64)
-    code, bits = np.zeros(len(rows), _U), 0
-    order = rank = None
-    for k in range(rows.shape[1]):
-        left = int(rows[:, k].max()).bit_length()  # bits of this column still to be taken in, from the top
-        while left:
-            if bits == 64:
-                order, code, n = _ranked(code)
-                bits, rank = n.bit_length(), code
-                if n == len(rows):
-                    return rows[order], rank.astype(np.int64)
+    tops = [int(rows[:, k].max()).bit_length() for k in range(rows.shape[1])]
+    k, left = 0, tops[0]  # the column and how many of its bits are still to be taken in
+
+    def packed_more(code: np.ndarray, bits: int, some: np.ndarray | None) -> np.ndarray:
+        nonlocal k, left
+        while bits < 64:
+            if not left:
+                if k + 1 == len(tops):
+                    break
+                k, left = k + 1, tops[k + 1]
+                continue
             take = min(left, 64 - bits)
-            new = rows[:, k] >> _U(left - take)
+            new = rows[:, k] if some is None else rows[some, k]
+            new = new >> _U(left - take) if left > take else new
             code = (code << _U(take) | new & _U((1 << take) - 1)) if take < 64 else new
             bits, left = bits + take, left - take
-    order, rank, n = _ranked(code)
-    first = np.append(True, rank[order[1:]] != rank[order[:-1]])
-    return rows[order[first]], rank.astype(np.int64)
+        return code
+
+    code = packed_more(np.zeros(n, _U), 0, None)
+    order = np.argsort(code)
+    new = _begins(code[order])
+    while left or any(tops[k + 1 :]):
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        where = np.flatnonzero(tied)
+        if not len(where):
+            break
+        some, group = order[where], np.cumsum(new[where], dtype=np.int64)
+        code = packed_more(group.astype(_U), int(group[-1]).bit_length(), some)
+        again = np.argsort(code)
+        order[where] = some[again]
+        new[where] = _begins(code[again])
+    at = np.empty(n, np.int64)
+    at[order] = np.cumsum(new, dtype=np.int64) - 1
+    return rows[order[new]], at
 
 
 def as_text(rows: np.ndarray) -> np.ndarray:
@@ -175,21 +193,43 @@ class Asked:
         np.maximum.at(last, self.at, docs)
         self.many = last > self.docs
 
-    def rows(self, unit: int, splitters: Splitters, owners: bool) -> list[tuple]:
-        """A message to each part: keys, and with ``owners`` their least documents, otherwise whether they have several."""
-        docs = self.docs if owners else self.many.astype(np.int8)
-        return [(part, unit, len(some), squeezed(self.keys[some]), squeezed(docs[some])) for part, some in splitters.slices(self.keys)]
-
-    def replies(self, table: pa.Table, splitters: Splitters, owners: bool) -> np.ndarray:
-        """The parts' answers: with ``owners`` whether a document before the key's least one has it, otherwise its name, -1 if no other document has it."""
-        by_part = dict(zip(table.column("part").to_pylist(), table.column("reply").to_pylist(), strict=True))
-        out = np.zeros(len(self.keys), np.int64)
-        for part, some in splitters.slices(self.keys):
-            got = unsqueezed(by_part[part], np.int8 if owners else np.int64).ravel()
-            if not owners:
-                got = np.cumsum(got)
-                got = np.where(got & 1, -1, part << splitters.bits | got >> 1)
-            out[some] = got
+
+def messages(unit: int, pieces: Iterable[Asked], splitters: Splitters, owners: bool) -> list[tuple]:
+    """One to each part from all pieces of a unit: keys, and with ``owners`` their least documents, otherwise whether they have several."""
+    to: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for own in pieces:
+        docs = own.docs if owners else own.many.astype(np.int8)
+        for part, some in splitters.slices(own.keys):
+            to.setdefault(part, []).append((own.keys[some], docs[some]))
+    out = []
+    for part in sorted(to):
+        keys, docs = (np.concatenate(c) for c in zip(*to.pop(part), strict=True))
+        out.append((part, unit, len(keys), squeezed(keys), squeezed(docs)))
+    return out
+
+
+class Replies:
+    """The parts' answers to messages(), taken piece by piece in the same order."""
+
+    def __init__(self, table: pa.Table, splitters: Splitters, owners: bool) -> None:
+        self.splitters, self.owners = splitters, owners
+        self.blobs = dict(zip(table.column("part").to_pylist(), table.column("reply").to_pylist(), strict=True))
+        self.left: dict[int, np.ndarray] = {}
+
+    def _read(self, part: int) -> np.ndarray:
+        got = unsqueezed(self.blobs.pop(part), np.int8 if self.owners else np.int64).ravel()
+        if not self.owners:
+            got = np.cumsum(got)
+            got = np.where(got & 1, -1, part << self.splitters.bits | got >> 1)
+        return got
+
+    def of(self, own: Asked) -> np.ndarray:
+        """For each key: with ``owners`` whether a document before its least one has it, otherwise its name, -1 if no other document has it."""
+        out = np.zeros(len(own.keys), np.int64)
+        for part, some in self.splitters.slices(own.keys):
+            got = self.left.pop(part) if part in self.left else self._read(part)
+            out[some] = got[: len(some)]
+            self.left[part] = got[len(some) :]
         return out
 
 
@@ -201,25 +241,45 @@ def _asked_table(rows: list[tuple]) -> pa.Table:
     return _table(rows, ["part", "unit", "n", "keys", "docs"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
 
+def _ranges(keys: np.ndarray) -> Iterator[np.ndarray | slice]:
+    """The keys of a part in ascending ranges of about PART_KEYS, so that sorting takes little memory beside them."""
+    many = len(keys) // PART_KEYS
+    if many < 2:
+        yield slice(None)
+        return
+    some = np.sort(keys[:: max(1, len(keys) // (256 * many)), 0])
+    begins = np.unique(some[np.linspace(0, len(some), many, endpoint=False)[1:].astype(np.int64)])
+    place = np.searchsorted(begins, keys[:, 0], side="right").astype(np.uint16)
+    for p in range(len(begins) + 1):
+        found = np.flatnonzero(place == p)
+        if len(found):
+            yield found
+
+
 def _merge_part(width: int, owners: bool, bits: int):
-    """Sort the keys that one part got from all units; answer with what Asked.replies() reads."""
+    """Sort the keys that one part got from all units; answer with what Replies reads."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unsqueezed(b, _U, width) for b in table.column("keys").to_pylist()])
-        docs = np.concatenate([unsqueezed(b, np.int64 if owners else np.int8).ravel() for b in table.column("docs").to_pylist()])
-        distinct, at = sorted_rows(keys)
-        if owners:
-            least = np.full(len(distinct), NONE)
-            np.minimum.at(least, at, docs)
-            reply = (least[at] < docs).astype(np.int8)
-        else:
-            if len(distinct) >> bits:
-                raise ValueError(f"a part has {len(distinct)} names, more than its {bits} bits: lower part_keys")
-            alone = np.bincount(at, docs + 1)[at] < 2  # one document of a unit or more count as 1 or 2
-            reply = at * 2 + alone
-        ends, out = np.cumsum(table.column("n").to_numpy()), []
-        part = table.column("part")[0].as_py()
-        for unit, n, end in zip(table.column("unit").to_pylist(), table.column("n").to_pylist(), ends.tolist(), strict=True):
+        sizes = table.column("n").to_numpy()
+        ends = np.cumsum(sizes)
+        keys, docs = np.empty((ends[-1], width), _U), np.empty(ends[-1], np.int64 if owners else np.int8)
+        for n, end, k, d in zip(sizes.tolist(), ends.tolist(), table.column("keys"), table.column("docs"), strict=True):
+            keys[end - n : end], docs[end - n : end] = unsqueezed(k.as_py(), _U, width), unsqueezed(d.as_py(), docs.dtype).ravel()
+        reply, names = np.empty(len(keys), np.int8 if owners else np.int64), 0
+        for some in _ranges(keys):
+            distinct, at = sorted_rows(keys[some])
+            if owners:
+                least = np.full(len(distinct), NONE)
+                np.minimum.at(least, at, docs[some])
+                reply[some] = least[at] < docs[some]
+            else:
+                alone = np.bincount(at, docs[some] + 1)[at] < 2  # one document of a unit or more count as 1 or 2
+                reply[some] = (at + names) * 2 + alone
+            names += len(distinct)
+        if not owners and names >> bits:
+            raise ValueError(f"a part has {names} names, more than its {bits} bits: lower part_keys")
+        out, part = [], table.column("part")[0].as_py()
+        for unit, n, end in zip(table.column("unit").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
             own = reply[end - n : end]
             out.append((unit, part, squeezed(own if owners else np.diff(own, prepend=0))))
         return _table(out, ["unit", "part", "reply"], [pa.int64(), pa.int64(), pa.binary()])
@@ -264,27 +324,29 @@ def _slices(table: pa.Table, later: set[tuple[int, int]]) -> Iterator[Slice]:
         yield Slice(some)
 
 
-def _filter_keys(table: pa.Table, later: set[tuple[int, int]]) -> tuple[list[tuple[np.ndarray, ...]], Asked]:
-    """Runs (document, least hash, length) of each slice of a block, and the least hashes as keys."""
-    runs = [(s.texts.doc[s.texts.of[s.begins]], s.least, s.ends - s.begins) for s in _slices(table, later)]
-    join = lambda k, kind: np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, kind)
-    return runs, Asked(join(1, _U).reshape(-1, 1), join(0, np.int64))
+def _filter_keys(table: pa.Table, later: set[tuple[int, int]]) -> tuple[list[Slice], Asked]:
+    """The slices of a block, and the least hashes of their runs as keys."""
+    slices, docs = [], []
+    for s in _slices(table, later):
+        docs.append(s.texts.doc[s.texts.of[s.begins]])
+        s.texts.forget()
+        slices.append(s)
+    join = lambda some, kind: np.concatenate(some) if some else np.zeros(0, kind)
+    return slices, Asked(join([s.least for s in slices], _U).reshape(-1, 1), join(docs, np.int64))
 
 
 def _ask_filter(splitters: Splitters):
     def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _asked_table([])
-        return _asked_table(_filter_keys(docs, _copies(copies))[1].rows(docs.column("block")[0].as_py(), splitters, False))
+        return _asked_table(messages(docs.column("block")[0].as_py(), [_filter_keys(docs, _copies(copies))[1]], splitters, False))
 
     return run
 
 
 def _within(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """A mask of the positions in any of the spans."""
-    edges = np.zeros(n + 1, np.int32)
-    np.add.at(edges, begins, 1)
-    np.add.at(edges, ends, -1)
+    edges = np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -293,16 +355,16 @@ MARK_TYPES = [pa.int64(), *[pa.binary()] * 6]
 _NO_MARKS = pa.table([pa.array([], t) for t in MARK_TYPES], names=MARK_NAMES)
 
 
-def _mark(splitters: Splitters):
-    """The runs that other documents may share as units of regions, of some UNIT_BYTES each."""
+def _mark(splitters: Splitters, unit_bytes: float):
+    """The runs that other documents may share as units of regions, of some ``unit_bytes`` each."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _NO_MARKS
         told_copies = told.filter(pa.array([p is None for p in told.column("part").to_pylist()], pa.bool_()))
         later = _copies(told_copies)
-        runs, asked = _filter_keys(docs, later)
-        shared = asked.replies(told.filter(pa.array([p is not None for p in told.column("part").to_pylist()], pa.bool_())), splitters, False)[asked.at] >= 0
+        slices, asked = _filter_keys(docs, later)
+        shared = Replies(told.filter(pa.array([p is not None for p in told.column("part").to_pylist()], pa.bool_())), splitters, False).of(asked)[asked.at] >= 0
         block, at, size, some, out = docs.column("block")[0].as_py(), 0, 0, [], []
 
         def flush() -> None:
@@ -312,13 +374,14 @@ def _mark(splitters: Splitters):
                 out.append(whole.row(None))
             some, size = [], 0
 
-        for s, (_, least, _) in zip(_slices(docs, later), runs, strict=True):
-            known = shared[at : at + len(least)]
-            at += len(least)
+        for s in slices:
+            known = shared[at : at + len(s.least)]
+            at += len(s.least)
             if known.any():
                 some.append(s.texts.cut(_within(s.begins[known], s.ends[known], len(s.texts.flat))))
+                s.texts.forget()
                 size += len(some[-1][4])
-                if size >= UNIT_BYTES:
+                if size >= unit_bytes:
                     flush()
         flush()
         return _table(out, MARK_NAMES, MARK_TYPES)
@@ -334,10 +397,40 @@ class Regions:
         self.doc, self.h, self.start, self.stop = (np.asarray(c, np.int64) for c in (doc, h, start, stop))
         sizes = self.stop - self.start + WINDOW - 1
         self.flat = np.frombuffer(self.text, np.uint8)
-        self.base = np.cumsum(sizes) - sizes
-        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.offset = np.arange(len(self.flat), dtype=np.int32) - np.repeat(self.base.astype(np.int32), sizes)
-        self.left = np.repeat(sizes.astype(np.int32), sizes) - self.offset
+        self.sizes, self.base = sizes, np.cumsum(sizes) - sizes
+
+    @cached_property
+    def of(self) -> np.ndarray:
+        """The region of each byte."""
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+
+    @cached_property
+    def offset(self) -> np.ndarray:
+        """Where in its region each byte is."""
+        return np.arange(len(self.flat), dtype=np.int32) - np.repeat(self.base.astype(np.int32), self.sizes)
+
+    @cached_property
+    def left(self) -> np.ndarray:
+        """Bytes from each one to the end of its region."""
+        return np.repeat(self.sizes.astype(np.int32), self.sizes) - self.offset
+
+    def forget(self) -> None:
+        """Let go of what is derived for each byte."""
+        for name in ("of", "offset", "left"):
+            self.__dict__.pop(name, None)
+
+    def pieces(self, depth: int) -> Iterator[Regions]:
+        """The regions in pieces of some UNIT_BYTES, each with its part of the names that a round has."""
+        ends = np.cumsum(self.sizes)
+        edges = np.flatnonzero(np.append(True, np.diff(ends // UNIT_BYTES) > 0)).tolist() + [len(ends)]
+        names = np.zeros(1, np.int64)
+        if depth:
+            many = np.maximum(0, self.sizes - (FIRST, SECOND)[depth - 1] + 1)
+            names = np.append(0, np.cumsum(many - (many + 2) // 3))
+        for i, j in zip(edges, edges[1:]):
+            own = self.names[names[i] : names[j]] if depth else None
+            if i < j:
+                yield Regions(self.unit, self.doc[i:j], self.h[i:j], self.start[i:j], self.stop[i:j], self.text[self.base[i] : ends[j - 1]], own)
 
     @classmethod
     def read(cls, row: dict) -> Regions:
@@ -359,22 +452,27 @@ class Regions:
 
     def second(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Triples of names where documents share all three; ``names`` has one for each first position, -1 elsewhere."""
-        at = self.sampled(SECOND)
-        at = at[(names[at] >= 0) & (names[at + STEP] >= 0) & (names[at + 2 * STEP] >= 0)]
-        return at, np.stack([names[at], names[at + STEP], names[at + 2 * STEP]], 1).astype(_U) if len(at) else np.zeros((0, 3), _U)
+        many = max(0, len(names) - 2 * STEP)
+        one, two, three = (names[k * STEP : k * STEP + many] for k in range(3))
+        at = np.flatnonzero((self.left[:many] >= SECOND) & (one >= 0) & (two >= 0) & (three >= 0))
+        return at, np.stack([one[at], two[at], three[at]], 1).astype(_U) if len(at) else np.zeros((0, 3), _U)
 
     def strings(self) -> np.ndarray:
         """Positions where a string begins."""
         return np.flatnonzero(self.left >= WINDOW)
 
     def prefixes(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (name, shift and the bytes beside the name, as one number) of the strings with a shared name at the shift, and their positions."""
+        """Keys (name, shift and the bytes beside the name, as one number) of the strings with a shared name at the shift, and their positions.
+
+        ``names`` has one for each second position, -1 elsewhere.
+        """
         at, keys = [], []
+        many = max(0, len(names) - WINDOW + 1)
+        whole = self.left[:many] >= WINDOW
         for shift in range(3):
-            some = self.strings()
-            some = some[((self.offset[some] + shift) % 3 != 0) & (names[some + shift] >= 0)]
-            beside = [self.flat[some + k].astype(_U) for k in (*range(shift), *range(shift + SECOND, WINDOW))]
-            keys.append(names[some + shift].astype(_U) << _U(18) | _U(shift << 16) | beside[0] << _U(8) | beside[1])
+            some = np.flatnonzero(whole & (names[shift : shift + many] >= 0))
+            one, two = (self.flat[k : k + many][some].astype(_U) for k in (*range(shift), *range(shift + SECOND, WINDOW)))
+            keys.append(names[shift : shift + many][some].astype(_U) << _U(18) | _U(shift << 16) | one << _U(8) | two)
             at.append(some)
         return np.concatenate(at), np.concatenate(keys).reshape(-1, 1)
 
@@ -406,14 +504,16 @@ class Regions:
         moved = (self.start - self.base)[of]
         return self.doc[of], self.h[of], a + moved, b + moved, b"".join([self.text[x : y + WINDOW - 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
 
-    def keys(self, depth: int) -> tuple[np.ndarray, Asked]:
+    def rows(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and keys of a round: triples of symbols, triples of names, or prefixes of the strings."""
         if depth == 0:
-            at, rows = self.first()
-        elif depth == 1:
-            at, rows = self.second(self.spread(self.sampled(FIRST), self.names))
-        else:
-            at, rows = self.prefixes(self.spread(self.sampled(SECOND), self.names))
+            return self.first()
+        if depth == 1:
+            return self.second(self.spread(self.sampled(FIRST), self.names))
+        return self.prefixes(self.spread(self.sampled(SECOND), self.names))
+
+    def keys(self, depth: int) -> tuple[np.ndarray, Asked]:
+        at, rows = self.rows(depth)
         return at, Asked(rows, self.doc[self.of[at]])
 
 
@@ -424,12 +524,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Regions]:
 
 
 def _sample(depth: int, rate: int):
-    """Every ``rate``-th distinct key of some units, as a byte string."""
+    """Every ``rate``-th key of some units, as a byte string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for regions in _units(batches):
-            keys = regions.keys(depth)[1].keys
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in keys[regions.unit % rate :: rate].astype(">u8")], pa.binary())], ["key"])
+            for piece in regions.pieces(depth):
+                keys = piece.rows(depth)[1][regions.unit % rate :: rate]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in keys.astype(">u8")], pa.binary())], ["key"])
 
     return run
 
@@ -439,7 +540,8 @@ def _ask(depth: int, splitters: Splitters):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for regions in _units(batches):
-            yield from _asked_table(regions.keys(depth)[1].rows(regions.unit, splitters, depth == 2)).to_batches()
+            pieces = (piece.keys(depth)[1] for piece in regions.pieces(depth))
+            yield from _asked_table(messages(regions.unit, pieces, splitters, depth == 2)).to_batches()
 
     return run
 
@@ -451,15 +553,23 @@ def _use(depth: int, splitters: Splitters):
         if not table.num_rows:
             return _NO_MARKS
         regions = Regions.read(table.to_pylist()[0])
-        at, own = regions.keys(depth)
-        got = own.replies(reply, splitters, depth == 2)[own.at]
+        replies, names, spans = Replies(reply, splitters, depth == 2), [], []
+        for piece in regions.pieces(depth):
+            at, own = piece.keys(depth)
+            got = replies.of(own)[own.at]
+            if depth < 2:
+                names.append(piece.spread(at, got)[piece.sampled((FIRST, SECOND)[depth])])
+                continue
+            hit = np.zeros(len(piece.flat), bool)
+            hit[at[(got > 0) | (own.docs[own.at] < piece.doc[piece.of[at]])]] = True
+            hit = np.flatnonzero(hit)
+            a, b, of = piece.runs(_within(hit, hit + WINDOW, len(piece.flat)))
+            moved = (piece.start - piece.base)[of]
+            spans.append((piece.doc[of], piece.h[of], a + moved, b + moved))
         if depth < 2:
-            return _table([regions.row(regions.spread(at, got)[regions.sampled((FIRST, SECOND)[depth])])], MARK_NAMES, MARK_TYPES)
-        hit = np.unique(at[(got > 0) | (own.docs[own.at] < regions.doc[regions.of[at]])])
-        a, b, of = regions.runs(_within(hit, hit + WINDOW, len(regions.flat)))
-        moved = (regions.start - regions.base)[of]
-        columns = (c.tobytes() for c in (regions.doc[of], regions.h[of], a + moved, b + moved))
-        return _table([(regions.unit, *columns, b"", None)] if len(a) else [], MARK_NAMES, MARK_TYPES)
+            return _table([regions.row(np.concatenate(names))], MARK_NAMES, MARK_TYPES)
+        columns = [np.concatenate(c) for c in zip(*spans, strict=True)]
+        return _table([(regions.unit, *(c.tobytes() for c in columns), b"", None)] if len(columns[0]) else [], MARK_NAMES, MARK_TYPES)
 
     return run
 
@@ -489,14 +599,19 @@ def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
     return _table(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], [pa.int64()] * 4 + [pa.string(), span])
 
 
-def _splitters(regions: DataFrame, depth: int, units: int, parts: int, most: int) -> Splitters:
+def larger(n: float, most: int) -> float:
+    """Times that blocks or parts, ``n`` at their least size, are larger than that."""
+    return min(most, max(1.0, n / MANY))
+
+
+def _splitters(regions: DataFrame, depth: int, units: int, unit_bytes: float, parts: int, most: int) -> Splitters:
     """Ranges of about equal numbers of keys, from a sample of bounded size."""
     ranges = min(parts, most)
     if ranges == 1:
         return Splitters(np.zeros(0, f"S{8 if depth == 2 else 24}"), math.ceil(parts / ranges))
     some = regions.where(F.pmod(F.xxhash64("unit"), F.lit(max(1, units // SAMPLE_UNITS))) == 0)
-    rate = max(1, 2 * SAMPLE_UNITS * UNIT_BYTES * (2 if depth == 2 else 1) // min(SAMPLE_KEYS, 64 * ranges))
-    keys = np.sort(np.array([r.key for r in some.mapInArrow(_sample(depth, rate), "key binary").limit(2 * SAMPLE_KEYS).collect()], f"S{8 if depth == 2 else 24}"))
+    rate = max(1, int(2 * SAMPLE_UNITS * unit_bytes * (2 if depth == 2 else 1)) // min(SAMPLE_KEYS, 64 * ranges))
+    keys = np.unique(np.array([r.key for r in some.mapInArrow(_sample(depth, rate), "key binary").limit(2 * SAMPLE_KEYS).collect()], f"S{8 if depth == 2 else 24}"))
     begins = np.unique(keys[np.linspace(0, len(keys), ranges, endpoint=False)[1:].astype(np.int64)]) if len(keys) else keys
     return Splitters(begins, math.ceil(parts / ranges))
 
@@ -514,9 +629,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    times = larger(size / block_bytes, LARGER_BLOCKS)
+    blocks, unit_bytes = max(1, math.ceil(size / (block_bytes * times))), UNIT_BYTES * times
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)))
-    parts = lambda keys: max(1, math.ceil(keys / part_keys))
+    parts = lambda keys: max(1, math.ceil(keys / (part_keys * larger(keys / part_keys, LARGER_PARTS))))
 
     marked = own.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("size"))
     marked = durable(marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks))))
@@ -530,12 +646,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_ask_filter(splitters), ASKED)
     reply = durable(asked.groupBy("part").applyInArrow(_merge_part(1, False, splitters.bits), REPLY))
     told = reply.select(F.col("unit").alias("block"), "part", "reply", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h")).unionByName(copies.select("block", "doc_id", "h"), allowMissingColumns=True)
-    regions = durable(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_mark(splitters), MARKS))
+    regions = durable(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_mark(splitters, unit_bytes), MARKS))
     discard(reply)
 
     for depth in range(3):
         units, size = regions.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
-        splitters = _splitters(regions, depth, units, parts(size * (2 if depth == 2 else 2 / 3)), ranges)
+        splitters = _splitters(regions, depth, units, unit_bytes, parts(size * (2 if depth == 2 else 2 / 3)), ranges)
         asked = regions.mapInArrow(_ask(depth, splitters), ASKED)
         reply = durable(asked.groupBy("part").applyInArrow(_merge_part(1 if depth == 2 else 3, depth == 2, splitters.bits), REPLY))
         used = durable(regions.groupBy("unit").cogroup(reply.groupBy("unit")).applyInArrow(_use(depth, splitters), MARKS))

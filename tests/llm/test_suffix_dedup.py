@@ -91,6 +91,45 @@ def test_long_texts_are_read_in_pieces_that_have_every_string(monkeypatch):
     assert sorted(seen) == [(d, i, t[i : i + WINDOW]) for d, _, t in rows for i in range(len(t) - WINDOW + 1)]
 
 
+def test_messages_stay_few_where_there_is_much_for_many_blocks_and_parts(spark, monkeypatch):
+    """Blocks and parts get larger in time, so that messages do not grow with the square of the input."""
+    rows = shared_passages(4, 400)
+    durable, replies = suffix_dedup.durable, []
+
+    def counted(df):
+        out = durable(df)
+        if out.columns == ["unit", "part", "reply"]:
+            replies.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "durable", counted)
+    size = sum(len(t.encode()) for _, t in rows)
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=size // 200, part_keys=size // 2400)) == brute(rows)
+    assert len(replies) == 4 and max(replies) < 8_000
+
+
+def test_a_part_is_sorted_in_ranges_and_a_unit_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 50, (3000, 3), dtype=np.uint64)
+    monkeypatch.setattr(suffix_dedup, "PART_KEYS", 400)
+    ranges = list(suffix_dedup._ranges(keys))
+    assert len(ranges) > 3 and sorted(np.concatenate(ranges).tolist()) == list(range(len(keys)))
+    assert all(keys[a, 0].max() < keys[b, 0].min() for a, b in zip(ranges, ranges[1:]))
+
+    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", 300)
+    stop = rng.integers(1, 90, 40)
+    text = bytes(rng.integers(97, 100, int(stop.sum()) + 40 * (WINDOW - 1)).tolist())
+    whole = suffix_dedup.Regions(7, range(40), range(40), np.zeros(40), stop, text)
+    for depth, covers in ((1, suffix_dedup.FIRST), (2, suffix_dedup.SECOND)):
+        whole.names = whole.sampled(covers) * 10
+        spread, at = whole.spread(whole.sampled(covers), whole.names), 0
+        for piece in whole.pieces(depth):
+            assert piece.text == text[at : at + len(piece.text)]
+            assert (piece.spread(piece.sampled(covers), piece.names) == spread[at : at + len(piece.text)]).all()
+            at += len(piece.text)
+        assert at == len(text) and len(list(whole.pieces(depth))) > 5
+
+
 def test_many_copies_of_one_text(spark):
     base = "the same passage of a text that many documents have, over and over again; "
     rows = [(k, base * 3) for k in range(40)] + [(k, f"{k} {base} {k * k}") for k in range(40, 80)] + [(7, base * 3), (None, base * 3)]
